@@ -19,6 +19,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
+def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .matroska import read_back, to_media
+
+    return read_back(to_media(table(spark, sf_dir, "documents")))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_round_trip
 
@@ -26,6 +32,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op10_warc": op10_warc}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op5_matroska": op5_matroska, "op10_warc": op10_warc}
 
 ORACLE_SQL: dict[str, str] = {}
