@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import remainder, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,19 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
+#: A document is kept if its quality score is at least this.
+QUALITY_CUT = 0.7
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, score_quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    model = fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
+
+
 def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .matroska import read_back, to_media
 
@@ -32,6 +45,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op5_matroska": op5_matroska, "op10_warc": op10_warc}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_quality": op2_quality, "op5_matroska": op5_matroska, "op10_warc": op10_warc}
 
 ORACLE_SQL: dict[str, str] = {}
