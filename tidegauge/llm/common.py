@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch between the JVM and Python. Texts are cut further by bytes in ``blocks``.
 ARROW_ROWS = 1024
+ARROW_BYTES = 32 << 20
 #: Text bytes that one vectorised step of a Python worker handles at a time.
 BLOCK_BYTES = 4 << 20
 
@@ -26,6 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Arrow batches of few rows, so that a batch of very long texts still fits in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,13 @@ TIERS = (256, 512, 1024, 2048, 4096)
 #: Tokens that are tokenised and packed together in one worker before pieces leave it.
 BLOCK_TOKENS = 1 << 21
 #: Words whose ids a worker remembers; a cache of speed only, emptied when it is full.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
+
+#: Precomposed Latin letters, which the normaliser only lower-cases, and marks after them.
+_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: The byte-level alphabet's characters for bytes above ASCII: the bytes that Latin-1 does not print
+#: stand, in order, from 256 + 33 + 1 on.
+_BYTE_CHARS = dict(zip([*range(128, 161), 173], [*range(256 + 34, 256 + 67), 256 + 67], strict=True))
 
 SCHEMA = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, "
@@ -41,20 +49,34 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.end_id, self.known = end_id, {}
+        self.end_id, self.runs = end_id, {}
+
+    def _run(self, letters: str) -> tuple[int, ...]:
+        """Ids of a run of lower-case Latin letters, which is one pre-token, straight from the model."""
+        mapped = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_BYTE_CHARS)
+        return tuple([t.id for t in self.tokenizer.model.tokenize(mapped)])
+
+    def _one(self, word: str) -> tuple[int, ...]:
+        if not (simple := _SIMPLE.fullmatch(word)):
+            if (ids := self.runs.get(word)) is None:
+                ids = self.runs[word] = tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
+            return ids
+        letters, marks = simple[1].lower(), simple[2]
+        if (ids := self.runs.get(letters)) is None:
+            ids = self.runs[letters] = self._run(letters)
+        if not marks:
+            return ids
+        if (more := self.runs.get(marks)) is None:
+            more = self.runs[marks] = tuple(self.tokenizer.encode(marks, add_special_tokens=False).ids)
+        return ids + more
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Lengths and concatenated ids of the given words."""
-        known = self.known
-        fresh = [w for w in words if w not in known]
-        if fresh:
-            if len(known) + len(fresh) > CACHE_WORDS:
-                known.clear()
-                fresh = words
-            for w, one in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                known[w] = np.array(one.ids, np.uint32)
-        found = [known[w] for w in words]
-        return np.fromiter(map(len, found), np.int64, len(found)), np.concatenate(found) if found else np.zeros(0, np.uint32)
+        if len(self.runs) > CACHE_WORDS:
+            self.runs.clear()
+        found = list(map(self._one, words))
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return lengths, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's closed by the end id, and the number of ids of each text."""
@@ -183,7 +205,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, tiers: tuple[int, ..
     Null text counts as empty, and an empty text has its end id alone. Repeated rows are packed each
     for itself, and a null doc_id stays null. An empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 2048)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
@@ -214,7 +236,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, tiers: tuple[int, ..
             yield from pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names).to_batches(4096)
 
         for batch in batches:
-            for part in blocks(batch):
+            for part in blocks(batch, limit=8 << 20):
                 ids, counts = encoder.encode(texts_of(part))
                 at = 0
                 for doc_id, n in zip(part.column(0).to_pylist(), counts.tolist(), strict=True):

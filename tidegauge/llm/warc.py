@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_path
+from .common import materialise, shared_path, small_batches
 
 #: A longer block is written as one record and its continuations, so no record is longer than this.
 SEGMENT_BYTES = 64 << 10
@@ -235,7 +235,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     time. Only segments are shuffled, by origin and digest; a group is the segments of one record.
     Segments that are missing or too short raise an error. An archive without records gives no rows.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a whole file
+    small_batches(spark, 1)  # a row is a whole file
     files = spark.read.format("binaryFile").load(path).select("content")
     whole = files.mapInArrow(_parse(False), READ_SCHEMA)
     segments = files.mapInArrow(_parse(True), _SEGMENT_SCHEMA)
