@@ -38,6 +38,19 @@ def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(to_media(table(spark, sf_dir, "documents")))
 
 
+#: A document is toxic if its toxicity score is at least this.
+TOXIC_CUT = 0.5
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score_toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    model = fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC_CUT).cast("int").alias("predicted"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_round_trip
 
@@ -45,6 +58,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_quality": op2_quality, "op5_matroska": op5_matroska, "op10_warc": op10_warc}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_quality": op2_quality, "op5_matroska": op5_matroska, "op7_toxicity": op7_toxicity, "op10_warc": op10_warc}
 
 ORACLE_SQL: dict[str, str] = {}
