@@ -19,13 +19,13 @@ from .quality import SAMPLE_ROWS, sampled_labels
 #: Candidate terms that the lexicon is chosen from at most, by document frequency in toxic rows.
 CANDIDATES = 20_000
 #: A toxic document counts as explained once this many chosen terms occur in it.
-COVER = 5
+COVER = 3
 WINDOW = 12
 #: Share of a hit's weight that remains where the window shows quotation, or reported speech.
 QUOTED, REPORTED, ADDRESSED = 0.4, 0.7, 1.25
 
 _WORDS = re.compile(r"[^\W_]+")
-_PREFIXES = range(4, 8)
+_PREFIXES = range(3, 9)
 _OPEN, _CLOSE, _STRAIGHT = "“«‘„‹", "”»’›", "\"'"
 _REPORTING = frozenset("said says wrote writes quote quoted quotes called calls according claimed reported word term sagte sagt schrieb zitat nannte laut dit dixit écrit selon citation appelé dijo dice escribió según cita llamó".split())
 _ADDRESS = frozenset("you your you're u ur yourself du dich dir dein deine sie ihr tu te toi ton ta vous votre tú ti usted ustedes eres vos".split())
@@ -230,7 +230,8 @@ class Model:
     def evidence(self, hits: list[tuple[int, int, float, float]], words: int) -> list[float]:
         each = [self.weights[t, d] * f for t, d, f, _ in hits]
         total = sum(each)
-        return [1.0, np.log1p(total), max(each, default=0.0), np.log1p(1000 * total / max(words, 20)) / 5, max((h[3] for h in hits), default=0.0)]
+        dense = np.log1p(1000 * total / max(words, 20)) / 5
+        return [1.0, np.log1p(total), max(each, default=0.0), dense, max((h[3] for h in hits), default=0.0), np.log1p(total) * dense]
 
     def score(self, texts: pa.Array) -> np.ndarray:
         x = np.array([self.evidence(h, n) for _, h, n in self.hits(texts)]).reshape(len(texts), len(self.beta))
@@ -244,15 +245,15 @@ def _terms_of(texts: pa.Array) -> Iterator[set[str]]:
         yield {w for w in words if len(w) >= 3} | {w[:k] + "*" for w in words for k in _PREFIXES if len(w) > k}
 
 
-def _choose(sets: list[np.ndarray], labels: np.ndarray, terms: list[str], *, precision: float = 0.95, support: int = 3, cover: int = COVER) -> list[str]:
-    """Terms that tell toxic documents, by greedy covering: whole words before starts, longer cover
-    first. A document that ``cover`` chosen terms explain speaks for no more, so that what copies of
+def _choose(sets: list[np.ndarray], labels: np.ndarray, terms: list[str], *, precision: float = 0.85, support: int = 4, cover: int = COVER) -> list[str]:
+    """Terms that tell toxic documents, by greedy covering that favours whole words over starts and
+    long terms over short. A document that ``cover`` chosen terms explain speaks for no more, so that what copies of
     one document share by chance is not taken for vocabulary."""
     m = len(terms)
     counts = [np.bincount(np.concatenate([s for s, y in zip(sets, labels, strict=True) if y == k] or [np.zeros(0, np.int64)]), minlength=m) for k in (0, 1)]
     sizes = [max(1, int((labels == k).sum())) for k in (0, 1)]
     rate = [c / s for c, s in zip(counts, sizes, strict=True)]
-    fits = (counts[1] >= support) & (rate[1] >= precision * (rate[0] + rate[1])) & (counts[1] / np.maximum(counts[0] + counts[1], 1) >= precision)
+    fits = (counts[1] >= support) & (rate[1] >= precision * (rate[0] + rate[1]))
     docs = [s[fits[s]] for s, y in zip(sets, labels, strict=True) if y == 1]
     of: dict[int, list[int]] = {}
     for d, s in enumerate(docs):
@@ -260,17 +261,18 @@ def _choose(sets: list[np.ndarray], labels: np.ndarray, terms: list[str], *, pre
             of.setdefault(t, []).append(d)
     need, chosen = np.full(len(docs), cover), []
     gain = {t: len(ds) for t, ds in of.items()}
-    longest = {t: len(terms[t]) for t in gain}
+    worth = lambda t: gain[t] * (0.7 if terms[t].endswith("*") else 1.0) * (1 + 0.03 * len(terms[t]))
     threshold = max(support, len(docs) // 200)
     while gain:
-        t = max(gain, key=lambda t: (gain[t], not terms[t].endswith("*"), -longest[t], terms[t]))
+        t = max(gain, key=lambda t: (worth(t), terms[t]))
         gain.pop(t)
         now = sum(need[d] > 0 for d in of[t])
         if now < threshold:
             break
-        if gain and now < max(gain.values()):
-            gain[t] = now
+        gain[t] = now
+        if len(gain) > 1 and worth(t) < max(worth(o) for o in gain if o != t):
             continue
+        gain.pop(t)
         chosen.append(terms[t])
         for d in of[t]:
             need[d] -= 1
@@ -310,7 +312,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: "F.Column", label: str = "tox
     found = sample.select("text", "label").mapInArrow(present, "ids binary, label double").collect()
     y = np.array([r.label > 0 for r in found], int)
     lexicon = _choose([np.frombuffer(r.ids, np.int32) for r in found], y, terms)
-    model = Model(lexicon, {(t, e): 1.0 for t, term in enumerate(lexicon) for e in range(budget(term) + 1)}, np.zeros(5))
+    model = Model(lexicon, {(t, e): 1.0 for t, term in enumerate(lexicon) for e in range(budget(term) + 1)}, np.zeros(6))
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,21 +322,22 @@ def fit(docs: DataFrame, labels: DataFrame, learn: "F.Column", label: str = "tox
     import ast
 
     rows_hit = [(ast.literal_eval(r.hits), r.words, r.label > 0) for r in sample.select("text", "label").mapInArrow(matched, "hits string, words long, label double").collect()]
-    n = [max(1, sum(r[2] == k for r in rows_hit)) for k in (False, True)]
+    n = [max(1, sum(words for _, words, bad in rows_hit if bad == k)) for k in (False, True)]
     counts: dict[tuple[int, int], list[int]] = {}
-    for hits, _, toxic_row in rows_hit:
-        for key in {(t, d) for t, d, _, _ in hits}:
-            counts.setdefault(key, [0, 0])[toxic_row] += 1
-    for (t, e) in list(model.weights):
+    for hits, _, bad in rows_hit:
+        for t, d, _, _ in hits:
+            counts.setdefault((t, d), [0, 0])[bad] += 1
+    ratio = lambda clean, bad: float(np.log((bad + 0.5) / n[1]) - np.log((clean + 0.5) / n[0]))  # noqa: E731  of the rates a word
+    for t, e in list(model.weights):
         clean, bad = counts.get((t, e), (0, 0))
-        odds = np.log((bad + 0.5) / (n[1] + 1)) - np.log((clean + 0.5) / (n[0] + 1))
-        seldom = e > 0 and not bad and not clean and len(lexicon[t].rstrip("*")) >= 5 and not lexicon[t].endswith("*")
-        exact = counts.get((t, 0), (0, 1))
-        if seldom:  # a misspelling that the sample has not at all: somewhat less than the term itself
-            odds = 0.7**e * (np.log((exact[1] + 0.5) / (n[1] + 1)) - np.log((exact[0] + 0.5) / (n[0] + 1)))
-        model.weights[t, e] = float(min(odds / 4, 2.0)) if odds > 2 and bad >= 9 * clean else 0.0
+        if e and not bad and not clean and not lexicon[t].endswith("*"):
+            # a misspelling that the sample has not at all: somewhat less than the term itself
+            odds = 0.7**e * ratio(*counts.get((t, 0), (0, 0)))
+        else:
+            odds = ratio(clean, bad) if bad else 0.0
+        model.weights[t, e] = min(odds / 4, 2.0) if odds > 1.2 else 0.0
     kept = [([h for h in hits if model.weights[h[0], h[1]] > 0], words, bad) for hits, words, bad in rows_hit]
-    x = np.array([model.evidence(h, w) for h, w, _ in kept]).reshape(len(kept), 5)
+    x = np.array([model.evidence(h, w) for h, w, _ in kept]).reshape(len(kept), 6)
     model.beta = _logistic(x, np.array([r[2] for r in kept], float))
     return model
 
