@@ -32,6 +32,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .matroska import read_back, to_media
 
@@ -58,6 +64,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_quality": op2_quality, "op5_matroska": op5_matroska, "op7_toxicity": op7_toxicity, "op10_warc": op10_warc}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_quality": op2_quality, "op4_near_dedup": op4_near_dedup, "op5_matroska": op5_matroska, "op7_toxicity": op7_toxicity, "op10_warc": op10_warc}
 
 ORACLE_SQL: dict[str, str] = {}
