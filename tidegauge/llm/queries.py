@@ -57,6 +57,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC_CUT).cast("int").alias("predicted"))
 
 
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .imatch import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_round_trip
 
@@ -64,6 +70,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_quality": op2_quality, "op4_near_dedup": op4_near_dedup, "op5_matroska": op5_matroska, "op7_toxicity": op7_toxicity, "op10_warc": op10_warc}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_quality": op2_quality, "op4_near_dedup": op4_near_dedup, "op5_matroska": op5_matroska, "op7_toxicity": op7_toxicity, "op8_imatch": op8_imatch, "op10_warc": op10_warc}
 
 ORACLE_SQL: dict[str, str] = {}
