@@ -36,10 +36,11 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
 
     A-Z are lower-cased and words are what stands between ASCII white space. A text with fewer words
     than ``size`` has its whole sequence as one shingle, a text without words has none."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    split = pc.ascii_split_whitespace(texts)
     bounds = split.offsets.to_numpy()
     coded = split.flatten().dictionary_encode()
-    words = coded.dictionary.to_numpy(zero_copy_only=False)
+    # the words, not the texts, are lower-cased: on a slice ascii_lower reads beyond its values
+    words = pc.ascii_lower(coded.dictionary).to_numpy(zero_copy_only=False)
     of_word = pd.util.hash_array(words, categorize=False) if len(words) else np.zeros(0, np.uint64)
     code = coded.indices.to_numpy()
     real = (words != "")[code] if len(words) else np.zeros(0, bool)
