@@ -32,6 +32,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_chats
+
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
@@ -48,6 +54,15 @@ def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOXIC_CUT = 0.5
 
 
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is that of the document with its number: quality 0 is a URL to block."""
+    from .url_rules import judge, mine
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").filter("quality is not null").groupBy(F.col("doc_id").alias("page_id")).agg((F.min("quality") == 0).alias("blocked"))
+    return judge(pages, mine(pages.join(labels, "page_id"))).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit, score_toxicity
 
@@ -89,6 +104,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_quality": op2_quality, "op4_near_dedup": op4_near_dedup, "op5_matroska": op5_matroska, "op7_toxicity": op7_toxicity, "op8_imatch": op8_imatch, "op9_mixing": op9_mixing, "op10_warc": op10_warc}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_quality": op2_quality, "op3_chat": op3_chat, "op4_near_dedup": op4_near_dedup, "op5_matroska": op5_matroska, "op6_url_rules": op6_url_rules, "op7_toxicity": op7_toxicity, "op8_imatch": op8_imatch, "op9_mixing": op9_mixing, "op10_warc": op10_warc}
 
 ORACLE_SQL: dict[str, str] = {}
