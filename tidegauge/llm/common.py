@@ -91,3 +91,11 @@ def texts_of(batch: pa.RecordBatch, text: str = "text") -> pa.Array:
     """The texts as large strings, null as empty."""
     column = batch.column(batch.schema.get_field_index(text))
     return pc.fill_null(column.cast(pa.large_string()), "")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of df is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -122,21 +122,23 @@ def fit(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None =
     return mix
 
 
-def rates(docs: DataFrame, mix: Mix, seed: int = 17) -> DataFrame:
-    """docs with ``_tokens``, ``_posterior``, ``_rate`` and ``_copies`` appended.
+def rates(docs: DataFrame, mix: Mix, seed: int = 17, prefix: str = "_") -> DataFrame:
+    """docs with tokens, posterior, rate and copies appended, under names that begin with ``prefix``.
 
     A rate of 2.3 is two copies, and a third for the three in ten ids that a hash picks. Null texts
     count as empty. Repeated rows have equal rates. An empty table gives no rows."""
-    with_x = docs.withColumns({"_tokens": tokens(F.col("text")), "_x": features(F.col("text"))})
-    with_p = with_x.withColumn("_posterior", posterior(F.col("_x"), mix)).drop("_x")
-    with_r = with_p.withColumn("_rate", rate(F.col("_posterior"), mix.steps))
+    t, x, p, r, c = (prefix + n for n in ("tokens", "x", "posterior", "rate", "copies"))
+    with_x = docs.withColumns({t: tokens(F.col("text")), x: features(F.col("text"))})
+    with_r = with_x.withColumn(p, posterior(F.col(x), mix)).drop(x).withColumn(r, rate(F.col(p), mix.steps))
     chance = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53))
-    whole = F.floor("_rate")
-    return with_r.withColumn("_copies", (whole + (chance < F.col("_rate") - whole).cast("int")).cast("int"))
+    whole = F.floor(r)
+    return with_r.withColumn(c, (whole + (chance < F.col(r) - whole).cast("int")).cast("int"))
 
 
 def mixed(docs: DataFrame, mix: Mix, seed: int = 17) -> DataFrame:
-    """The documents as the mixture has them: each row as often as its copies say."""
-    names = docs.columns
-    out = rates(docs, mix, seed).filter("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
+    """The documents as the mixture has them: each row as often as its copies say, same columns."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    out = rates(docs, mix, seed, prefix).filter(F.col(prefix + "copies") > 0)
+    return out.withColumn(prefix + "copy", F.explode(F.sequence(F.lit(1), F.col(prefix + "copies")))).select(*docs.columns)

@@ -9,10 +9,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, materialise, small_batches, texts_of
+from .common import blocks, fresh, materialise, small_batches, texts_of
 from .components import components
 
 SHINGLE = 5
@@ -75,6 +75,10 @@ def minhash(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
+def text_hashes() -> tuple[Column, Column]:
+    return F.xxhash64(F.lit(1), "text").alias("text_hash"), F.xxhash64(F.lit(2), "text").alias("text_hash2")
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, two hashes of the whole set, and the MinHash signature of each row."""
     small_batches(docs.sparkSession)
@@ -87,9 +91,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                     first = np.array([s.sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
                     second = np.array([_mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
                 sigs = pa.array([minhash(s).tobytes() if len(s) else None for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(first), pa.array(second), sigs], ["doc_id", "n_shingles", "h1", "h2", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(first), pa.array(second), sigs, part.column(2), part.column(3)], ["doc_id", "n_shingles", "h1", "h2", "sig", "text_hash", "text_hash2"])
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *text_hashes())
+    return keyed.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary, text_hash long, text_hash2 long")
 
 
 def least_matches(percent: int, miss: float, batch: int = BATCH, hashes: int = HASHES) -> list[tuple[int, int]]:
@@ -165,7 +170,8 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int,
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 85, miss: float = 1e-6) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text).
+    """doc_id, n_shingles, component_id, kept and two hashes of the text for each row of docs
+    (doc_id, text).
 
     Rows with equal shingle sets are one class, told by two hashes and the size. Classes that share
     a band of their signatures are candidates. In each bucket all are compared with its smallest
@@ -205,6 +211,26 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, miss: float = 1e-6) -
         if not more.isEmpty():
             found = materialise(components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more)), "components")
     named = classes.join(found, "node", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "node").alias("_component"))
-    out = rows.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2", "n_shingles"], "left")
+    out = rows.drop("sig").join(named, ["h1", "h2", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("_component"))).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), "text_hash", "text_hash2").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, *, percent: int = 85, miss: float = 1e-6) -> DataFrame:
+    """docs without the rows that are not kept, and of rows with equal doc_id and text only one.
+
+    Rows without doc_id all stay. All columns pass through."""
+    names = docs.columns
+    found = materialise(near_duplicates(docs, percent=percent, miss=miss).select("doc_id", "text_hash", "text_hash2", "kept"), "decisions")
+    key = ["doc_id", "text_hash", "text_hash2"]
+    prefix = fresh(docs, "_key")
+    first, second = text_hashes()
+    keyed = docs.withColumns({f"{prefix}0": F.col("doc_id").cast("long"), f"{prefix}1": first, f"{prefix}2": second})
+    on = lambda other: [F.col(f"{prefix}{i}") == other[k] for i, k in enumerate(key)]
+    gone = materialise(found.filter("not kept").select(*key).distinct(), "gone")
+    rest = keyed.join(gone, on(gone), "left_anti")
+    twice = materialise(found.filter("kept and doc_id is not null").groupBy(*key).count().filter("count > 1").select(*key), "repeated")
+    if not twice.isEmpty():
+        once = rest.join(twice, on(twice), "left_semi").dropDuplicates([f"{prefix}{i}" for i in range(3)])
+        rest = rest.join(twice, on(twice), "left_anti").unionByName(once)
+    return rest.select(*names)

@@ -198,19 +198,19 @@ def fit(docs: DataFrame, labels: DataFrame, learn: "F.Column", label: str = "qua
     return fit_trees(x, np.array([float(r.label) for r in found]))
 
 
-def score_quality(docs: DataFrame, model: Trees) -> DataFrame:
-    """docs with a ``score`` column appended (under that name; an older one is replaced).
+def score_quality(docs: DataFrame, model: Trees, column: str = "score") -> DataFrame:
+    """docs with a score appended under the name ``column``; an older column of that name is replaced.
 
     A null text counts as empty, an empty text has a score like any other, repeated rows are scored
     each for itself, and an empty table gives no rows. Other columns pass through."""
     small_batches(docs.sparkSession)
-    docs = docs.drop("score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+    docs = docs.drop(column)
+    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch):
                 scores = model.score(statistics(texts_of(part)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], [*part.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], [*part.schema.names, column])
 
     return docs.mapInArrow(run, schema)

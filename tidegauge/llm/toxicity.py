@@ -355,19 +355,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.05) -> np.ndarray:
     return beta
 
 
-def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a ``score`` column appended (under that name; an older one is replaced).
+def score_toxicity(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
+    """docs with a score appended under the name ``column``; an older column of that name is replaced.
 
     A null text counts as empty, an empty text scores like one without hits, repeated rows are scored
     each for itself, and an empty table gives no rows. Other columns pass through."""
     small_batches(docs.sparkSession)
-    docs = docs.drop("score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+    docs = docs.drop(column)
+    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch):
                 scores = pa.array(model.score(texts_of(part)), pa.float64())
-                yield pa.RecordBatch.from_arrays([*part.columns, scores], [*part.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, scores], [*part.schema.names, column])
 
     return docs.mapInArrow(run, schema)
