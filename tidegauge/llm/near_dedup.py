@@ -19,6 +19,8 @@ SHINGLE = 5
 BANDS, ROWS = 25, 5
 HASHES = 128
 BATCH = 32
+#: Pairs of whole texts in one Arrow batch: few, as one key's pairs may all be of very long texts.
+PAIR_ROWS = 64
 
 _MULTIPLY = np.random.default_rng(20240611).integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = np.random.default_rng(20240612).integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -166,7 +168,10 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int,
     ids = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
     texts = materialise(docs.selectExpr("cast(doc_id as long) as doc_id", "text").join(ids, "doc_id"), "candidate-texts")
     text = lambda side: texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
-    return materialise(_confirmed(likely.join(text("b"), "b").join(text("a"), "a"), percent, SHINGLE), "links")
+    small_batches(docs.sparkSession, PAIR_ROWS)
+    links = materialise(_confirmed(likely.join(text("b"), "b").join(text("a"), "a"), percent, SHINGLE), "links")
+    small_batches(docs.sparkSession)
+    return links
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 85, miss: float = 1e-6) -> DataFrame:
