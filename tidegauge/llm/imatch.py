@@ -12,7 +12,7 @@ from .common import materialise
 #: Terms in at least one of RAREST and at most one of COMMONEST documents are the lexicon's. As each
 #: document adds its distinct terms to the document frequencies once, at most RAREST times the mean
 #: number of distinct terms of a document can be that frequent, whatever the number of documents.
-RAREST, COMMONEST = 2000, 8
+RAREST, COMMONEST = 2000, 20
 #: A lexicon of up to so many terms is broadcast (some 60 MB); beyond, the join shuffles the terms.
 BROADCAST_TERMS = 1_000_000
 LEVELS, PER_LEVEL = 8, 5
@@ -24,27 +24,51 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.split(F.lower(text), r"[\s\p{Punct}]+"))
 
 
+def _wide(level: int) -> int:
+    return max(0, level - 2)
+
+
 def lexicon(docs: DataFrame, total: int, rarest: int = RAREST, commonest: int = COMMONEST) -> DataFrame:
-    """(term, mask): the terms in the band of inverse document frequency, and a bit for each of the
-    LEVELS * PER_LEVEL random sub-lexicons that a term is in; level l keeps terms at 2**-(l + 1)."""
+    """(term, mask): the terms in the band of inverse document frequency, with a bit for each of the
+    LEVELS * PER_LEVEL random sub-lexicons that a term is in, then one for each level. A sub-lexicon
+    of level l has one in 2**(l + 1) of the terms. From level 3 on they are drawn from an eighth of
+    the terms of the wider draw of that level, each of which lies in the one before."""
     counts = docs.select(F.explode(terms(F.col("text"))).alias("term")).filter("term != ''").groupBy("term").count()
     idf = -F.log(F.col("count") / F.lit(float(max(total, 1))))
     band = counts.filter((idf <= math.log(rarest)) & (idf >= math.log(commonest)) | (F.lit(total < 2 * commonest) & (F.col("count") < total)))
+    h = F.xxhash64("term", F.lit(0))
     mask = F.lit(0).cast("long")
-    for j in range(LEVELS * PER_LEVEL):
-        kept = F.xxhash64("term", F.lit(j)).bitwiseAND((2 << j // PER_LEVEL) - 1) == 0
-        mask = mask + F.when(kept, F.lit(1 << j).cast("long")).otherwise(0)
+    for level in range(LEVELS):
+        inside = h.bitwiseAND((1 << _wide(level)) - 1) == 0
+        share = (2 << level - _wide(level)) - 1
+        bits = F.lit(1 << LEVELS * PER_LEVEL + level).cast("long")
+        for j in range(level * PER_LEVEL, (level + 1) * PER_LEVEL):
+            bits = bits + F.when(F.xxhash64("term", F.lit(j + 1)).bitwiseAND(share) == 0, F.lit(1 << j).cast("long")).otherwise(0)
+        mask = mask + F.when(inside, bits).otherwise(0)
     return band.select("term", mask.alias("mask"))
 
 
-def _digests(found: Column) -> Column:
-    """A digest for each sub-lexicon over the sorted distinct terms in it; empty where there are none."""
+def _digests(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Replaces sorted arrays of (term, mask) by a digest for each sub-lexicon, over the sorted
+    distinct terms in it; empty where there are none. A level is searched in the level before."""
+
+    def kept(found: Column, bit: Column) -> Column:
+        return F.filter(found, lambda x: x["mask"].bitwiseAND(bit) != 0)
+
+    def digest(found: Column):
+        def of(bit: Column) -> Column:
+            own = F.transform(kept(found, bit), lambda x: x["term"])
+            return F.when(F.size(own) > 0, F.substring(F.lpad(F.hex(F.xxhash64(own)), 16, "0"), 9, 8)).otherwise("")
 
-    def digest(bit: Column) -> Column:
-        own = F.transform(F.filter(found, lambda x: x["mask"].bitwiseAND(bit) != 0), lambda x: x["term"])
-        return F.when(F.size(own) > 0, F.substring(F.lpad(F.hex(F.xxhash64(own)), 16, "0"), 9, 8)).otherwise("")
+        return of
 
-    return F.transform(F.array(*(F.lit(1 << j).cast("long") for j in range(LEVELS * PER_LEVEL))), digest)
+    long = lambda i: F.lit(1 << i).cast("long")
+    for level in range(LEVELS):
+        bits = F.array(*map(long, range(level * PER_LEVEL, (level + 1) * PER_LEVEL)))
+        if _wide(level):
+            rows = rows.withColumns({n: kept(F.col(n), long(LEVELS * PER_LEVEL + level)) for n in names})
+        rows = rows.withColumns({f"_{n}{level}": F.transform(bits, digest(F.col(n))) for n in names})
+    return rows.withColumns({n: F.concat(*(F.col(f"_{n}{level}") for level in range(LEVELS))) for n in names}).drop(*(f"_{n}{level}" for n in names for level in range(LEVELS)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -119,7 +143,7 @@ def fingerprints(docs: DataFrame, *, rarest: int = RAREST, commonest: int = COMM
     of = lambda k: F.sort_array(F.collect_list(F.when((F.col("which") == k) & (F.col("term") != _ALWAYS), F.struct("term", "mask"))))
     once = lambda c: F.max(F.when(F.col("term") == _ALWAYS, F.col(c))).alias(c)
     grouped = hit.groupBy("bucket", "place").agg(of(0).alias("a"), of(1).alias("b"), *(once(c) for c in ("ghost", "doc_id", "n_chars", "edited_sha256")))
-    printed = grouped.select("bucket", "place", "ghost", "doc_id", "n_chars", "edited_sha256", _digests(F.col("a")).alias("a"), _digests(F.col("b")).alias("b"))
+    printed = _digests(grouped, ["a", "b"])
     after = printed.withColumn("c", F.lead("a").over(Window.partitionBy("bucket").orderBy("place"))).filter("not ghost")
     return after.select(
         "doc_id", "n_chars", "edited_sha256",
