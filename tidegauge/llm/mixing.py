@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Letters whose shares tell languages apart. Each costs a search through all texts.
+LETTERS = "hjkoqwyz"
+#: Labelled rows that the classifier is fitted on at most (those whose ids hash lowest).
+SAMPLE_ROWS = 20_000
 #: Domains that a model may tell apart; their number is the size of everything the driver gathers.
 MOST_DOMAINS = 64
 _FLOOR = 1e-6  # variance of a feature at least
@@ -70,21 +73,30 @@ def rate(p: Column, steps: list[list[float]]) -> Column:
     return F.aggregate(_array(steps), F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - _dot(p, g)))
 
 
-def fit(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, *, temperature: float = 0.8, total_tokens: float | None = None, iterations: int = 60, tolerance: float = 1e-9) -> Mix:
+def measured(docs: DataFrame, domain: str) -> DataFrame:
+    """doc_id, domain, tokens and features of docs (doc_id, text and the named domain column), as a
+    written table: texts are read once for all that ``fit`` does."""
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(domain).cast("string").alias("domain"), tokens(F.col("text")).alias("t"), features(F.col("text")).alias("x"))
+    return materialise(found, "measured")
+
+
+def fit(table: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, *, temperature: float = 0.8, total_tokens: float | None = None, iterations: int = 60, tolerance: float = 1e-9, rows: int = SAMPLE_ROWS) -> Mix:
     """Fits nonnegative document rates so that the expected tokens of each domain match the targets.
 
-    labelled has ``text`` and ``domain``: all its rows give the classifier its class means and
-    variances, in one aggregation. The objective is half the sum over the domains of the squared
-    difference between expected and target tokens; each step moves a document against the gradient,
-    scaled by its domains' token mass, and projects its rate to zero or more. A document's rate is
-    the fold of all steps over its posterior, so the iterations keep no state but one small array a
-    step, and each is one pass of sums over the table of posteriors.
+    table comes from ``measured``; the domain of a row counts as known where its doc_id is in labels
+    (of which at most ``rows`` ids are used), and gives the classifier its class means and variances.
+    The objective is half the sum over the domains of the squared difference between expected and
+    target tokens; each step moves a document against the gradient, scaled by its domains' token
+    mass, and projects its rate to zero or more. A document's rate is the fold of all steps over its
+    posterior, so the iterations keep no state but one small array a step, and each is one pass of
+    sums over the table.
 
     Targets default to the present shares raised to ``temperature`` and normalised, and to the
-    present total. Labels without text or domain are left out; without labels there is one domain
-    and all rates are 1. A target of a domain without any mass is spread over the others."""
+    present total. Null ids and domains are left out; without labels there is one domain and all
+    rates are 1. A target of a domain without any mass is spread over the others."""
     x = [f"x{i}" for i in range(len(LETTERS) + 1)]
-    known = labelled.filter(F.col("domain").isNotNull()).select(F.col("domain").cast("string").alias("domain"), features(F.col("text")).alias("x"))
+    ids = labels.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    known = table.filter("domain is not null").join(F.broadcast(ids), "doc_id", "left_semi")
     known = known.select("domain", *(F.col("x")[i].alias(c) for i, c in enumerate(x)))
     moments = known.groupBy("domain").agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for c in x for f in (F.avg, F.var_pop))).orderBy("domain").limit(MOST_DOMAINS + 1).collect()
     if len(moments) > MOST_DOMAINS:
@@ -94,8 +106,7 @@ def fit(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None =
     n = sum(r.n for r in moments)
     mix = Mix([r.domain for r in moments], [math.log(r.n / n) for r in moments], [[r[f"avg_{c}"] for c in x] for r in moments], [[max(r[f"var_pop_{c}"], 0.0) + _FLOOR for c in x] for r in moments], [], [], [])
     k = len(mix.domains)
-    masses = docs.select(tokens(F.col("text")).alias("t"), features(F.col("text")).alias("x")).select("t", posterior(F.col("x"), mix).alias("p"))
-    masses = materialise(masses, "posteriors")
+    masses = materialise(table.select("t", posterior(F.col("x"), mix).alias("p")), "posteriors")
     p = [F.col("p")[i] for i in range(k)]
     first = masses.agg(*(F.sum(F.col("t") * c).alias(f"s{i}") for i, c in enumerate(p)), *(F.sum(F.col("t") * p[i] * p[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k))).first()
     now = [first[f"s{i}"] or 0.0 for i in range(k)]
@@ -122,23 +133,22 @@ def fit(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None =
     return mix
 
 
-def rates(docs: DataFrame, mix: Mix, seed: int = 17, prefix: str = "_") -> DataFrame:
-    """docs with tokens, posterior, rate and copies appended, under names that begin with ``prefix``.
+def rates(table: DataFrame, mix: Mix, seed: int = 17) -> DataFrame:
+    """table (doc_id, t, x and any others) with posterior, rate and copies in place of x.
 
-    A rate of 2.3 is two copies, and a third for the three in ten ids that a hash picks. Null texts
-    count as empty. Repeated rows have equal rates. An empty table gives no rows."""
-    t, x, p, r, c = (prefix + n for n in ("tokens", "x", "posterior", "rate", "copies"))
-    with_x = docs.withColumns({t: tokens(F.col("text")), x: features(F.col("text"))})
-    with_r = with_x.withColumn(p, posterior(F.col(x), mix)).drop(x).withColumn(r, rate(F.col(p), mix.steps))
+    A rate of 2.3 is two copies, and a third for the three in ten ids that a hash picks. Repeated
+    rows have equal rates. An empty table gives no rows."""
+    with_r = table.withColumn("_p", posterior(F.col("x"), mix)).withColumn("_r", rate(F.col("_p"), mix.steps))
     chance = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53))
-    whole = F.floor(r)
-    return with_r.withColumn(c, (whole + (chance < F.col(r) - whole).cast("int")).cast("int"))
+    whole = F.floor("_r")
+    copies = (whole + (chance < F.col("_r") - whole).cast("int")).cast("int")
+    return with_r.withColumn("copies", copies).drop("x").withColumnsRenamed({"_p": "posterior", "_r": "rate"})
 
 
 def mixed(docs: DataFrame, mix: Mix, seed: int = 17) -> DataFrame:
-    """The documents as the mixture has them: each row as often as its copies say, same columns."""
-    prefix = "_"
-    while any(c.startswith(prefix) for c in docs.columns):
-        prefix += "_"
-    out = rates(docs, mix, seed, prefix).filter(F.col(prefix + "copies") > 0)
-    return out.withColumn(prefix + "copy", F.explode(F.sequence(F.lit(1), F.col(prefix + "copies")))).select(*docs.columns)
+    """The documents as the mixture has them: each row as often as its copies say, same columns.
+
+    Null texts count as empty."""
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), features(F.col("text")).alias("x"))
+    out = rates(packed, mix, seed).filter("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -82,20 +82,13 @@ def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domains are languages. Those of the rows in ``labels`` are taken as known, those of all rows
     as uncertain: the classifier's posteriors, never the lang column, make a document's rate."""
-    from .mixing import fit, rates
+    from .mixing import fit, measured, rates
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    mix = fit(docs, labelled_domains(spark, sf_dir))
-    out = rates(docs, mix)
-    best = F.array_position("_posterior", F.array_max("_posterior")).cast("int")
+    known = measured(table(spark, sf_dir, "documents"), "lang")
+    mix = fit(known, table(spark, sf_dir, "labels"))
+    best = F.array_position("posterior", F.array_max("posterior")).cast("int")
     domain = F.element_at(F.array(*map(F.lit, mix.domains)), best)
-    return out.select("doc_id", F.col("_tokens").cast("long").alias("tokens"), domain.alias("domain"), F.array_max("_posterior").alias("posterior"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
-
-
-def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(text, domain) of the documents that the labels table covers."""
-    labels = table(spark, sf_dir, "labels").select("doc_id").distinct()
-    return table(spark, sf_dir, "documents").join(labels, "doc_id", "left_semi").select("text", F.col("lang").alias("domain"))
+    return rates(known, mix).select("doc_id", F.col("t").cast("long").alias("tokens"), domain.alias("domain"), F.array_max("posterior").alias("posterior"), "rate", "copies")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
