@@ -39,9 +39,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the rates say that bring the languages' tokens to their targets."""
-    labels = table(spark, sf_dir, "labels").select("doc_id").distinct()
-    labelled = docs.join(labels, "doc_id", "left_semi").select("text", F.col("lang").alias("domain"))
-    return mixing.mixed(docs, mixing.fit(docs, labelled))
+    mix = mixing.fit(mixing.measured(docs, "lang"), table(spark, sf_dir, "labels"))
+    return mixing.mixed(docs, mix)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
