@@ -52,14 +52,21 @@ def _array(values: list) -> Column:
     return F.array(*(_array(v) if isinstance(v, list) else F.lit(float(v)) for v in values))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def posterior(x: Column, mix: Mix) -> Column:
     """Domain posteriors of a feature array under Gaussian naive Bayes with the mix's moments."""
     constants = [p - 0.5 * sum(math.log(v) for v in var) for p, var in zip(mix.prior, mix.variance, strict=True)]
     inverse = [[0.5 / v for v in var] for var in mix.variance]
-    parts = F.transform(F.arrays_zip(_array(constants).alias("c"), _array(mix.mean).alias("m"), _array(inverse).alias("v")), lambda d: d["c"] - F.aggregate(
-        F.zip_with(F.zip_with(x, d["m"], lambda a, b: (a - b) * (a - b)), d["v"], lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b))
-    weights = F.transform(parts, lambda a: F.exp(a - F.array_max(parts)))
-    return F.transform(weights, lambda w: w / F.aggregate(weights, F.lit(0.0), lambda a, b: a + b))
+    classes = F.arrays_zip(_array(constants).alias("c"), _array(mix.mean).alias("m"), _array(inverse).alias("v"))
+    distance = lambda x, d: F.aggregate(F.zip_with(F.zip_with(x, d["m"], lambda a, b: (a - b) * (a - b)), d["v"], lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    scores = lambda x: F.transform(classes, lambda d: d["c"] - distance(x, d))
+    weights = lambda s: let(F.array_max(s), lambda top: F.transform(s, lambda a: F.exp(a - top)))
+    shares = lambda w: let(F.aggregate(w, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(w, lambda a: a / total))
+    return let(x, lambda x: let(scores(x), lambda s: let(weights(s), shares)))
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -133,22 +140,26 @@ def fit(table: DataFrame, labels: DataFrame, weights: dict[str, float] | None =
     return mix
 
 
+def _outcome(x: Column, key: Column, mix: Mix, seed: int) -> Column:
+    """Posterior, rate and copies of a feature array, as one struct."""
+    chance = F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11) / F.lit(float(1 << 53))
+    copies = lambda r: (F.floor(r) + (chance < r - F.floor(r)).cast("int")).cast("int")
+    return let(posterior(x, mix), lambda p: let(rate(p, mix.steps), lambda r: F.struct(p.alias("posterior"), r.alias("rate"), copies(r).alias("copies"))))
+
+
 def rates(table: DataFrame, mix: Mix, seed: int = 17) -> DataFrame:
     """table (doc_id, t, x and any others) with posterior, rate and copies in place of x.
 
     A rate of 2.3 is two copies, and a third for the three in ten ids that a hash picks. Repeated
     rows have equal rates. An empty table gives no rows."""
-    with_r = table.withColumn("_p", posterior(F.col("x"), mix)).withColumn("_r", rate(F.col("_p"), mix.steps))
-    chance = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53))
-    whole = F.floor("_r")
-    copies = (whole + (chance < F.col("_r") - whole).cast("int")).cast("int")
-    return with_r.withColumn("copies", copies).drop("x").withColumnsRenamed({"_p": "posterior", "_r": "rate"})
+    names = [c for c in table.columns if c != "x"]
+    return table.select(*names, _outcome(F.col("x"), F.col("doc_id"), mix, seed).alias("_o")).select(*names, "_o.*")
 
 
 def mixed(docs: DataFrame, mix: Mix, seed: int = 17) -> DataFrame:
     """The documents as the mixture has them: each row as often as its copies say, same columns.
 
     Null texts count as empty."""
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), features(F.col("text")).alias("x"))
-    out = rates(packed, mix, seed).filter("copies > 0")
-    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    copies = _outcome(features(F.col("text")), F.col("doc_id").cast("long"), mix, seed)["copies"]
+    each = let(copies, lambda n: F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")))
+    return docs.select(F.struct(*docs.columns).alias("row"), F.explode(each)).select("row.*")

@@ -21,6 +21,8 @@ HASHES = 128
 BATCH = 32
 #: Pairs of whole texts in one Arrow batch: few, as one key's pairs may all be of very long texts.
 PAIR_ROWS = 64
+#: Rows of a block of outsiders or of candidates for them.
+TILE = 256
 
 _MULTIPLY = np.random.default_rng(20240611).integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = np.random.default_rng(20240612).integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -160,11 +162,16 @@ def _confirmed(pairs: DataFrame, percent: int, shingle: int) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, miss: float) -> DataFrame:
-    """The pairs (a, b) of candidates that are links: by signature first, then on the full texts."""
+def _likely(pairs: DataFrame, reps: DataFrame, percent: int, miss: float) -> DataFrame:
+    """The candidate pairs (a, b) that their signatures leave likely enough."""
     of = lambda side: reps.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}"))
     sized = pairs.join(of("b"), "b").join(of("a"), "a").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    likely = materialise(_similar(sized, percent, miss), "likely-pairs")
+    return _similar(sized, percent, miss)
+
+
+def _exact(likely: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The likely pairs (a, b) that are links, on the full texts; each text is read from docs once."""
+    likely = materialise(likely, "likely-pairs")
     ids = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
     texts = materialise(docs.selectExpr("cast(doc_id as long) as doc_id", "text").join(ids, "doc_id"), "candidate-texts")
     text = lambda side: texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
@@ -174,15 +181,94 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int,
     return links
 
 
+def _outsiders(led: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, miss: float) -> DataFrame | None:
+    """Candidate pairs (a, b) that no comparison with a leader has settled, or None.
+
+    Of n shingles of x, u are in no other unsettled text. So x and y share at most
+    m = min(n_x - u_x, n_y - u_y), and are no link if m is too few for their sizes. The outsiders that
+    this leaves are the query set: blocks of them meet blocks of all rows of their leader, both of
+    about TILE rows, and a tile gives the pairs alone that sizes, m and signatures leave likely."""
+    label = lambda key, name: found.select(F.col("node").alias(key), F.col("component").alias(name))
+    placed = led.join(label("b", "own"), "b", "left").join(label("a", "main"), "a", "left")
+    placed = placed.select("a", "b", F.coalesce("own", "b").alias("own"), F.coalesce("main", "a").alias("main"))
+    unsettled = placed.groupBy("a").agg(F.min("own").alias("_least"), F.max("own").alias("_most")).filter("_least < _most").select("a")
+    rows = materialise(placed.join(unsettled, "a", "left_semi"), "unsettled")
+    if rows.isEmpty():
+        return None
+    nodes = rows.select(F.col("b").alias("doc_id")).distinct()
+    texts = docs.selectExpr("cast(doc_id as long) as doc_id", "text").join(nodes, "doc_id")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch):
+                sets = pa.array([x.view(np.int64) for x in shingle_sets(texts_of(part))], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), sets], ["node", "s"])
+
+    single = texts.mapInArrow(hashed, "node long, s array<long>").select("node", F.explode("s").alias("s")).groupBy("s").agg(F.min("node").alias("node"), F.max("node").alias("_last"))
+    own = single.filter("node = _last").groupBy("node").agg(F.count("*").alias("u"))
+    sized = reps.groupBy("node").agg(F.min("n_shingles").alias("n_least"), F.max("n_shingles").alias("n"))
+    known = rows.join(sized.withColumnRenamed("node", "b"), "b").join(own.withColumnRenamed("node", "b"), "b", "left")
+    # where a doc_id stands on several rows, its sizes and shingles are not one text's: nothing is excluded
+    known = known.withColumns({"u": F.when(F.col("n_least") == F.col("n"), F.coalesce("u", F.lit(0))).otherwise(0)}).drop("n_least")
+    known = materialise(known, "unsettled")
+    # an outsider whose own shingles leave no size that a partner could have is settled
+    share = percent / 100
+    most = F.least(F.col("n") / share, (F.col("n") - F.col("u")) / share - F.col("u")) * (1 + 1e-9)
+    known = known.withColumn("asks", (F.col("own") != F.col("main")) & (most >= F.greatest(F.lit(1.0), F.col("n") * share * (1 - 1e-9))))
+    counts = known.groupBy("a").agg(F.count("*").alias("_rows"), F.count_if("asks").alias("_asking")).filter("_asking > 0")
+    known = known.join(counts, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.ceil(F.col("_rows") / TILE)))
+    known = known.join(reps.select(F.col("node").alias("b"), "sig"), "b")
+    entry = F.struct(F.col("b").alias("id"), "own", (F.col("own") == F.col("main")).alias("inside"), "n", "u", "sig")
+    whole = known.groupBy("a", "block").agg(F.collect_list(entry).alias("ys"), F.collect_list(F.when(F.col("asks"), entry)).alias("xs"))
+    whole = materialise(whole, "blocks")
+    tiles = whole.select("a", "xs").filter(F.size("xs") > 0).join(whole.select("a", "ys"), "a").select("xs", "ys")
+    small_batches(docs.sparkSession, PAIR_ROWS)
+    pairs = materialise(_tile_pairs(tiles, percent, miss).distinct(), "outsider-pairs")
+    small_batches(docs.sparkSession)
+    settled = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.join(settled, ["a", "b"], "left_anti")
+
+
+def _tile_pairs(tiles: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Of tiles (xs asking, ys asked, both of bounded length) the pairs that may be links."""
+    bounds = least_matches(percent, miss)
+
+    def columns(entries: list[dict]):
+        return (*(np.array([e[c] for e in entries]) for c in ("id", "own", "inside", "n", "u")), np.frombuffer(b"".join(e["sig"] for e in entries), np.uint32).reshape(-1, HASHES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.zeros((0, 2), np.int64)]
+            for xs, ys in zip(batch.column(0), batch.column(1), strict=True):
+                xi, xo, _, xn, xu, xs_ = columns(xs.as_py())
+                yi, yo, inside, yn, yu, ys_ = columns(ys.as_py())
+                m = np.minimum((xn - xu)[:, None], yn - yu)
+                fits = (xo[:, None] != yo) & (inside | (xi[:, None] < yi)) & (100 * m >= percent * (xn[:, None] + yn - m))
+                fits &= 100 * np.minimum(xn[:, None], yn) >= percent * np.maximum(xn[:, None], yn)
+                i, j = np.nonzero(fits)
+                matches, done = np.zeros(len(i), np.int64), 0
+                for upto, least in bounds:
+                    matches = matches + (xs_[i, done:upto] == ys_[j, done:upto]).sum(1)
+                    keep = matches >= least
+                    i, j, matches, done = i[keep], j[keep], matches[keep], upto
+                found.append(np.column_stack([np.minimum(xi[i], yi[j]), np.maximum(xi[i], yi[j])]))
+            pairs = np.unique(np.vstack(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return tiles.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, *, percent: int = 85, miss: float = 1e-6) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and two hashes of the text for each row of docs
     (doc_id, text).
 
     Rows with equal shingle sets are one class, told by two hashes and the size. Classes that share
-    a band of their signatures are candidates. In each bucket all are compared with its smallest
-    member; where that leaves several components, the members outside the leader's component are
-    compared with all of the bucket that they are not yet joined to. So every candidate pair of
-    different components is compared, and no pairs are made within a component. A pair is given up
+    a band of their signatures are candidates. Each bucket is led by its member with the most bucket
+    mates over all bands, which the original of many copies is, and all are compared with it. Where
+    that leaves several components among those that a leader leads, its outsiders are compared with
+    the others that they are not joined to, unless their sizes and the shingles that no other
+    candidate has show that the pair can't be a link. So every candidate pair of different components
+    is compared or excluded by proof, and no pairs are made within a component. A pair is given up
     when the posterior chance that its similarity reaches the threshold falls under ``miss``; what
     stays is confirmed on the full sets. A pair at the threshold shares no band with probability
     (1 - 0.85**5)**25, which is 4e-7.
@@ -196,23 +282,17 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, miss: float = 1e-6) -
     reps = materialise(some.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", "h1", "h2", "n_shingles"]).select(F.col("doc_id").alias("node"), "n_shingles", "sig"), "representatives")
     width = 4 * ROWS
     bands = reps.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width + 1, F.lit(width))))).alias("band"))
-    leaders = bands.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("_last")).filter("leader < _last").drop("_last")
-    buckets = materialise(bands.join(leaders, "band"), "buckets")
-    first = buckets.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = _verified(first, reps, docs, percent, miss)
+    sizes = bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = materialise(bands.join(sizes, "band"), "buckets")
+    degree = shared.groupBy("node").agg(F.sum("size").alias("degree"))
+    leaders = shared.join(degree, "node").groupBy("band").agg((-F.max(F.struct("degree", (-F.col("node")).alias("n")))["n"]).alias("a"))
+    first = shared.join(leaders, "band").filter("node != a").select("a", F.col("node").alias("b")).distinct()
+    first = materialise(first, "led")
+    links = _exact(_likely(first, reps, percent, miss), docs, percent)
     found = materialise(components(links), "components")
-
-    label = lambda key: found.select(F.col("node").alias(key), F.col("component").alias(f"{key}_component"))
-    placed = buckets.join(label("node"), "node", "left").join(label("leader"), "leader", "left")
-    placed = placed.select("band", "node", "leader", F.coalesce("node_component", "node").alias("own"), F.coalesce("leader_component", "leader").alias("main"))
-    outside = materialise(placed.filter("own != main"), "outside")
-    if not outside.isEmpty():
-        theirs = outside.select("band", F.col("node").alias("x"), F.col("own").alias("x_own"))
-        open_bands = outside.select("band").distinct()
-        others = placed.filter("node != leader").join(open_bands, "band", "left_semi")
-        cross = theirs.join(others, "band").filter("own != x_own and (own = main or x < node)")
-        second = cross.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-        more = _verified(second.join(first, ["a", "b"], "left_anti"), reps, docs, percent, miss)
+    second = _outsiders(first, found, reps, docs, percent, miss)
+    if second is not None:
+        more = _exact(second, docs, percent)
         if not more.isEmpty():
             found = materialise(components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more)), "components")
     named = classes.join(found, "node", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "node").alias("_component"))
