@@ -140,6 +140,11 @@ def sample_number(chain, draw, n_draws: int) -> Column:
     return _c(chain) * n_draws + _c(draw)
 
 
+def expanded_sigma(q, n_states: int) -> Column:
+    """A pair of deviations as one for each state: the first state's, then the other for all others."""
+    return F.concat(F.array(_c(q)[0]), F.array_repeat(_c(q)[1], n_states - 1))
+
+
 def softplus(x) -> Column:
     return F.log1p(F.exp(_c(x)))
 

@@ -1,22 +1,30 @@
-"""Estimation: conjugate-free Gibbs for the damped trend, MAP by Adam and adaptive MCMC for filters."""
+"""Estimation: Gibbs for the damped trend, MAP by Adam and adaptive MCMC for filters, WBIC tuning.
+
+For given smoothing and missing steps the damped trend is linear in its data, so with regressors X
+the residual is (I - L)y - (I - L)X beta. One pass over the data runs the trend over y and over each
+regressor (``basis``); Gram sums of what is left, and the last states, are a small row a series.
+Chains, draws, tuning and forecasts work on those rows and never see the data again.
+"""
 
 from __future__ import annotations
 
 import math
+import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
+from .scan import FOLD_ROWS, by_length, folded, lists, numbers
 
 
 def _rng(seed: int, *parts) -> np.random.Generator:
     """A generator that depends on the seed and the names, not on partitions."""
-    import zlib
-
     return np.random.Generator(np.random.Philox(key=[seed, zlib.crc32("|".join(map(str, parts)).encode())]))
 
 
@@ -38,19 +46,6 @@ def _truncated(rng, mean: float, sd: float, sign: str) -> float:
             return flip * (flip * mean + sd * z)
 
 
-def gram(y: np.ndarray, x: np.ndarray, lev_sm: float, slp_sm: float, theta: float) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """X'X, X'y, y'y and the count of what the trend leaves of data and regressors.
-
-    The recursion is linear in its data for given smoothing and missing steps, so the residual is
-    (I - L)y - (I - L)X beta: the trend is run once over y and once over each regressor."""
-    gone = np.isnan(y)
-    data = np.vstack([y, *np.where(gone, np.nan, x.T)]) if x.size else y[None]
-    rest = data - kernels.dlt_scan(data, lev_sm, slp_sm, theta)[2]
-    rest = rest[:, np.isfinite(rest[0])]
-    yy, xx = rest[0], rest[1:]
-    return xx @ xx.T, xx @ yy, float(yy @ yy), len(yy)
-
-
 def gibbs(xx, xy, yy, n, signs, loc, scale, rng, warmup: int, draws: int, sigma_scale: float = 5.0):
     """Draws of coefficients and noise: truncated normals one by one, then sigma by slice sampling."""
     k = len(xy)
@@ -81,63 +76,208 @@ def gibbs(xx, xy, yy, n, signs, loc, scale, rng, warmup: int, draws: int, sigma_
     return out_b, out_s
 
 
-FIT_SCHEMA = "series_id string, chain int, draw int, sigma double, last_level double, last_slope double, coef array<double>, regressors array<string>"
+# ------------------------------------------------------------------ the damped trend
 
+BASIS_SCHEMA = "series_id string, t long, y double, x array<double>, c array<double>, level array<double>, slope array<double>"
 
-def fit_dlt(df: DataFrame, lev_sm: float, slp_sm: float, theta: float, *, regressors: list[str] | None = None, scheme=None, warmup: int = 100, draws: int = 100, chains: int = 4, seed: int = 0) -> DataFrame:
-    """Posterior draws of the damped trend with regressors, a task for each series and chain.
 
-    df has series_id, t, y and the regressors; ``scheme`` maps each to (sign, loc, scale). Names stay
-    with their coefficients whatever their signs. A first y that is missing, and a scheme without the
-    columns it names, are errors."""
-    names = sorted(regressors or [])
-    scheme = scheme or {n: ("=", 0.0, 1.0) for n in names}
-    if missing := set(scheme) - set(df.columns):
-        raise ValueError(f"no covariates {sorted(missing)}")
-    signs, loc, scale = ([scheme[n][i] for n in names] for i in range(3))
-    kinds = pa.schema([("series_id", pa.string()), ("chain", pa.int32()), ("draw", pa.int32()), ("sigma", pa.float64()), ("last_level", pa.float64()), ("last_slope", pa.float64()), ("coef", pa.list_(pa.float64())), ("regressors", pa.list_(pa.string()))])
+def basis(df: DataFrame, lev_sm: float, slp_sm: float, theta: float, regressors: list[str] | None = None, rows: int = FOLD_ROWS) -> DataFrame:
+    """The trend over y and over each regressor: component, level and slope arrays, y's first.
 
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        pdf = rows.to_pandas().sort_values("t")
-        series, chain = pdf["series_id"].iloc[0], int(pdf["chain"].iloc[0])
-        y, x = pdf["y"].to_numpy(float), pdf[names].to_numpy(float)
-        rng = _rng(seed, series, chain)
-        b, s = gibbs(*gram(y, x, lev_sm, slp_sm, theta), signs, loc, scale, rng, warmup, draws)
-        level, slope, _ = kernels.dlt_scan(y[None] - b @ x.T, lev_sm, slp_sm, theta)
-        out = {"series_id": [series] * draws, "chain": [chain] * draws, "draw": range(draws), "sigma": s, "last_level": level[:, -1], "last_slope": slope[:, -1], "coef": list(b), "regressors": [names] * draws}
-        if len(level) == 1 and draws > 1:
-            out["last_level"], out["last_slope"] = np.repeat(level[:, -1], draws), np.repeat(slope[:, -1], draws)
-        return pa.Table.from_pandas(pd.DataFrame(out), schema=kinds, preserve_index=False)
+    df has series_id, t, y and the regressors. Where y is missing the regressors count as missing
+    too; a regressor that is missing elsewhere, and a first y that is missing, are errors."""
+    names = list(regressors or [])
 
-    spread = df.select("series_id", "t", F.col("y").cast("double").alias("y"), *names).withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))))
-    return spread.groupBy("series_id", "chain").applyInArrow(run, FIT_SCHEMA)
+    def fold(table: pa.Table) -> Iterator[pa.Table]:
+        y = numbers(table, "y")
+        x = np.column_stack([numbers(table, n) for n in names]) if names else np.zeros((len(y), 0))
+        if np.isnan(x[~np.isnan(y)]).any():
+            raise ValueError("a regressor is missing where y is not")
+        both = np.column_stack([y, np.where(np.isnan(y)[:, None], np.nan, x)])
+        for at in by_length(table, "series_id"):
+            b, steps = at.shape
+            data = both[at].transpose(0, 2, 1).reshape(-1, steps)
+            level, slope, c = (v.reshape(b, -1, steps).transpose(0, 2, 1).reshape(b * steps, -1) for v in kernels.dlt_scan(data, lev_sm, slp_sm, theta))
+            own = table.take(pa.array(at.ravel()))
+            yield pa.table([own.column("series_id"), own.column("t"), own.column("y"), lists(x[at.ravel()], at.size), lists(c, at.size), lists(level, at.size), lists(slope, at.size)], [f.split()[0] for f in BASIS_SCHEMA.split(", ")])
 
+    chosen = df.select(F.col("series_id").cast("string").alias("series_id"), F.col("t").cast("long").alias("t"), F.col("y").cast("double").alias("y"), *(F.col(n).cast("double").alias(n) for n in names))
+    return folded(chosen, fold, BASIS_SCHEMA, rows=rows)
 
-def forecast_dlt(fits: DataFrame, theta: float, horizon: int, future: DataFrame | None = None, *, noise: bool = False, seed: int = 0, transform=None) -> DataFrame:
-    """Draws ahead (series_id, sample, t, component, forecast) in closed form: without new
-    observations the trend's level takes on its own forecast each step and its slope is damped.
 
-    future has series_id, t (from 0) and the regressors. ``noise`` adds the observation error, and
-    ``transform`` maps a column of forecasts to another."""
-    n_draws = fits.agg(F.max("draw")).first()[0]
-    sampled = fits.withColumn("sample", F.col("chain") * ((n_draws or 0) + 1) + F.col("draw"))
-    steps = sampled.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1))))
-    return _forecast(steps, theta, future, noise, seed, transform)
+def gram(found: DataFrame, k: int) -> DataFrame:
+    """Of each series: the Gram sums g of (y, x1..xk) less their trends in row order of the upper
+    triangle, the count n of seen steps, the steps, and the last levels and slopes."""
+    seen = F.abs("y") < float("inf")  # neither null nor NaN nor infinite
+    e = [F.col("y") - F.col("c")[0], *(F.col("x")[i] - F.col("c")[i + 1] for i in range(k))]
+    cells = [F.coalesce(F.sum(F.when(seen, e[i] * e[j])), F.lit(0.0)) for i in range(k + 1) for j in range(i, k + 1)]
+    last = F.max_by(F.struct("level", "slope"), "t")
+    out = found.groupBy("series_id").agg(F.array(*cells).alias("g"), F.count_if(seen).alias("n"), F.count("*").alias("steps"), last.alias("last"))
+    return out.select("series_id", "g", "n", "steps", F.col("last.level").alias("level"), F.col("last.slope").alias("slope"))
+
+
+def _unpacked(g: list[float], k: int) -> tuple[np.ndarray, np.ndarray, float]:
+    full = np.zeros((k + 1, k + 1))
+    full[np.triu_indices(k + 1)] = g
+    full = np.triu(full) + np.triu(full, 1).T
+    return full[1:, 1:], full[0, 1:], float(full[0, 0])
+
+
+FIT_SCHEMA = "series_id string, chain int, draw int, sigma double, last_level double, last_slope double, coef array<double>, regressors array<string>, steps long"
+
+
+def _prior(df: DataFrame, regressors: list[str] | None, scheme) -> tuple[list[str], list[list]]:
+    names = sorted(regressors if regressors is not None else scheme or [])
+    scheme = scheme or {n: ("=", 0.0, 1.0) for n in names}
+    if missing := sorted((set(scheme) | set(names)) - set(df.columns)):
+        raise ValueError(f"no covariates {missing}")
+    if unknown := sorted(set(names) - set(scheme)):
+        raise ValueError(f"the scheme lacks {unknown}")
+    return names, [[scheme[n][i] for n in names] for i in range(3)]
+
+
+def sample_dlt(sums: DataFrame, names: list[str], prior: list[list], *, warmup: int, draws: int, chains: int, seed: int, sigma_scale: float = 5.0) -> DataFrame:
+    """Posterior draws from the rows of ``gram``, a row for each series and chain dealt anew."""
+    k = len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                b, s = gibbs(*_unpacked(r["g"], k), r["n"], *prior, _rng(seed, r["series_id"], r["chain"]), warmup, draws, sigma_scale)
+                level, slope = np.array(r["level"]), np.array(r["slope"])
+                columns = [pa.array([r["series_id"]] * draws, pa.string()), pa.array(np.full(draws, r["chain"]), pa.int32()), pa.array(np.arange(draws), pa.int32()), pa.array(s), pa.array(level[0] - b @ level[1:]), pa.array(slope[0] - b @ slope[1:]), lists(b, draws), pa.array([names] * draws, pa.list_(pa.string())), pa.array(np.full(draws, r["steps"]), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in FIT_SCHEMA.split(", ")])
+
+    each = sums.withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))))
+    return each.repartition("series_id", "chain").mapInArrow(run, FIT_SCHEMA)
+
+
+def fit_dlt(df: DataFrame, lev_sm: float, slp_sm: float, theta: float, *, regressors: list[str] | None = None, scheme=None, warmup: int = 100, draws: int = 100, chains: int = 4, seed: int = 0, sigma_scale: float = 5.0) -> DataFrame:
+    """Posterior draws of the damped trend with regressors.
+
+    df has series_id, t, y and the regressors; ``scheme`` maps each to (sign, loc, scale). The noise
+    has a half-normal prior of scale ``sigma_scale``. Names stay with their coefficients whatever
+    their signs. A first y that is missing, and a scheme without the columns it names, are errors."""
+    names, prior = _prior(df, regressors, scheme)
+    return sample_dlt(gram(basis(df, lev_sm, slp_sm, theta, names), len(names)), names, prior, warmup=warmup, draws=draws, chains=chains, seed=seed, sigma_scale=sigma_scale)
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
+
+
+def in_sample(fits: DataFrame, found: DataFrame) -> DataFrame:
+    """series_id, chain, draw, t, component, reg (array), yhat, resid and sigma of each draw over the
+    fitted steps, by joining the draws with the rows of ``basis``."""
+    joined = found.select("series_id", "t", "y", "x", "c").join(fits.select("series_id", "chain", "draw", "coef", "sigma"), "series_id")
+    reg = F.zip_with("coef", "x", lambda b, x: b * x)
+    total = F.aggregate(reg, F.lit(0.0), lambda a, b: a + b)
+    component = F.col("c")[0] - _dot(F.col("coef"), F.slice("c", 2, 1 << 20))
+    out = joined.withColumns({"component": component, "reg": reg}).withColumn("yhat", F.col("component") + total)
+    return out.select("series_id", "chain", "draw", "t", "component", "reg", "yhat", (F.col("y") - F.col("yhat")).alias("resid"), "sigma")
+
+
+def medians(fits: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(series_id, regressor, coef_p50) and (series_id, t, component_p50, reg_p50, yhat_p50); the fitted
+    median is the component's median plus the coefficients' medians times the regressors."""
+    coefs = fits.select("series_id", F.explode(F.arrays_zip("regressors", "coef")).alias("r")).select("series_id", F.col("r.regressors").alias("regressor"), F.col("r.coef").alias("coef"))
+    coefs = coefs.groupBy("series_id", "regressor").agg(F.percentile("coef", 0.5).alias("coef_p50"))
+    trend = in_sample(fits, found).groupBy("series_id", "t").agg(F.percentile("component", 0.5).alias("component_p50"))
+    ordered = coefs.groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("regressor", "coef_p50"))), lambda r: r["coef_p50"]).alias("_b"))
+    rows = trend.join(found.select("series_id", "t", "x"), ["series_id", "t"]).join(ordered, "series_id", "left")
+    reg = F.coalesce(_dot(F.col("_b"), F.col("x")), F.lit(0.0))
+    return coefs, rows.select("series_id", "t", "component_p50", reg.alias("reg_p50"), (F.col("component_p50") + reg).alias("yhat_p50"))
+
+
+AHEAD_SCHEMA = "series_id string, chain int, draw int, t long, component double, sigma double, coef array<double>"
+
+
+def components_ahead(fits: DataFrame, lev_sm: float, slp_sm: float, theta: float, end_step: int, *, noise: bool = True, observed: DataFrame | None = None, seed: int = 0) -> DataFrame:
+    """Components of each draw from its fitted steps to ``end_step``: series_id, chain, draw, t (from
+    0), component, and the draw's sigma and coef.
+
+    Each step takes on its own forecast, with an observation error where ``noise`` is set, or the
+    value that ``observed`` (series_id, t, y; less regression) has for it. Series and steps that
+    ``observed`` lacks count as missing. The errors depend on seed, series, chain and draw alone."""
+    rows = fits.select("series_id", "chain", "draw", "sigma", "last_level", "last_slope", "steps", "coef")
+    if observed is not None:
+        known = observed.filter("y is not null").groupBy("series_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("t").cast("long"), F.col("y").cast("double")))).alias("known"))
+        rows = rows.join(known, "series_id", "left")
+    else:
+        rows = rows.withColumn("known", F.lit(None).cast("map<bigint,double>"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            ids, chain, draw = (batch.column(i).to_pylist() for i in range(3))
+            sigma, level, slope, steps = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3, 7))
+            horizon = max(0, int((end_step - steps).max(initial=0)))
+            eps = np.array([_rng(seed, "ahead", *k).standard_normal(horizon) for k in zip(ids, chain, draw, strict=True)]).reshape(n, horizon) * sigma[:, None] * noise
+            y = np.full((n, horizon), np.nan)
+            for i, told in enumerate(batch.column(8).to_pylist()):
+                for t, v in told or ():
+                    if 0 <= t - steps[i] < horizon:
+                        y[i, t - int(steps[i])] = v
+            c = kernels.dlt_scan(y, lev_sm, slp_sm, theta, level, slope, eps)[2]
+            t = steps[:, None] + np.arange(horizon)
+            row, step = np.nonzero(t < end_step)
+            own = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(own) for i in range(3)), pa.array(t[row, step].astype(np.int64)), pa.array(c[row, step]), batch.column(3).take(own), batch.column(7).take(own)], [f.split()[0] for f in AHEAD_SCHEMA.split(", ")])
+
+    return rows.mapInArrow(run, AHEAD_SCHEMA)
+
+
+def make_inference(fits: DataFrame, found: DataFrame, lev_sm: float, slp_sm: float, theta: float, *, regressors: list[str] | None = None, end_step: int | None = None, future: DataFrame | None = None, noise_embed: bool = False, evolve: bool = True, observed: DataFrame | None = None, transform=None, seed: int = 0) -> DataFrame:
+    """series_id, chain, draw, t, component, reg (array), eps and forecast over all steps to ``end_step``.
+
+    ``found`` comes from ``basis`` and t counts from 0; fits are read several times and had better be a
+    written table. With regressors, future (series_id, t, regressors in the order of the fit) goes on
+    after the fitted steps and sets the end, which else is that of the data; without them ``end_step``
+    is needed, and cuts the fitted steps where it is smaller. ``evolve`` has errors drive the trend
+    ahead; ``noise_embed`` adds independent ones to the forecast, and ``transform`` maps the column of
+    forecasts to another."""
+    if not regressors and end_step is None:
+        raise ValueError("end_step is needed where there are no covariates")
+    keep = ["series_id", "chain", "draw", "t", "component", "reg", "sigma"]
+    out = in_sample(fits, found).select(*keep)
+    if regressors:
+        end_step = None
+        if future is not None:
+            last = future.agg(F.max("t")).first()[0]
+            x = future.select("series_id", F.col("t").cast("long").alias("t"), F.array(*(F.col(n).cast("double") for n in sorted(regressors))).alias("_x"))
+            ahead = components_ahead(fits, lev_sm, slp_sm, theta, int(-1 if last is None else last) + 1, noise=evolve, observed=observed, seed=seed)
+            out = out.unionByName(ahead.join(x, ["series_id", "t"]).withColumn("reg", F.zip_with("coef", "_x", lambda b, v: b * v)).select(*keep))
+    else:
+        ahead = components_ahead(fits, lev_sm, slp_sm, theta, end_step, noise=evolve, observed=observed, seed=seed)
+        out = out.unionByName(ahead.withColumn("reg", F.array().cast("array<double>")).select(*keep)).filter(F.col("t") < end_step)
+    out = out.withColumn("eps", F.col("sigma") * _normal(F.xxhash64(F.lit(seed), F.lit("eps"), "series_id", "chain", "draw", "t")))
+    value = F.col("component") + F.aggregate("reg", F.lit(0.0), lambda a, b: a + b)
+    if noise_embed:
+        value = value + F.col("eps")
+    return out.select("series_id", "chain", "draw", "t", "component", "reg", "eps", (transform(value) if transform else value).alias("forecast"))
+
 
+def forecast_dlt(fits: DataFrame, theta: float, horizon: int, future: DataFrame | None = None, *, noise: bool = False, seed: int = 0, transform=None) -> DataFrame:
+    """Draws ahead (series_id, chain, draw, t from 0, component, forecast) in closed form: without new
+    observations or errors the trend's level takes on its own forecast and its slope is damped.
 
-def _forecast(steps: DataFrame, theta: float, future, noise: bool, seed: int, transform) -> DataFrame:
-    slp = steps.withColumn("component", F.col("last_level") + F.col("last_slope") * theta * F.when(F.lit(theta) == 1.0, F.col("t") + 1).otherwise((1 - F.pow(F.lit(theta), F.col("t") + 1)) / (1 - theta if theta != 1.0 else 1.0)))
+    future has series_id, t (from 0) and the regressors. ``noise`` adds the observation error, and
+    ``transform`` maps the column of forecasts to another."""
+    steps = fits.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1))))
+    ahead = F.col("t") + 1 if theta == 1.0 else (1 - F.pow(F.lit(theta), F.col("t") + 1)) / F.lit(1 - theta)
+    out = steps.withColumn("component", F.col("last_level") + F.col("last_slope") * theta * ahead)
     reg = F.lit(0.0)
     if future is not None:
-        names = [c for c in sorted(future.columns) if c not in ("series_id", "t")]
-        slp = slp.join(future.withColumn("_x", F.array(*(F.col(c).cast("double") for c in names))).select("series_id", "t", "_x"), ["series_id", "t"])
-        reg = F.aggregate(F.zip_with("coef", "_x", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    eps = F.col("sigma") * _normal(F.xxhash64(F.lit(seed), "series_id", "sample", "t")) if noise else F.lit(0.0)
+        names = sorted(c for c in future.columns if c not in ("series_id", "t"))
+        x = future.select("series_id", F.col("t").cast("int").alias("t"), F.array(*(F.col(c).cast("double") for c in names)).alias("_x"))
+        out = out.join(x, ["series_id", "t"])
+        reg = _dot(F.col("coef"), F.col("_x"))
+    eps = F.col("sigma") * _normal(F.xxhash64(F.lit(seed), "series_id", "chain", "draw", "t")) if noise else F.lit(0.0)
     value = F.col("component") + reg + eps
-    return slp.select("series_id", "sample", "t", "component", (transform(value) if transform else value).alias("forecast"))
+    return out.select("series_id", "chain", "draw", "t", "component", (transform(value) if transform else value).alias("forecast"))
 
 
-def _normal(hashed):
+def _normal(hashed: Column) -> Column:
     """A standard normal number from a hash (Box-Muller on two 26-bit halves)."""
     u = (hashed.bitwiseAND((1 << 26) - 1) + 0.5) / float(1 << 26)
     v = (F.shiftrightunsigned(hashed, 26).bitwiseAND((1 << 26) - 1) + 0.5) / float(1 << 26)
@@ -150,6 +290,74 @@ def noise_components(fits: DataFrame, steps: int, seed: int = 0) -> DataFrame:
     return out.select("series_id", "chain", "draw", "t", (F.col("sigma") * _normal(F.xxhash64(F.lit(seed), "series_id", "chain", "draw", "t"))).alias("eps"))
 
 
+def contributions(fits: DataFrame, covariates: DataFrame) -> DataFrame:
+    """series_id, chain, draw, t, regressor, value: each coefficient times its regressor.
+
+    covariates is long: series_id, t, regressor, x. The draws of a series meet its covariates by
+    regressor; nothing else is paired."""
+    coefs = fits.select("series_id", "chain", "draw", F.explode(F.arrays_zip("regressors", "coef")).alias("r"))
+    coefs = coefs.select("series_id", "chain", "draw", F.col("r.regressors").alias("regressor"), F.col("r.coef").alias("coef"))
+    return covariates.join(coefs, ["series_id", "regressor"]).select("series_id", "chain", "draw", "t", "regressor", (F.col("coef") * F.col("x")).alias("value"))
+
+
+# ------------------------------------------------------------------ tuning by WBIC
+
+TUNE_SCHEMA = "series_id string, trial int, lev_sm double, slp_sm double, theta double, wbic double"
+_BOUNDS = {"lev_sm": (1e-4, 0.1), "slp_sm": (1e-3, 0.1), "theta": (0.0, 1.0)}
+
+
+def wbic(y: np.ndarray, component: np.ndarray, reg: np.ndarray, sigma: np.ndarray, horizon: int) -> float:
+    """-log(windows * horizon) times the mean log-likelihood of spans that hold the component flat.
+
+    component and reg are (draws, steps). Missing observations are left out of the means and counted
+    among the observations."""
+    n = len(y) - horizon + 1
+    if n < 1:
+        raise ValueError("the series is shorter than the horizon")
+    windows = lambda v: np.lib.stride_tricks.sliding_window_view(v, horizon, axis=-1)
+    each = []
+    for c, g, s in zip(component, reg, sigma, strict=True):
+        error = windows(y) - (c[:n, None] + windows(g))
+        each.append(np.nanmean(-0.5 * kernels.LOG_2PI - np.log(s) - 0.5 * (error / s) ** 2))
+    return float(-np.log(n * horizon) * np.nanmean(each))
+
+
+def tune_dlt(df: DataFrame, *, trials: int = 15, refine: int = 0, regressors: list[str] | None = None, scheme=None, horizon: int = 12, draws: int = 20, warmup: int = 20, seed: int = 0) -> DataFrame:
+    """WBIC of seeded (lev_sm, slp_sm, theta) trials for each series: a row for each series and trial.
+
+    The first trials are drawn log-uniformly (theta uniformly) from their bounds; ``refine`` more are
+    drawn near each series' best of those. A trial fits the trend with its regressors to ``draws``
+    posterior draws. Trials are rows, so all of all series run side by side."""
+    names, prior = _prior(df, regressors, scheme)
+    rng = np.random.default_rng(seed)
+    points = [(i, float(10 ** rng.uniform(-4, -1)), float(10 ** rng.uniform(-3, -1)), float(rng.uniform())) for i in range(trials)]
+    chosen = df.select(F.col("series_id").cast("string").alias("series_id"), F.col("t").cast("long").alias("t"), F.col("y").cast("double").alias("y"), *names)
+    kinds = pa.schema([("series_id", pa.string()), ("trial", pa.int32()), *((c, pa.float64()) for c in ("lev_sm", "slp_sm", "theta", "wbic"))])
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        pdf = rows.to_pandas().sort_values("t")
+        y, x, first = pdf["y"].to_numpy(float), pdf[names].to_numpy(float).reshape(len(pdf), len(names)), pdf.iloc[0]
+        hidden = np.where(np.isnan(y)[:, None], np.nan, x)
+        c = kernels.dlt_scan(np.vstack([y, hidden.T]), first.lev_sm, first.slp_sm, first.theta)[2]
+        rest = (np.vstack([y, hidden.T]) - c)[:, ~np.isnan(y)]
+        g = rest @ rest.T
+        b, s = gibbs(g[1:, 1:], g[0, 1:], float(g[0, 0]), rest.shape[1], *prior, _rng(seed, first.series_id, int(first.trial)), warmup, draws)
+        out = [[first.series_id], [int(first.trial)], [first.lev_sm], [first.slp_sm], [first.theta], [wbic(y, c[0] - b @ c[1:], b @ x.T, s, horizon)]]
+        return pa.table([pa.array(v, f.type) for v, f in zip(out, kinds, strict=True)], schema=kinds)
+
+    columns = "trial int, lev_sm double, slp_sm double, theta double"
+    grid = F.broadcast(df.sparkSession.createDataFrame(points, columns))
+    tried = chosen.crossJoin(grid).groupBy("series_id", "trial").applyInArrow(run, TUNE_SCHEMA)
+    if not refine:
+        return tried
+    best = tried.groupBy("series_id").agg(F.min_by(F.struct("lev_sm", "slp_sm", "theta"), F.struct("wbic", "trial")).alias("b"))
+    near = best.withColumn("trial", F.explode(F.sequence(F.lit(trials), F.lit(trials + refine - 1))))
+    z = lambda c: _normal(F.xxhash64(F.lit(seed), F.lit(c), "series_id", "trial"))
+    held = lambda v, c: F.least(F.lit(_BOUNDS[c][1]), F.greatest(F.lit(_BOUNDS[c][0]), v))
+    near = near.select("series_id", "trial", *(held(F.col(f"b.{c}") * F.exp(0.3 * z(c)), c).alias(c) for c in ("lev_sm", "slp_sm")), held(F.col("b.theta") + 0.1 * z("theta"), "theta").alias("theta"))
+    return tried.unionByName(chosen.join(near, "series_id").groupBy("series_id", "trial").applyInArrow(run, TUNE_SCHEMA))
+
+
 # ------------------------------------------------------------------ maximum a posteriori
 
 
@@ -204,50 +412,140 @@ def adam(y: np.ndarray, z: np.ndarray, iterations: int = 500, rate: float = 3e-2
     return np.logaddexp(0, best), best_loss
 
 
-MAP_SCHEMA = "series_id string, sigma_h double, sigma_level double, sigma_season double, loss double, response_norm double, a_last array<double>, p_last array<double>"
+MAP_SCHEMA = "series_id string, sigma_h double, sigma_level double, sigma_season double, loss double, response_norm double, a_last array<double>, p_last array<double>, last_t long"
 
 
-def fit_map(df: DataFrame, *, season: int = 7, intercept: bool = True, iterations: int = 100, rate: float = 3e-2, patience: int | None = None, buckets: int | None = None) -> DataFrame:
-    """MAP parameters and last states of each series (series_id, t, sales): local level and periodic
-    dummies on log(sales / mean). The series of a bucket are fitted together."""
-    from .scan import _by_length, _ragged, buckets_for
+def season_design(steps: np.ndarray, season: int, intercept: bool) -> np.ndarray:
+    """Periodic dummies without the first, after a column of ones where there is an intercept."""
+    return np.column_stack([np.ones(len(steps))] * intercept + [(steps % season == j).astype(float) for j in range(1, season)])
 
-    n = buckets or buckets_for(df)
-    kinds = pa.schema([("series_id", pa.string()), *((c, pa.float64()) for c in ("sigma_h", "sigma_level", "sigma_season", "loss", "response_norm")), ("a_last", pa.list_(pa.float64())), ("p_last", pa.list_(pa.float64()))])
 
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        pdf = rows.to_pandas()
-        ids, at = _ragged(pdf)
-        sales, t = np.maximum(pdf["sales"].to_numpy(float), 0.1), pdf["t"].to_numpy()
-        out = []
-        for members in _by_length(at).values():
-            place = np.stack([at[i] for i in members])
-            steps = t[place[0]]
-            z = np.column_stack([np.ones(len(steps))] * intercept + [(steps % season == j).astype(float) for j in range(1, season)])
-            y = sales[place]
-            norm = y.mean(1)
-            y = np.log(y / norm[:, None])
-            sigma, loss = adam(y, z, iterations, rate, patience)
-            q = np.column_stack([sigma[:, 1:2], np.repeat(sigma[:, 2:], z.shape[1] - 1, 1)])
-            res = kernels.kalman_filter(y, z, np.zeros(z.shape[1]), np.ones(z.shape[1]), sigma[:, 0], q)
-            out.append(pd.DataFrame({"series_id": [ids[i] for i in members], "sigma_h": sigma[:, 0], "sigma_level": sigma[:, 1], "sigma_season": sigma[:, 2], "loss": loss, "response_norm": norm, "a_last": list(res["a"][:, -1]), "p_last": list(res["p"][:, -1])}))
-        return pa.Table.from_pandas(pd.concat(out), schema=kinds, preserve_index=False)
-
-    rows = df.select("series_id", F.col("t").cast("long").alias("t"), F.col("sales").cast("double").alias("sales"))
-    return rows.withColumn("_bucket", F.pmod(F.xxhash64("series_id"), F.lit(n))).groupBy("_bucket").applyInArrow(run, MAP_SCHEMA)
+def _response(sales: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    held = np.maximum(sales, 0.1)
+    norm = held.mean(1)
+    return np.log(held / norm[:, None]), norm
+
+
+def _map_rows(ids, last: np.ndarray, sigma: np.ndarray, loss: np.ndarray, y: np.ndarray, z: np.ndarray, norm: np.ndarray) -> pa.Table:
+    b, n = len(y), z.shape[1]
+    q = np.column_stack([sigma[:, 1:2], np.repeat(sigma[:, 2:], n - 1, 1)])
+    res = kernels.kalman_filter(y, z, np.zeros(n), np.ones(n), sigma[:, 0], q)
+    columns = [ids, *(pa.array(sigma[:, i]) for i in range(3)), pa.array(loss), pa.array(norm), lists(res["a"][:, -1], b), lists(res["p"][:, -1], b), pa.array(last.astype(np.int64))]
+    return pa.table(columns, [f.split()[0] for f in MAP_SCHEMA.split(", ")])
+
+
+def fit_map(df: DataFrame, *, season: int = 7, intercept: bool = True, iterations: int = 100, rate: float = 3e-2, patience: int | None = None, rows: int = FOLD_ROWS) -> DataFrame:
+    """MAP parameters and last states of each series (series_id, t, sales): local level and periodic
+    dummies on log(sales / mean), sales held above 0.1. Series of one length that come together are
+    fitted together; each keeps the best parameters that it was at."""
+
+    def fold(table: pa.Table) -> Iterator[pa.Table]:
+        sales, t = numbers(table, "sales"), numbers(table, "t")
+        for at in by_length(table, "series_id"):
+            starts = t[at[:, 0]] % season
+            for phase in np.unique(starts):
+                own = at[starts == phase]
+                z = season_design(t[own[0]], season, intercept)
+                y, norm = _response(sales[own])
+                sigma, loss = adam(y, z, iterations, rate, patience)
+                yield _map_rows(table.column("series_id").take(pa.array(own[:, 0])), t[own[:, -1]], sigma, loss, y, z, norm)
+
+    chosen = df.select(F.col("series_id").cast("string").alias("series_id"), F.col("t").cast("long").alias("t"), F.col("sales").cast("double").alias("sales"))
+    return folded(chosen, fold, MAP_SCHEMA, rows=rows)
+
+
+def refilter(df: DataFrame, params: DataFrame, *, season: int = 7, intercept: bool = True, horizon: int = 28, expected: int | None = 28, rows: int = FOLD_ROWS) -> DataFrame:
+    """Forecasts of saved parameters: the states are filtered again over df (series_id, t, sales) with
+    each series' sigma_h, sigma_level and sigma_season, then carried ``horizon`` steps ahead.
+
+    A training span of one step or less, and a horizon other than ``expected``, are errors."""
+    if expected is not None and horizon != expected:
+        raise ValueError(f"the horizon is {horizon}, not {expected}")
+
+    def fold(table: pa.Table) -> Iterator[pa.Table]:
+        sales, t = numbers(table, "sales"), numbers(table, "t")
+        given = np.column_stack([numbers(table, c) for c in ("sigma_h", "sigma_level", "sigma_season")])
+        for at in by_length(table, "series_id"):
+            if at.shape[1] <= 1:
+                raise ValueError("a training span of one step or less")
+            starts = t[at[:, 0]] % season
+            for phase in np.unique(starts):
+                own = at[starts == phase]
+                y, norm = _response(sales[own])
+                yield _map_rows(table.column("series_id").take(pa.array(own[:, 0])), t[own[:, -1]], given[own[:, 0]], np.zeros(len(own)), y, season_design(t[own[0]], season, intercept), norm)
+
+    chosen = df.select(F.col("series_id").cast("string").alias("series_id"), F.col("t").cast("long").alias("t"), F.col("sales").cast("double").alias("sales"))
+    joined = chosen.join(params.select("series_id", "sigma_h", "sigma_level", "sigma_season"), "series_id")
+    return forecast_seasonal(folded(joined, fold, MAP_SCHEMA, rows=rows), horizon, season=season, intercept=intercept)
 
 
 def forecast_map(fits: DataFrame, future: DataFrame) -> DataFrame:
-    """Log-normal means ahead: exp(z a + (z^2 P + sigma_h^2) / 2) * norm; future has t and array z."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
+    """Log-normal means ahead: exp(z a + (z^2 P + sigma_h^2) / 2) * norm; future has t and array z,
+    one row a step of the horizon, which is broadcast."""
+    return _log_normal_mean(fits.crossJoin(F.broadcast(future)))
+
+
+def forecast_seasonal(fits: DataFrame, horizon: int, *, season: int = 7, intercept: bool = True) -> DataFrame:
+    """The same for the ``horizon`` steps after each series' own last step, with the design of
+    ``season_design``."""
+    ahead = fits.withColumn("t", F.explode(F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda h: F.col("last_t") + h)))
+    ones = [F.lit(1.0)] if intercept else []
+    return _log_normal_mean(ahead.withColumn("z", F.array(*ones, *((F.pmod("t", F.lit(season)) == j).cast("double") for j in range(1, season)))))
+
+
+def _log_normal_mean(rows: DataFrame) -> DataFrame:
     z2 = F.transform("z", lambda x: x * x)
-    value = F.exp(dot(F.col("z"), F.col("a_last")) + 0.5 * (dot(z2, F.col("p_last")) + F.col("sigma_h") * F.col("sigma_h"))) * F.col("response_norm")
-    return fits.crossJoin(F.broadcast(future)).select("series_id", "t", value.alias("forecast"))
+    value = F.exp(_dot(F.col("z"), F.col("a_last")) + 0.5 * (_dot(z2, F.col("p_last")) + F.col("sigma_h") * F.col("sigma_h"))) * F.col("response_norm")
+    return rows.select("series_id", "t", value.alias("forecast"))
 
 
 # ------------------------------------------------------------------ adaptive MCMC
 
 
+@dataclass(frozen=True)
+class NoisePrior:
+    """Priors of sigma_h and of sigma_q of the first and of the other states.
+
+    "truncated_normal": (loc, scale, low, high) each. "beta": (alpha, beta, scale) each, the deviation
+    being a beta number times the scale."""
+
+    family: str = "truncated_normal"
+    h: tuple[float, ...] = (0.1, 1.0, 1e-5, 1.0)
+    level: tuple[float, ...] = (0.05, 0.05, 1e-5, 0.1)
+    other: tuple[float, ...] = (0.01, 0.01, 1e-5, 0.1)
+
+    def __post_init__(self):
+        if self.family not in ("truncated_normal", "beta"):
+            raise ValueError(f"no family {self.family!r}")
+        if any(len(p) != (4 if self.family == "truncated_normal" else 3) for p in (self.h, self.level, self.other)):
+            raise ValueError(f"wrong number of parameters for {self.family}")
+
+    def log_density(self, s: np.ndarray) -> float:
+        """Of (sigma_h..., level, other) without constants; all but the last two are sigma_h's."""
+        total = 0.0
+        for i, x in enumerate(s):
+            own = (self.level, self.other)[i - len(s) + 2] if i >= len(s) - 2 else self.h
+            if self.family == "beta":
+                a, b, scale = own
+                u = x / scale
+                if not 0 < u < 1:
+                    return -math.inf
+                total += (a - 1) * math.log(u) + (b - 1) * math.log1p(-u)
+            else:
+                loc, scale, low, high = own
+                if not low <= x <= high:
+                    return -math.inf
+                total -= 0.5 * ((x - loc) / scale) ** 2
+        return total
+
+    def start(self, m: int = 1) -> np.ndarray:
+        if self.family == "beta":
+            mean = lambda p: p[2] * p[0] / (p[0] + p[1])
+        else:
+            mean = lambda p: min(max(p[0], 1.01 * p[2]), 0.99 * p[3])
+        return np.array([*[mean(self.h)] * m, mean(self.level), mean(self.other)])
+
+
 def adaptive_metropolis(log_density, start: np.ndarray, rng, warmup: int, draws: int) -> np.ndarray:
     """Random-walk draws whose covariance follows the chain during the warm-up."""
     k = len(start)
@@ -269,55 +567,77 @@ def adaptive_metropolis(log_density, start: np.ndarray, rng, warmup: int, draws:
     return out
 
 
-def fit_mcmc(df: DataFrame, z_columns: list[str], *, exponent: float | None = None, positivity: list[bool] | None = None, warmup: int = 200, draws: int = 100, chains: int = 4, seed: int = 0) -> DataFrame:
-    """Posterior draws of sigma_h and the first and other states' sigma_q, with the last state, of
-    each series (series_id, t, y, z columns): half-normal-like priors, a task a series and chain."""
-    kinds = pa.schema([("series_id", pa.string()), ("chain", pa.int32()), ("draw", pa.int32()), *((c, pa.float64()) for c in ("sigma_h", "sigma_level", "sigma_season")), ("a_last", pa.list_(pa.float64()))])
+MCMC_SCHEMA = "series_id string, chain int, draw int, sigma_h array<double>, sigma_q array<double>, log_p double, a_last array<double>"
 
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        pdf = rows.to_pandas().sort_values("t")
-        series, chain = pdf["series_id"].iloc[0], int(pdf["chain"].iloc[0])
-        y, z = pdf["y"].to_numpy(float)[None], pdf[z_columns].to_numpy(float)
-        n = z.shape[1]
 
-        def both(u):
-            s = np.exp(u)
-            return s, np.array([s[1], *[s[2]] * (n - 1)])
+def _sampled(df: DataFrame, key: str, columns: list, likelihood, n_states: int, prior: NoisePrior, warmup: int, draws: int, chains: int, seed: int) -> DataFrame:
+    """Draws of the noise of each group and chain; ``likelihood`` makes (log_p, last state) of a group
+    from its rows, and says how many sigma_h it has."""
+    names = [f.split()[0] for f in MCMC_SCHEMA.split(", ")]
+
+    def run(group: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        series, chain = group[0].as_py(), group[1].as_py()
+        m, density = likelihood(rows.to_pandas().sort_values("t"))
+        whole = lambda s: (s[:m], np.array([s[m], *[s[m + 1]] * (n_states - 1)]))
 
         def log_density(u):
-            s, q = both(u)
-            if (s > 10).any():
-                return -np.inf
-            prior = -0.5 * ((s[0] - 0.1) ** 2 + ((s[1] - 0.05) / 0.05) ** 2 + ((s[2] - 0.01) / 0.01) ** 2) + u.sum()
-            return prior + float(kernels.kalman_filter(y, z, np.zeros(n), np.ones(n), s[0], q, exponent=exponent, positivity=positivity)["log_p"][0])
+            s = np.exp(u)
+            own = prior.log_density(s)
+            return -math.inf if own == -math.inf else own + u.sum() + density(*whole(s))[0]
 
-        got = adaptive_metropolis(log_density, np.log([0.1, 0.05, 0.01]), _rng(seed, series, chain), warmup, draws)
-        last = [kernels.kalman_filter(y, z, np.zeros(n), np.ones(n), both(u)[0][0], both(u)[1], exponent=exponent, positivity=positivity)["a"][0, -1] for u in got]
-        s = np.exp(got)
-        return pa.Table.from_pandas(pd.DataFrame({"series_id": [series] * draws, "chain": [chain] * draws, "draw": range(draws), "sigma_h": s[:, 0], "sigma_level": s[:, 1], "sigma_season": s[:, 2], "a_last": last}), schema=kinds, preserve_index=False)
+        got = np.exp(adaptive_metropolis(log_density, np.log(prior.start(m)), _rng(seed, series, chain), warmup, draws))
+        ends = [density(*whole(s)) for s in got]
+        out = [pa.array([series] * draws, pa.string()), pa.array(np.full(draws, chain), pa.int32()), pa.array(np.arange(draws), pa.int32()), lists(got[:, :m], draws), lists(np.array([whole(s)[1] for s in got]), draws), pa.array([e[0] for e in ends]), lists(np.array([e[1] for e in ends]), draws)]
+        return pa.table(out, names)
 
-    spread = df.select("series_id", "t", "y", *z_columns).withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))))
-    return spread.groupBy("series_id", "chain").applyInArrow(run, "series_id string, chain int, draw int, sigma_h double, sigma_level double, sigma_season double, a_last array<double>")
+    spread = df.select(F.col(key).cast("string").alias("series_id"), F.col("t").cast("long").alias("t"), *columns).withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))))
+    return spread.groupBy("series_id", "chain").applyInArrow(run, MCMC_SCHEMA)
 
 
-def tune_dlt(df: DataFrame, *, trials: int = 15, horizon: int = 7, seed: int = 0) -> DataFrame:
-    """WBIC of seeded (lev_sm, slp_sm, theta) trials for each series (series_id, t, y): a row a trial.
+def fit_mcmc(df: DataFrame, z_columns: list[str], *, exponent: float | None = None, positivity: list[bool] | None = None, a0=None, p0=None, prior: NoisePrior | None = None, warmup: int = 200, draws: int = 100, chains: int = 4, seed: int = 0) -> DataFrame:
+    """Posterior draws of sigma_h and sigma_q, with the log-likelihood and last state, of each series
+    (series_id, t, y and the z columns), a task for each series and chain."""
+    n = len(z_columns)
+    start, spread = np.zeros(n) if a0 is None else np.asarray(a0, float), np.ones(n) if p0 is None else np.asarray(p0, float)
 
-    The noise is the residual's deviation; spans of ``horizon`` steps hold the component flat."""
-    rng = np.random.default_rng(seed)
-    points = [(i, float(10 ** rng.uniform(-4, -1)), float(10 ** rng.uniform(-3, -1)), float(rng.uniform())) for i in range(trials)]
-    grid = F.broadcast(df.sparkSession.createDataFrame(points, "trial int, lev_sm double, slp_sm double, theta double"))
-    kinds = pa.schema([("series_id", pa.string()), ("trial", pa.int32()), ("lev_sm", pa.float64()), ("slp_sm", pa.float64()), ("theta", pa.float64()), ("wbic", pa.float64())])
+    def likelihood(pdf: pd.DataFrame):
+        y, z = pdf["y"].to_numpy(float)[None], pdf[z_columns].to_numpy(float)
 
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        pdf = rows.to_pandas().sort_values("t")
-        y, first = pdf["y"].to_numpy(float), pdf.iloc[0]
-        c = kernels.dlt_scan(y[None], first.lev_sm, first.slp_sm, first.theta)[2][0]
-        sigma = max(float(np.nanstd(y - c)), 1e-9)
-        n = len(y) - horizon + 1
-        spans = np.lib.stride_tricks.sliding_window_view(y, horizon) - c[:n, None]
-        ll = -0.5 * (kernels.LOG_2PI + 2 * np.log(sigma) + (spans / sigma) ** 2)
-        out = [[first.series_id], [int(first.trial)], [first.lev_sm], [first.slp_sm], [first.theta], [float(-np.log(ll.size) * np.nanmean(ll))]]
-        return pa.table([pa.array(x, f.type) for x, f in zip(out, kinds, strict=True)], schema=kinds)
-
-    return df.select("series_id", "t", "y").crossJoin(grid).groupBy("series_id", "trial").applyInArrow(run, "series_id string, trial int, lev_sm double, slp_sm double, theta double, wbic double")
+        def density(h, q):
+            out = kernels.kalman_filter(y, z, start, spread, h[0], q, exponent=exponent, positivity=positivity)
+            return float(out["log_p"][0]), out["a"][0, -1]
+
+        return 1, density
+
+    return _sampled(df, "series_id", ["y", *z_columns], likelihood, n, prior or NoisePrior(), warmup, draws, chains, seed)
+
+
+def fit_mcmc_st(df: DataFrame, a0: list[float], p0: list[list[float]], *, exponent: float | None = None, positivity: list[bool] | None = None, prior: NoisePrior | None = None, warmup: int = 200, draws: int = 100, chains: int = 4, seed: int = 0) -> DataFrame:
+    """The same for panels (panel_id as series_id; t, y array, z array of arrays; a_obs and p_obs where
+    they are) whose series share states; each series has a sigma_h."""
+    extra = [c for c in ("a_obs", "p_obs") if c in df.columns]
+
+    def likelihood(pdf: pd.DataFrame):
+        y = np.stack(pdf["y"].to_numpy()).astype(float)
+        z = np.array([[list(r) for r in m] for m in pdf["z"]], float)
+        told = {c: np.stack(pdf[c].to_numpy()).astype(float) for c in extra}
+
+        def density(h, q):
+            out = kernels.kalman_filter_st(y, z, a0, p0, h, q, exponent=exponent, positivity=positivity, **told)
+            return float(out["log_p"]), out["a"][-1]
+
+        return y.shape[1], density
+
+    return _sampled(df, "panel_id", ["y", "z", *extra], likelihood, len(a0), prior or NoisePrior(), warmup, draws, chains, seed)
+
+
+def forecast_mcmc(fits: DataFrame, future: DataFrame, norms: DataFrame | None = None, *, seed: int = 42) -> DataFrame:
+    """series_id, t and the median over draws of exp(z a + N(0, sigma_h)) * norm; future has t and the
+    array z, norms has series_id and response_norm (1 without)."""
+    rows = fits.crossJoin(F.broadcast(future))
+    eps = F.col("sigma_h")[0] * _normal(F.xxhash64(F.lit(seed), "series_id", "chain", "draw", "t"))
+    out = rows.select("series_id", "t", F.exp(_dot(F.col("z"), F.col("a_last")) + eps).alias("v"))
+    out = out.groupBy("series_id", "t").agg(F.percentile("v", 0.5).alias("v"))
+    if norms is None:
+        return out.withColumnRenamed("v", "forecast")
+    return out.join(norms.select("series_id", "response_norm"), "series_id").select("series_id", "t", (F.col("v") * F.col("response_norm")).alias("forecast"))

@@ -1,7 +1,11 @@
-"""Aggregation, quantiles, hierarchies and forecast scores, all in Spark SQL."""
+"""Aggregation, quantiles, hierarchies and forecast scores in Spark SQL; chain diagnostics in NumPy."""
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +56,97 @@ def split_rhat(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return out.select(*keys, F.when(F.col("w") > 0, F.sqrt(((F.col("n") - 1) / F.col("n") * F.col("w") + F.col("b")) / F.col("w"))).alias("r_hat"))
 
 
+def _autocovariance(x: np.ndarray) -> np.ndarray:
+    n = x.shape[1]
+    padded = 1 << (2 * n - 1).bit_length()
+    f = np.fft.rfft(x - x.mean(1, keepdims=True), padded, axis=1)
+    return np.fft.irfft(f * np.conj(f), padded, axis=1)[:, :n] / n
+
+
+def effective_size(x: np.ndarray) -> float:
+    """Effective number of draws (chains, draws), by Geyer's initial monotone sequence."""
+    m, n = x.shape
+    if n < 4 or not np.isfinite(x).all() or np.ptp(x) == 0:
+        return float("nan") if not np.isfinite(x).all() else float(m * n)
+    cov = _autocovariance(x)
+    within = cov[:, 0].mean() * n / (n - 1)
+    whole = within * (n - 1) / n + (x.mean(1).var(ddof=1) if m > 1 else 0.0)
+    rho = 1 - (within - cov.mean(0) * n / (n - 1)) / whole
+    rho[0] = 1.0
+    pairs = rho[: n // 2 * 2].reshape(-1, 2).sum(1)
+    negative = np.flatnonzero(pairs < 0)
+    pairs = np.minimum.accumulate(pairs[: negative[0] if len(negative) else len(pairs)])
+    return float(m * n / max(-1 + 2 * pairs.sum(), 1 / np.log10(max(m * n, 10))))
+
+
+def _halves(x: np.ndarray) -> np.ndarray:
+    n = x.shape[1] // 2
+    return np.vstack([x[:, :n], x[:, -n:]])
+
+
+def rank_normalised(x: np.ndarray) -> np.ndarray:
+    """Normal scores of the average ranks of all draws."""
+    _, at, counts = np.unique(x.ravel(), return_inverse=True, return_counts=True)
+    rank = (np.cumsum(counts) - (counts - 1) / 2)[at.ravel()]
+    score = NormalDist().inv_cdf
+    return np.array([score(float(r)) for r in (rank - 0.375) / (x.size + 0.25)]).reshape(x.shape)
+
+
+def r_hat(x: np.ndarray) -> float:
+    m, n = x.shape
+    within, between = x.var(1, ddof=1).mean(), x.mean(1).var(ddof=1)
+    return float(np.sqrt(((n - 1) / n * within + between) / within)) if within > 0 else float("nan")
+
+
+SUMMARY = "mean double, sd double, hdi_low double, hdi_high double, mcse_mean double, ess_bulk double, r_hat double, split_r_hat double, n_eff double, converged boolean"
+
+
+def summary(df: DataFrame, keys: list[str], value: str, mass: float = 0.94, most_r_hat: float = 1.01, least_n: float = 100.0) -> DataFrame:
+    """Mean, deviation, shortest interval and chain diagnostics of the draws (keys, chain, draw, value).
+
+    ``r_hat`` and ``ess_bulk`` are of rank-normalised half chains, r_hat the larger of the bulk's and the
+    folded draws'; ``split_r_hat`` and ``n_eff`` of the half chains as they are, from which ``converged``
+    is told. Chains are cut to the shortest. A group is the draws of one quantity."""
+    kinds = df.select(*keys).schema
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kinds]) + ", " + SUMMARY
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("chain", "ascending"), ("draw", "ascending")])
+        chain, v = np.asarray(rows.column("chain")), np.asarray(rows.column(value).combine_chunks().cast(pa.float64()))
+        own = np.split(v, np.flatnonzero(chain[1:] != chain[:-1]) + 1)
+        n = min(map(len, own))
+        x = np.array([c[:n] for c in own])
+        flat = np.sort(x.ravel())
+        k = int(np.floor(mass * len(flat)))
+        low = int(np.argmin(flat[k:] - flat[: len(flat) - k]))
+        sd = float(x.std(ddof=1)) if x.size > 1 else 0.0
+        halves = _halves(x) if n >= 4 else x
+        z = rank_normalised(halves)
+        folded = rank_normalised(np.abs(halves - np.median(halves)))
+        plain, size = (r_hat(halves), effective_size(halves)) if n >= 4 else (float("nan"), float("nan"))
+        bulk = effective_size(z) if n >= 4 else float("nan")
+        ranked = max(r_hat(z), r_hat(folded)) if n >= 4 else float("nan")
+        # of the mean itself: its own effective size, not that of the ranks
+        out = [float(x.mean()), sd, float(flat[low]), float(flat[low + k]) if k < len(flat) else float(flat[-1]), sd / np.sqrt(size), bulk, ranked, plain, size, bool(plain <= most_r_hat and size >= least_n)]
+        return pa.table([*(pa.array([g.as_py()], g.type) for g in key), *(pa.array([o]) for o in out)], [*keys, *(f.split()[0] for f in SUMMARY.split(", "))])
+
+    return df.select(*keys, "chain", "draw", value).groupBy(*keys).applyInArrow(run, schema)
+
+
+def state_ribbons(draws: DataFrame, keys: list[str], variables: list[str], disclosed: DataFrame | None = None, qs=(0.05, 0.5, 0.95)) -> DataFrame:
+    """What a plot of states shows: quantiles over chains and draws of each variable (keys, variable,
+    value), and the disclosed mean and variance where ``disclosed`` (keys, variable, a_obs, p_obs) has a
+    finite variance. No variables, and variables that are not there, are errors."""
+    if not variables:
+        raise ValueError("no variables")
+    own = draws.filter(F.col("variable").isin(*variables))
+    ribbons = quantiles(own, ["variable", *keys], "value", qs)
+    if disclosed is None:
+        return ribbons
+    told = disclosed.filter(F.abs("p_obs") < float("inf")).select("variable", *keys, "a_obs", "p_obs")
+    return ribbons.join(told, ["variable", *keys], "left")
+
+
 def series_log_likelihood(filtered: DataFrame, keys: list[str]) -> DataFrame:
     """Log-likelihood from innovations and their variances."""
     return filtered.groupBy(*keys).agg(F.sum(-0.5 * (F.log(2 * F.pi()) + F.log("f") + F.col("v") * F.col("v") / F.col("f"))).alias("log_p"))

@@ -2,31 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import features as ft
 from ..functions import priors
 from ..functions.scheme import RegressionScheme
 from ..operators import estimate, scan, scoring
-from ..sources.panel import align_by_id, daily, gap_filled, indexed, long_to_wide, submission, table
+from ..sources.panel import align_by_id, daily, gap_filled, indexed, long_to_wide, saved, scratch, submission, table
 from . import oracles as sql
+from .registry import ORACLE_SQL, QUERIES, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if oracle:
-            ORACLE_SQL[name] = oracle
-        return f
-
-    return add
-
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 def r(c: Column, name: str, places: int = 6) -> Column:
     return F.round(c, places).alias(name)
@@ -54,8 +41,8 @@ def orders(spark, d) -> DataFrame:
     return daily(o, F.col("o_orderpriority"), F.col("o_orderdate"), F.col("o_totalprice"))
 
 
-def steps(spark, n: int) -> DataFrame:
-    return spark.range(n).withColumnRenamed("id", "i")
+def steps(spark, d) -> DataFrame:
+    return table(spark, d, "events").select(F.col("event_id").alias("i"))
 
 
 # ---------------------------------------------------------------- features
@@ -79,9 +66,9 @@ def _waves(columns: list[Column], names: list[str]) -> list[Column]:
 _CS = ["cos_1", "cos_2", "sin_1", "sin_2"]
 
 
-@query("f4_fourier_index", "SELECT i, round(cos(2 * pi() * (i + 3) / 7), 6) + 0.0 AS cos_1, round(cos(4 * pi() * (i + 3) / 7), 6) + 0.0 AS cos_2, round(sin(2 * pi() * (i + 3) / 7), 6) + 0.0 AS sin_1, round(sin(4 * pi() * (i + 3) / 7), 6) + 0.0 AS sin_2 FROM (SELECT unnest(generate_series(0, 364)) AS i)")
+@query("f4_fourier_index", "SELECT i, round(cos(2 * pi() * (i + 3) / 7), 6) + 0.0 AS cos_1, round(cos(4 * pi() * (i + 3) / 7), 6) + 0.0 AS cos_2, round(sin(2 * pi() * (i + 3) / 7), 6) + 0.0 AS sin_1, round(sin(4 * pi() * (i + 3) / 7), 6) + 0.0 AS sin_2 FROM (SELECT event_id AS i FROM events)")
 def f4(spark, d):
-    return steps(spark, 365).select("i", *_waves(ft.fourier_index("i", 7, 2, 2), _CS))
+    return steps(spark, d).select("i", *_waves(ft.fourier_index("i", 7, 2, 2), _CS))
 
 
 @query("f5_fourier_timestamp", "SELECT event_id, round(cos(2 * pi() * x / 365.25), 6) + 0.0 AS cos_1, round(cos(4 * pi() * x / 365.25), 6) + 0.0 AS cos_2, round(sin(2 * pi() * x / 365.25), 6) + 0.0 AS sin_1, round(sin(4 * pi() * x / 365.25), 6) + 0.0 AS sin_2 FROM (SELECT event_id, floor(epoch(ts)) / 86400.0 AS x FROM events)")
@@ -89,14 +76,14 @@ def f5(spark, d):
     return table(spark, d, "events").select("event_id", *_waves(ft.fourier_timestamp("ts", 365.25, 2), _CS))
 
 
-@query("f6_fourier_steps", "SELECT i, round(sin(2 * pi() * i / 30.5), 6) + 0.0 AS sin_1, round(sin(4 * pi() * i / 30.5), 6) + 0.0 AS sin_2, round(cos(2 * pi() * i / 30.5), 6) + 0.0 AS cos_1, round(cos(4 * pi() * i / 30.5), 6) + 0.0 AS cos_2 FROM (SELECT unnest(generate_series(0, 199)) AS i)")
+@query("f6_fourier_steps", "SELECT i, round(sin(2 * pi() * i / 30.5), 6) + 0.0 AS sin_1, round(sin(4 * pi() * i / 30.5), 6) + 0.0 AS sin_2, round(cos(2 * pi() * i / 30.5), 6) + 0.0 AS cos_1, round(cos(4 * pi() * i / 30.5), 6) + 0.0 AS cos_2 FROM (SELECT event_id AS i FROM events)")
 def f6(spark, d):
-    return steps(spark, 200).select("i", *_waves(ft.fourier_steps("i", 30.5, 2), ["sin_1", "sin_2", "cos_1", "cos_2"]))
+    return steps(spark, d).select("i", *_waves(ft.fourier_steps("i", 30.5, 2), ["sin_1", "sin_2", "cos_1", "cos_2"]))
 
 
-@query("f7_periodic_dummies", "SELECT i, " + ", ".join(f"CAST(i % 5 = {j} AS DOUBLE) AS period_{j}" for j in range(1, 5)) + " FROM (SELECT unnest(generate_series(0, 99)) AS i)")
+@query("f7_periodic_dummies", "SELECT i, " + ", ".join(f"CAST(i % 5 = {j} AS DOUBLE) AS period_{j}" for j in range(1, 5)) + " FROM (SELECT event_id AS i FROM events)")
 def f7(spark, d):
-    return steps(spark, 100).select("i", *ft.periodic_dummies("i", 5))
+    return steps(spark, d).select("i", *ft.periodic_dummies("i", 5))
 
 
 @query("f8_weekday_dummies", f"WITH {OD} SELECT series_id, ds, " + ", ".join(f"CAST(isodow(ds) - 1 = {j} AS DOUBLE) AS dow_{j}" for j in range(1, 7)) + " FROM od")
@@ -195,15 +182,13 @@ def k2(spark, d):
     return out.select("series_id", "t", *(r(F.col(c), c, 4) for c in ("level", "slope", "component")))
 
 
-_GAPS = f"{LI}, days AS (SELECT unnest(generate_series(DATE '1996-01-01', DATE '1996-12-31', INTERVAL 1 DAY))::DATE AS ds), s AS (SELECT DISTINCT series_id FROM li), panel AS (SELECT s.series_id, date_diff('day', DATE '1996-01-01', days.ds) AS t, CASE WHEN days.ds = DATE '1996-01-01' THEN coalesce(y, 1.0) ELSE y END AS y FROM s CROSS JOIN days LEFT JOIN li ON li.series_id = s.series_id AND li.ds = days.ds)"
+_DAYS = "days AS (SELECT unnest(generate_series((SELECT min(ds) FROM li), (SELECT max(ds) FROM li), INTERVAL 1 DAY))::DATE AS ds), s AS (SELECT DISTINCT series_id FROM li)"
+_GAPS = f"{LI}, {_DAYS}, panel AS (SELECT s.series_id, date_diff('day', (SELECT min(ds) FROM li), days.ds) AS t, CASE WHEN days.ds = (SELECT min(ds) FROM li) THEN coalesce(y, 1.0) ELSE y END AS y FROM s CROSS JOIN days LEFT JOIN li ON li.series_id = s.series_id AND li.ds = days.ds)"
 
 
 @query("k1_dlt_missing", sql.dlt_sql(_GAPS, *_DLT, columns="round(level, 4) AS level, round(component, 4) AS component"))
 def k1(spark, d):
-    first = F.lit("1996-01-01").cast("date")
-    days = spark.range(366).select(F.date_add(first, F.col("id").cast("int")).alias("ds"), F.col("id").alias("t"))
-    x = lines(spark, d)
-    filled = x.select("series_id").distinct().crossJoin(F.broadcast(days)).join(x, ["series_id", "ds"], "left")
+    filled = indexed(gap_filled(lines(spark, d)), ["series_id"], "ds")
     filled = filled.withColumn("y", F.when(F.col("t") == 0, F.coalesce("y", F.lit(1.0))).otherwise(F.col("y")))
     return scan.dlt_components(filled, *_DLT).select("series_id", "t", r(F.col("level"), "level", 4), r(F.col("component"), "component", 4))
 
@@ -288,7 +273,7 @@ def k11(spark, d):
 @query("k12_batch", f"WITH RECURSIVE {sql.filter_cte(*_LINEAR)} SELECT series_id, round(max_by(log_p, t), 6) AS log_p FROM flt GROUP BY series_id")
 def k12(spark, d):
     own = _panel(spark, d).withColumns({"sigma_h": F.lit(_H), "sigma_q": F.array(*map(F.lit, _Q))})
-    out = scan.filtered(own, _A0, _P0, None, None, buckets=3)
+    out = scan.filtered(own, _A0, _P0, None, None, rows=50)
     return scoring.last_value(out, ["series_id"], "t", ["log_p"]).select("series_id", r(F.col("log_p"), "log_p"))
 
 
@@ -377,28 +362,72 @@ def _with_x(spark, d) -> DataFrame:
     return events(spark, d).withColumns({"y": F.col("y") / 1000, "x1": F.cos(t), "x2": F.sin(t / 3), "x3": (t % 7 == 0).cast("double")})
 
 
+_X = ["x1", "x2", "x3"]
+
+
+def _fits(spark, d, **kw) -> tuple[DataFrame, DataFrame]:
+    p = _with_x(spark, d)
+    found = estimate.basis(p, *_DLT, _X)
+    names, prior = estimate._prior(p, _X, _scheme())
+    draws = estimate.sample_dlt(estimate.gram(found, 3), names, prior, **({"warmup": 50, "draws": 50, "chains": 2, "seed": 0} | kw))
+    return found, saved(draws, scratch(spark, "draws"))
+
+
+def _ahead(spark, d, horizon: int) -> DataFrame:
+    t = F.col("t")
+    last = events(spark, d).groupBy("series_id").agg(F.max("t").alias("last"))
+    rows = last.select("series_id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda h: F.col("last") + h)).alias("t"))
+    return rows.withColumns({"x1": F.cos(t), "x2": F.sin(t / 3), "x3": (t % 7 == 0).cast("double")})
+
+
+@query("e1_gram", sql.gram_sql(EV, *_DLT))
+def e1(spark, d):
+    g = estimate.gram(estimate.basis(_with_x(spark, d), *_DLT, ["x1"]), 1)
+    return g.select("series_id", *(r(F.col("g")[i], c, 4) for i, c in enumerate(("yy", "xy", "xx"))), r(F.col("level")[0], "level", 4), r(F.col("level")[1], "level_x", 4))
+
+
 @query("e2_dlt_fit")
 def e2(spark, d):
-    fits = estimate.fit_dlt(_with_x(spark, d), *_DLT, regressors=["x1", "x2", "x3"], scheme=_scheme(), warmup=50, draws=50, chains=2)
+    _, fits = _fits(spark, d)
     return fits.groupBy("series_id").agg(*(F.percentile(F.col("coef")[i], 0.5).alias(f"x{i + 1}_p50") for i in range(3)), F.percentile("sigma", 0.5).alias("sigma_p50"))
 
 
+@query("e2_dlt_medians")
+def e2m(spark, d):
+    found, fits = _fits(spark, d)
+    return estimate.medians(fits, found)[1]
+
+
 @query("e3_noise")
 def e3(spark, d):
     return estimate.noise_components(estimate.fit_dlt(_with_x(spark, d), *_DLT, warmup=20, draws=20, chains=1), 5)
 
 
-@query("e4_e5_dlt_forecast")
+@query("e4_components_ahead")
+def e4(spark, d):
+    _, fits = _fits(spark, d)
+    return scoring.quantiles(estimate.components_ahead(fits, *_DLT, 44), ["series_id", "t"], "component")
+
+
+@query("e5_dlt_inference")
 def e5(spark, d):
+    found, fits = _fits(spark, d)
+    out = estimate.make_inference(fits, found, *_DLT, regressors=_X, future=_ahead(spark, d, 14), noise_embed=True, transform=lambda c: F.exp(c / 10))
+    return scoring.quantiles(out, ["series_id", "t"], "forecast", (0.1, 0.5, 0.9))
+
+
+@query("e5_dlt_forecast_closed_form")
+def e5c(spark, d):
     fits = estimate.fit_dlt(_with_x(spark, d), *_DLT, warmup=50, draws=50, chains=2)
     return scoring.quantiles(estimate.forecast_dlt(fits, _DLT[2], 14, noise=True), ["series_id", "t"], "forecast")
 
 
-@query("e6_e7_mcmc")
+@query("e6_e7_mcmc_forecast")
 def e6(spark, d):
-    p = ft.log_response(events(spark, d), ["series_id"], "y").select("series_id", "t", F.col("response").alias("y")).withColumns({"z0": F.lit(1.0), "z1": F.cos(F.col("t") * 2 * F.pi() / 7)})
-    fits = estimate.fit_mcmc(p, ["z0", "z1"], warmup=60, draws=40, chains=2)
-    return fits.groupBy("series_id").agg(F.percentile("sigma_h", 0.5).alias("sigma_h"), F.percentile(F.col("a_last")[0], 0.5).alias("level"))
+    logged = ft.log_response(events(spark, d), ["series_id"], "y").withColumns({"z0": F.lit(1.0), "z1": F.cos(F.col("t") * 2 * F.pi() / 7)})
+    fits = estimate.fit_mcmc(logged.select("series_id", "t", F.col("response").alias("y"), "z0", "z1"), ["z0", "z1"], warmup=60, draws=40, chains=2)
+    ahead = spark.range(7).select(F.col("id").alias("t"), F.array(F.lit(1.0), F.cos(F.col("id") * 2 * F.pi() / 7)).alias("z"))
+    return estimate.forecast_mcmc(fits, ahead, logged.select("series_id", "response_norm").distinct())
 
 
 def _sales(spark, d) -> DataFrame:
@@ -420,8 +449,16 @@ def e9(spark, d):
 @query("e12_mmm_ekf")
 def e12(spark, d):
     p = ft.mean_normalised(events(spark, d), ["series_id"], ["y"]).withColumns({"z0": F.lit(1.0), "z1": F.abs(F.sin(F.col("t")))})
-    fits = estimate.fit_mcmc(p, ["z0", "z1"], exponent=0.5, positivity=[False, True], warmup=40, draws=30, chains=1)
-    return fits.groupBy("series_id").agg(F.percentile("sigma_h", 0.5).alias("sigma_h"), F.count("*").alias("draws"))
+    beta = estimate.NoisePrior("beta", h=(2.0, 10.0, 1.0), level=(2.0, 4.0, 0.2), other=(2.0, 4.0, 0.1))
+    fits = estimate.fit_mcmc(p, ["z0", "z1"], exponent=0.5, positivity=[False, True], prior=beta, warmup=40, draws=30, chains=1)
+    return fits.groupBy("series_id").agg(F.percentile(F.col("sigma_h")[0], 0.5).alias("sigma_h"), F.count("*").alias("draws"))
+
+
+@query("e12_mmm_ekf_st")
+def e12st(spark, d):
+    beta = estimate.NoisePrior("beta", h=(2.0, 10.0, 2.0), level=(2.0, 4.0, 0.4), other=(2.0, 4.0, 0.2))
+    fits = estimate.fit_mcmc_st(_stacked(spark, d), _A0, [[1.0, 0.0, 0.0], [0.0, 0.5, 0.0], [0.0, 0.0, 0.5]], exponent=0.5, positivity=_POS, prior=beta, warmup=30, draws=20, chains=2)
+    return fits.select("series_id", "chain", "draw", F.col("sigma_q")[0].alias("sigma_level"), "log_p")
 
 
 @query("e14_spans", f"WITH {EV}, w AS (SELECT series_id, t, list(y) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING) AS span FROM ev) SELECT series_id, t, span[1] AS first_y, span[7] AS last_y FROM w WHERE len(span) = 7")
@@ -453,7 +490,7 @@ def e17(spark, d):
 
 @query("e18_e19_tuned")
 def e19(spark, d):
-    out = estimate.tune_dlt(events(spark, d).withColumn("y", F.col("y") / 1000), trials=8)
+    out = estimate.tune_dlt(_with_x(spark, d), trials=6, refine=3, regressors=_X, scheme=_scheme(), horizon=7)
     return scoring.best_iteration(out, ["series_id"], "wbic", "trial")
 
 
@@ -589,9 +626,12 @@ def x1(spark, d):
     return gap_filled(lines(spark, d))
 
 
-@query("x2_pivot", f"WITH {EV} SELECT ds, " + ", ".join(f"max(CASE WHEN series_id = '{s}' THEN y END) AS {s}" for s in ("click", "view", "purchase")) + " FROM ev GROUP BY ds")
+_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("x2_pivot", f"WITH {EV} SELECT ds, " + ", ".join(f"max(CASE WHEN series_id = '{s}' THEN y END) AS {s}" for s in ("click", "error", "purchase", "signup", "view")) + " FROM ev GROUP BY ds")
 def x2(spark, d):
-    return long_to_wide(events(spark, d), "ds", "series_id", "y", ["click", "view", "purchase"])
+    return long_to_wide(events(spark, d), "ds", "series_id", "y", _TYPES)
 
 
 @query("x3_x7_union_except", "SELECT o_custkey AS id FROM orders WHERE o_totalprice > 100000 EXCEPT SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'")
@@ -609,10 +649,10 @@ def x8(spark, d):
     return posterior_long(e, "coef")
 
 
-@query("j1_calendar_prices", "WITH p AS (SELECT l_partkey % 20 AS item, date_trunc('week', l_shipdate)::DATE AS wk, round(avg(l_extendedprice / l_quantity), 4) AS price FROM lineitem GROUP BY 1, 2), c AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS ds FROM orders) SELECT item, ds, price FROM c JOIN p ON p.wk = date_trunc('week', c.ds)::DATE")
+@query("j1_calendar_prices", "WITH p AS (SELECT l_partkey % 20 AS item, date_trunc('week', l_shipdate)::DATE AS wk, round(avg(l_extendedprice / l_quantity), 7) AS price FROM lineitem GROUP BY 1, 2), c AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS ds FROM orders) SELECT item, ds, price FROM c JOIN p ON p.wk = date_trunc('week', c.ds)::DATE")
 def j1(spark, d):
     week = lambda c: F.to_date(F.date_trunc("week", c))
-    p = table(spark, d, "lineitem").groupBy((F.col("l_partkey") % 20).alias("item"), week("l_shipdate").alias("wk")).agg(F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 4).alias("price"))
+    p = table(spark, d, "lineitem").groupBy((F.col("l_partkey") % 20).alias("item"), week("l_shipdate").alias("wk")).agg(F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 7).alias("price"))
     c = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("ds")).distinct().withColumn("wk", week("ds"))
     return c.join(p, "wk").select("item", "ds", "price")
 
@@ -639,25 +679,29 @@ def j9(spark, d):
 
 
 def _wr(spark, d) -> tuple[DataFrame, DataFrame]:
-    e = _geo(spark, d).withColumn("t", F.datediff("ds", F.lit("1995-01-01").cast("date")))
-    x = e.groupBy("region", "segment", "t").agg(F.round(F.sum("v") / 1000, 6).alias("sales"))
-    keys = x.select("region", "segment").distinct().crossJoin(F.broadcast(spark.range(200).select(F.col("id").cast("int").alias("t"))))
-    full = keys.join(x, ["region", "segment", "t"], "left").fillna(0.0, ["sales"]).withColumn("price", 1.0 + F.length("segment") / 10)
-    train, valid = full.filter("t < 172"), full.filter("t >= 172")
+    """Daily sales of region and segment over all days; the last 28 are there to be forecast."""
+    x = _geo(spark, d).groupBy("region", "segment", "ds").agg(F.round(F.sum("v") / 1000, 6).alias("y")).withColumn("series_id", F.struct("region", "segment"))
+    full = gap_filled(x.select("series_id", "ds", "y")).select("series_id.region", "series_id.segment", "ds", F.coalesce("y", F.lit(0.0)).alias("sales"))
+    full = indexed(full, ["region", "segment"], "ds").withColumn("price", 1.0 + F.length("segment") / 10)
+    left = F.max("ds").over(Window.partitionBy("region", "segment"))
+    full = full.withColumn("left", F.datediff(left, "ds")).drop("ds")
+    train, valid = full.filter("left >= 28").drop("left"), full.filter("left < 28").drop("left")
     mean = train.groupBy("region", "segment").agg(F.round(F.avg("sales"), 6).alias("forecast"))
     return train, valid.join(mean, ["region", "segment"])
 
 
-_WR_SQL = f"""WITH {_GEO}, x AS (SELECT region, segment, date_diff('day', DATE '1995-01-01', ds) AS t, round(sum(v) / 1000, 6) AS sales FROM geo GROUP BY ALL),
-full_ AS (SELECT k.region, k.segment, g.t, coalesce(x.sales, 0.0) AS sales, 1.0 + length(k.segment) / 10 AS price FROM (SELECT DISTINCT region, segment FROM x) k CROSS JOIN (SELECT unnest(generate_series(0, 199)) AS t) g LEFT JOIN x ON x.region = k.region AND x.segment = k.segment AND x.t = g.t),
-f AS (SELECT region, segment, round(avg(sales), 6) AS forecast FROM full_ WHERE t < 172 GROUP BY ALL),
+_WR_SQL = f"""WITH {_GEO}, x0 AS (SELECT region, segment, ds, round(sum(v) / 1000, 6) AS sales FROM geo GROUP BY ALL),
+x AS (SELECT region, segment, date_diff('day', (SELECT min(ds) FROM x0), ds) AS t, sales FROM x0),
+n AS (SELECT max(t) + 1 - 28 AS n FROM x),
+full_ AS (SELECT k.region, k.segment, g.t, coalesce(x.sales, 0.0) AS sales, 1.0 + length(k.segment) / 10 AS price FROM (SELECT DISTINCT region, segment FROM x) k CROSS JOIN (SELECT unnest(generate_series(0, (SELECT max(t) FROM x))) AS t) g LEFT JOIN x ON x.region = k.region AND x.segment = k.segment AND x.t = g.t),
+f AS (SELECT region, segment, round(avg(sales), 6) AS forecast FROM full_ WHERE t < (SELECT n FROM n) GROUP BY ALL),
 lv AS (SELECT 1 AS level UNION ALL SELECT 2 UNION ALL SELECT 3),
 tagged AS (SELECT level, CASE WHEN level >= 2 THEN region ELSE '' END || '|' || CASE WHEN level = 3 THEN segment ELSE '' END AS k, t, sales, price, forecast FROM full_ JOIN f USING (region, segment) CROSS JOIN lv),
 s AS (SELECT level, k, t, sum(sales) AS sales, sum(forecast) AS forecast FROM tagged GROUP BY ALL),
-d AS (SELECT level, k, sales - lag(sales) OVER (PARTITION BY level, k ORDER BY t) AS d FROM s WHERE t < 172),
+d AS (SELECT level, k, sales - lag(sales) OVER (PARTITION BY level, k ORDER BY t) AS d FROM s WHERE t < (SELECT n FROM n)),
 sc AS (SELECT level, k, CASE WHEN avg(d * d) > 0 THEN avg(d * d) ELSE 1 END AS scale FROM d GROUP BY ALL),
-w AS (SELECT level, k, sum(sales * price) AS dollars FROM tagged WHERE t >= 144 AND t < 172 GROUP BY ALL),
-e AS (SELECT level, k, avg((forecast - sales) * (forecast - sales)) AS mse, avg(sales) AS a, avg(forecast) AS f FROM s WHERE t >= 172 GROUP BY ALL)
+w AS (SELECT level, k, sum(sales * price) AS dollars FROM tagged WHERE t >= (SELECT n FROM n) - 28 AND t < (SELECT n FROM n) GROUP BY ALL),
+e AS (SELECT level, k, avg((forecast - sales) * (forecast - sales)) AS mse, avg(sales) AS a, avg(forecast) AS f FROM s WHERE t >= (SELECT n FROM n) GROUP BY ALL)
 SELECT level, round(CASE WHEN sum(dollars) > 0 THEN sum(sqrt(mse) / sqrt(scale) * dollars) / sum(dollars) ELSE avg(sqrt(mse) / sqrt(scale)) END, 6) AS wrmsse, round(avg(sqrt(mse) / sqrt(scale)), 6) AS mean_rmsse, round(avg(f) - avg(a), 4) AS bias_signed FROM e JOIN sc USING (level, k) JOIN w USING (level, k) GROUP BY level"""
 
 
@@ -671,3 +715,6 @@ def s10(spark, d):
 def s15(spark, d):
     x = scoring.quantiles(_draws(spark, d).withColumn("f", F.exp(F.col("value") / 500) * 3), ["series_id"], "f")
     return x.select("series_id", *(r(F.col(c), c) for c in ("q05", "q50", "q95")))
+
+
+from . import pipelines  # noqa: E402, F401  registers the others

@@ -97,3 +97,13 @@ def dlt_sql(panel: str, lev_sm: float, slp_sm: float, theta: float, columns: str
     scan = f"""scan AS (SELECT series_id, t, y AS level, {_f(0.0)} AS slope, y AS component FROM panel WHERE t = 0
   UNION ALL SELECT p.series_id, p.t, {new}, {_f(slp_sm)} * ({new} - f.level) + {_f(1 - slp_sm)} * f.slope, {c} FROM scan f JOIN panel p ON p.series_id = f.series_id AND p.t = f.t + 1)"""
     return f"WITH RECURSIVE {panel}, {scan} SELECT series_id, t, {columns} FROM scan"
+
+
+def gram_sql(events: str, lev_sm: float, slp_sm: float, theta: float) -> str:
+    """Gram sums of y / 1000 and of cos(t) less their trends, and the last levels of both."""
+    c, cx = (f"(f.level{k} + {_f(theta)} * f.slope{k})" for k in ("", "_x"))
+    new, new_x = (f"({_f(lev_sm)} * p.{v} + {_f(1 - lev_sm)} * {k})" for v, k in (("y", c), ("x", cx)))
+    panel = f"{events}, panel AS (SELECT series_id, t, y / 1000 AS y, cos(t) AS x FROM ev)"
+    step = f"SELECT p.series_id, p.t, p.y, p.x, {new}, {_f(slp_sm)} * ({new} - f.level) + {_f(1 - slp_sm)} * f.slope, {c}, {new_x}, {_f(slp_sm)} * ({new_x} - f.level_x) + {_f(1 - slp_sm)} * f.slope_x, {cx} FROM scan f JOIN panel p ON p.series_id = f.series_id AND p.t = f.t + 1"
+    scan = f"scan AS (SELECT series_id, t, y, x, y AS level, {_f(0.0)} AS slope, y AS c, x AS level_x, {_f(0.0)} AS slope_x, x AS c_x FROM panel WHERE t = 0 UNION ALL {step})"
+    return f"WITH RECURSIVE {panel}, {scan} SELECT series_id, round(sum((y - c) * (y - c)), 4) AS yy, round(sum((y - c) * (x - c_x)), 4) AS xy, round(sum((x - c_x) * (x - c_x)), 4) AS xx, round(max_by(level, t), 4) AS level, round(max_by(level_x, t), 4) AS level_x FROM scan GROUP BY series_id"

@@ -2,9 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.features import date_parts, split_label, strip_suffix
+
+_folder: str | None = None
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``; a temporary one where none is set."""
+    global _folder
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        _folder = _folder or f"file://{tempfile.mkdtemp(prefix='tidegauge-')}"
+        named = _folder
+    return f"{named.rstrip('/')}/tidegauge/{name}-{uuid.uuid4().hex}"
+
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV with a header and an explicit schema; dates are parsed by it."""
@@ -79,6 +98,85 @@ def submission(template: DataFrame, predictions: DataFrame, horizon: int) -> Dat
     return out
 
 
-def posterior_long(df: DataFrame, variable: str) -> DataFrame:
-    """(variable, chain, draw, idx, value) of an array column of draws."""
-    return df.select(F.lit(variable).alias("variable"), "chain", "draw", F.posexplode(variable).alias("idx", "value"))
+SUBMISSION_ROWS = 60_980
+
+
+def checked_submission(df: DataFrame, horizon: int = 28, rows: int | None = SUBMISSION_ROWS) -> DataFrame:
+    """A table of forecasts that has id and F1..Fh in order and as many rows as it should."""
+    wanted = ["id", *(f"F{i}" for i in range(1, horizon + 1))]
+    if df.columns != wanted:
+        raise ValueError(f"the columns are {df.columns}, not {wanted}")
+    if rows is not None and (n := df.count()) != rows:
+        raise ValueError(f"{n} rows, not {rows}")
+    return df
+
+
+def unpivoted(df: DataFrame, horizon: int) -> DataFrame:
+    """(id, h, forecast) of a table of forecasts."""
+    return wide_to_long(df, ["id"], "F", "forecast").withColumnRenamed("day", "h").filter(F.col("h") <= horizon)
+
+
+def matched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join on a key that every row of ``left`` must find in ``right``."""
+    if (lost := left.join(right, key, "left_anti").select(key).first()) is not None:
+        raise KeyError(f"{lost[0]!r} has no match")
+    return left.join(right, key)
+
+
+def merged_priors(on: list[str], *tables: DataFrame) -> DataFrame:
+    """Outer join of tables of priors by their coordinates."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.join(t, on, "full_outer")
+    return out
+
+
+def retail_panel(calendar: DataFrame, prices: DataFrame, sales: DataFrame, train_end: int = 1913, valid_end: int = 1941) -> DataFrame:
+    """One row a series and calendar day: hierarchy, sales (null where the table of sales ends before
+    the calendar), price of the week, snap of the state, date parts and split.
+
+    calendar has date, wm_yr_wk, d and snap_<state> columns; prices has store_id, item_id, wm_yr_wk
+    and sell_price, of which the least counts where there are several; sales is wide, with d_1, d_2
+    and so on. The calendar is small beside the sales and broadcast; prices meet by store, item, week."""
+    ids = ["id", "item_id", "dept_id", "cat_id", "store_id", "state_id"]
+    states = [c for c in calendar.columns if c.startswith("snap_")]
+    days = calendar.select("date", "wm_yr_wk", F.regexp_replace("d", "^d_", "").cast("int").alias("day"), F.map_from_arrays(F.array(*(F.lit(c.removeprefix("snap_")) for c in states)), F.array(*(F.col(c).cast("tinyint") for c in states))).alias("_snap"))
+    series = sales.select(*ids)
+    long = wide_to_long(sales, ids, "d_", "sales").select("id", "day", F.col("sales").cast("double").alias("sales"))
+    fact = series.crossJoin(F.broadcast(days)).join(long, ["id", "day"], "left")
+    price = prices.groupBy("store_id", "item_id", "wm_yr_wk").agg(F.min("sell_price").alias("sell_price"))
+    fact = fact.join(price, ["store_id", "item_id", "wm_yr_wk"], "left")
+    return fact.select(
+        strip_suffix("id").alias("series_id"), *ids[1:], "day", F.to_date("date").alias("ds"), "sales", "sell_price",
+        F.try_element_at("_snap", F.col("state_id")).alias("snap"), *date_parts(F.to_date("date")), split_label(F.col("day"), train_end, valid_end).alias("split"),
+    )
+
+
+def posterior_long(df: DataFrame, variable: str | list[str], keep: list[str] | None = None, drop: list[str] | None = None) -> DataFrame:
+    """(variable, chain, draw, idx, value) of array or number columns of draws.
+
+    variable is a column or a list of them, cut down by ``keep`` or ``drop`` (names that are not there
+    are passed over; both at once, and nothing left, are errors)."""
+    if keep is not None and drop is not None:
+        raise ValueError("keep or drop, not both")
+    names = [variable] if isinstance(variable, str) else list(variable)
+    names = [n for n in names if (keep is None or n in keep) and (drop is None or n not in drop)]
+    if not names:
+        raise ValueError("no variable is left")
+    if missing := [c for c in ("chain", "draw", *names) if c not in df.columns]:
+        raise ValueError(f"no columns {missing}")
+    kinds = dict(df.dtypes)
+    parts = []
+    for n in names:
+        value = F.col(n) if kinds[n].startswith("array") else F.array(F.col(n))
+        parts.append(df.select(F.lit(n).alias("variable"), "chain", "draw", F.posexplode(value.cast("array<double>")).alias("idx", "value")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def saved(df: DataFrame, path: str) -> DataFrame:
+    """Writes a table as Parquet and reads it again, such as parameters between a fit and its use."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
