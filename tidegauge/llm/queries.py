@@ -100,4 +100,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_quality": op2_quality, "op3_chat": op3_chat, "op4_near_dedup": op4_near_dedup, "op5_matroska": op5_matroska, "op6_url_rules": op6_url_rules, "op7_toxicity": op7_toxicity, "op8_imatch": op8_imatch, "op9_mixing": op9_mixing, "op10_warc": op10_warc}
 
-ORACLE_SQL: dict[str, str] = {}
+#: SQL can express neither tokenizers nor fitted models, containers, hashes of the JVM nor iterations.
+ORACLE_SQL: dict[str, str] = {
+    "op4_near_dedup": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+u AS (SELECT doc_id, len(w) AS k, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+f AS (SELECT doc_id, k, i, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o || ' ' || lead(x, 3) OVER o || ' ' || lead(x, 4) OVER o AS g FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+e AS (SELECT DISTINCT doc_id, g FROM f WHERE k >= 5 AND i <= k - 4 UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(*) AS n FROM e GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM e x JOIN e y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS v, doc_id AS r FROM documents UNION SELECT l.b, r.r FROM r JOIN l ON l.a = r.v)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept FROM r JOIN documents ON doc_id = v LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
+    "op10_warc": r"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (SELECT *, list_transform(generate_series(0, 39), lambda i: instr('0123456789abcdef', h[i + 1:i + 1]) - 1) AS d FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM b)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((d[5 * (i // 4) + 1] * 65536 + d[5 * (i // 4) + 2] * 4096 + d[5 * (i // 4) + 3] * 256 + d[5 * (i // 4) + 4] * 16 + d[5 * (i // 4) + 5]) // CAST(pow(2, 15 - 5 * (i % 4)) AS BIGINT)) % 32), 1)), '') AS payload_digest,
+CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f""",
+}
