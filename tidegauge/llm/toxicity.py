@@ -267,8 +267,8 @@ def _choose(sets: list[np.ndarray], labels: np.ndarray, terms: list[str], *, pre
         t = max(gain, key=lambda t: (worth(t), terms[t]))
         gain.pop(t)
         now = sum(need[d] > 0 for d in of[t])
-        if now < threshold:
-            break
+        if now < threshold:  # others may still explain more: worth is not support alone
+            continue
         gain[t] = now
         if len(gain) > 1 and worth(t) < max(worth(o) for o in gain if o != t):
             continue
