@@ -193,7 +193,7 @@ def _outsiders(led: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFram
     placed = placed.select("a", "b", F.coalesce("own", "b").alias("own"), F.coalesce("main", "a").alias("main"))
     unsettled = placed.groupBy("a").agg(F.min("own").alias("_least"), F.max("own").alias("_most")).filter("_least < _most").select("a")
     rows = materialise(placed.join(unsettled, "a", "left_semi"), "unsettled")
-    if rows.isEmpty():
+    if not rows.count():
         return None
     nodes = rows.select(F.col("b").alias("doc_id")).distinct()
     texts = docs.selectExpr("cast(doc_id as long) as doc_id", "text").join(nodes, "doc_id")
@@ -278,8 +278,9 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, miss: float = 1e-6) -
     gives no rows."""
     rows = materialise(signatures(docs), "signatures")
     some = rows.filter("n_shingles > 0 and doc_id is not null")
-    classes = materialise(some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("node")), "classes")
-    reps = materialise(some.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", "h1", "h2", "n_shingles"]).select(F.col("doc_id").alias("node"), "n_shingles", "sig"), "representatives")
+    # equal sets have equal signatures
+    classes = materialise(some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("node"), F.min("sig").alias("sig")), "classes")
+    reps = classes.select("node", "n_shingles", "sig")
     width = 4 * ROWS
     bands = reps.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width + 1, F.lit(width))))).alias("band"))
     sizes = bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
