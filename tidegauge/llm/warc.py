@@ -85,7 +85,7 @@ def write_warc(pages: DataFrame, path: str, *, min_bytes: int = 0, segment_bytes
     Spark's own text writer puts the bytes down with the record separator as line separator, so any
     file system that Spark writes to will do, and a lost task is simply written again. A block over
     ``segment_bytes`` goes to continuation records that name their origin and segment number. A
-    revisit holds the response's HTTP head alone. A null payload counts as empty; a null url leaves
+    revisit holds the response's HTTP head alone and is one record. A null payload counts as empty; a null url leaves
     its header out; line ends in a url are escaped. A null page_id is the smallest only among nulls.
     Rows with the same page_id and payload are all of the same type.
     """
@@ -95,7 +95,7 @@ def write_warc(pages: DataFrame, path: str, *, min_bytes: int = 0, segment_bytes
     block = F.when(is_revisit, _raw(F.concat(F.lit(_HEAD + "Content-Length: "), F.octet_length("payload").cast("string"), F.lit("\r\n\r\n")))).otherwise(
         F.concat(_raw(F.lit(_HEAD + "Transfer-Encoding: chunked\r\n\r\n")), chunked(F.col("payload"), chunk_bytes))
     )
-    cut = known.withColumn("block", block).withColumn("_segments", F.ceil(F.octet_length("block") / F.lit(segment_bytes)).cast("int"))
+    cut = known.withColumn("block", block).withColumn("_segments", F.when(is_revisit, 1).otherwise(F.ceil(F.octet_length("block") / F.lit(segment_bytes)).cast("int")))
     parts = cut.withColumn("_at", F.explode(F.sequence(F.lit(0), F.col("_segments") - 1))).withColumn("part", F.when(F.col("_segments") == 1, F.col("block")).otherwise(F.substring(F.col("block"), F.col("_at") * segment_bytes + 1, F.lit(segment_bytes))))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(_CRLF))
     optional = lambda on, name, value: F.when(on, line(name, value)).otherwise("")
