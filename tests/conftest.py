@@ -35,3 +35,8 @@ def small():
 @pytest.fixture(scope="session")
 def larger():
     return f"{DATA}/sf0.01"
+
+
+@pytest.fixture(scope="session")
+def largest():
+    return f"{DATA}/sf0.1"

@@ -257,14 +257,16 @@ def make_inference(fits: DataFrame, found: DataFrame, lev_sm: float, slp_sm: flo
     return out.select("series_id", "chain", "draw", "t", "component", "reg", "eps", (transform(value) if transform else value).alias("forecast"))
 
 
-def forecast_dlt(fits: DataFrame, theta: float, horizon: int, future: DataFrame | None = None, *, noise: bool = False, seed: int = 0, transform=None) -> DataFrame:
+def forecast_dlt(fits: DataFrame, slp_sm: float, theta: float, horizon: int, future: DataFrame | None = None, *, noise: bool = False, seed: int = 0, transform=None) -> DataFrame:
     """Draws ahead (series_id, chain, draw, t from 0, component, forecast) in closed form: without new
-    observations or errors the trend's level takes on its own forecast and its slope is damped.
+    observations or errors the level takes on its own forecast, and each step leaves
+    1 - slp_sm * (1 - theta) of the slope.
 
     future has series_id, t (from 0) and the regressors. ``noise`` adds the observation error, and
     ``transform`` maps the column of forecasts to another."""
     steps = fits.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1))))
-    ahead = F.col("t") + 1 if theta == 1.0 else (1 - F.pow(F.lit(theta), F.col("t") + 1)) / F.lit(1 - theta)
+    left = 1 - slp_sm * (1 - theta)
+    ahead = F.col("t") + 1 if left == 1.0 else (1 - F.pow(F.lit(left), F.col("t") + 1)) / F.lit(1 - left)
     out = steps.withColumn("component", F.col("last_level") + F.col("last_slope") * theta * ahead)
     reg = F.lit(0.0)
     if future is not None:

@@ -419,7 +419,7 @@ def e5(spark, d):
 @query("e5_dlt_forecast_closed_form")
 def e5c(spark, d):
     fits = estimate.fit_dlt(_with_x(spark, d), *_DLT, warmup=50, draws=50, chains=2)
-    return scoring.quantiles(estimate.forecast_dlt(fits, _DLT[2], 14, noise=True), ["series_id", "t"], "forecast")
+    return scoring.quantiles(estimate.forecast_dlt(fits, _DLT[1], _DLT[2], 14, noise=True), ["series_id", "t"], "forecast")
 
 
 @query("e6_e7_mcmc_forecast")
