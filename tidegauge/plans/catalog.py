@@ -684,7 +684,7 @@ def _wr(spark, d) -> tuple[DataFrame, DataFrame]:
     full = gap_filled(x.select("series_id", "ds", "y")).select("series_id.region", "series_id.segment", "ds", F.coalesce("y", F.lit(0.0)).alias("sales"))
     full = indexed(full, ["region", "segment"], "ds").withColumn("price", 1.0 + F.length("segment") / 10)
     left = F.max("ds").over(Window.partitionBy("region", "segment"))
-    full = full.withColumn("left", F.datediff(left, "ds")).drop("ds")
+    full = saved(full.withColumn("left", F.datediff(left, "ds")).drop("ds"), scratch(spark, "sales"))  # each score reads it
     train, valid = full.filter("left >= 28").drop("left"), full.filter("left < 28").drop("left")
     mean = train.groupBy("region", "segment").agg(F.round(F.avg("sales"), 6).alias("forecast"))
     return train, valid.join(mean, ["region", "segment"])
