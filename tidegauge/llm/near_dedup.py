@@ -21,6 +21,8 @@ HASHES = 128
 BATCH = 32
 #: Pairs of whole texts in one Arrow batch: few, as one key's pairs may all be of very long texts.
 PAIR_ROWS = 64
+#: Keys of up to three longs (at most some 80 MB) that are broadcast to texts instead of shuffling those.
+BROADCAST_ROWS = 1 << 20
 #: Rows of a block of outsiders or of candidates for them.
 TILE = 256
 
@@ -169,11 +171,17 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int, miss: float) -> Dat
     return _similar(sized, percent, miss)
 
 
+def bounded(keys: DataFrame, rows: int) -> DataFrame:
+    """keys of at most ``rows`` rows as the side of a join: broadcast if that is few, else shuffled."""
+    return F.broadcast(keys) if rows <= BROADCAST_ROWS else keys
+
+
 def _exact(likely: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The likely pairs (a, b) that are links, on the full texts; each text is read from docs once."""
     likely = materialise(likely, "likely-pairs")
     ids = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
-    texts = materialise(docs.selectExpr("cast(doc_id as long) as doc_id", "text").join(ids, "doc_id"), "candidate-texts")
+    ids = bounded(ids, 2 * likely.count())
+    texts = materialise(docs.selectExpr("cast(doc_id as long) as doc_id", "text").join(ids, "doc_id", "left_semi"), "candidate-texts")
     text = lambda side: texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
     small_batches(docs.sparkSession, PAIR_ROWS)
     links = materialise(_confirmed(likely.join(text("b"), "b").join(text("a"), "a"), percent, SHINGLE), "links")
@@ -314,9 +322,11 @@ def keep_one(docs: DataFrame, *, percent: int = 85, miss: float = 1e-6) -> DataF
     keyed = docs.withColumns({f"{prefix}0": F.col("doc_id").cast("long"), f"{prefix}1": first, f"{prefix}2": second})
     on = lambda other: [F.col(f"{prefix}{i}") == other[k] for i, k in enumerate(key)]
     gone = materialise(found.filter("not kept").select(*key).distinct(), "gone")
+    gone = bounded(gone, gone.count())
     rest = keyed.join(gone, on(gone), "left_anti")
     twice = materialise(found.filter("kept and doc_id is not null").groupBy(*key).count().filter("count > 1").select(*key), "repeated")
-    if not twice.isEmpty():
+    if n := twice.count():
+        twice = bounded(twice, n)
         once = rest.join(twice, on(twice), "left_semi").dropDuplicates([f"{prefix}{i}" for i in range(3)])
         rest = rest.join(twice, on(twice), "left_anti").unionByName(once)
     return rest.select(*names)
