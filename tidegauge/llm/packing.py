@@ -20,8 +20,10 @@ from .common import blocks, small_batches, texts_of
 TIERS = (256, 512, 1024, 2048, 4096)
 #: Tokens that are tokenised and packed together in one worker before pieces leave it.
 BLOCK_TOKENS = 1 << 21
+#: Text bytes that are tokenised in one step, which takes some sixteen times as much memory.
+ENCODE_BYTES = 2 << 20
 #: Words whose ids a worker remembers; a cache of speed only, emptied when it is full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 #: Precomposed Latin letters, which the normaliser only lower-cases, and marks after them.
 _SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
@@ -235,8 +237,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, tiers: tuple[int, ..
             names = [f.split()[0] for f in SCHEMA.split(", ")]
             yield from pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names).to_batches(4096)
 
+        pa.default_memory_pool().release_unused()  # what an earlier stage has left in this worker
         for batch in batches:
-            for part in blocks(batch, limit=8 << 20):
+            for part in blocks(batch, limit=ENCODE_BYTES):
                 ids, counts = encoder.encode(texts_of(part))
                 at = 0
                 for doc_id, n in zip(part.column(0).to_pylist(), counts.tolist(), strict=True):
