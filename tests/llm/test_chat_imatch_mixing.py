@@ -146,6 +146,28 @@ def test_fingerprint_partitions_do_not_matter(spark):
         spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
+def test_texts_outside_the_band(spark):
+    """A large group of copies, whose terms are all too frequent, and texts of punctuation or odd words alone."""
+    rng = random.Random(3)
+    group = [f"g{i}" for i in range(60)]
+    rows = []
+    for i in range(120):  # every other text is a near copy of one
+        own = [*group] if i % 2 else [f"w{rng.randrange(400)}" for _ in range(60)]
+        if i % 2:
+            own[rng.randrange(40)] = f"g{rng.randrange(60)}"
+        rows.append((i, " ".join(own)))
+    rows += [(200, "!!!"), (201, "..."), (202, "solo"), (203, "g1"), (204, ""), (205, "?!")]
+    got = {r.doc_id: r for r in imatch.fingerprints(table(spark, rows)).collect()}
+    texts, prints = dict(rows), {}
+    for i, r in got.items():
+        prints.setdefault(r.fingerprint, set()).add(frozenset(texts[i].split()))
+    assert all(len(x) == 1 for x in prints.values())  # texts of different terms differ
+    assert [i for i, r in got.items() if not r.fingerprint.strip(".")] == [204]
+    assert [i for i, r in got.items() if not r.edited_fingerprint.strip(".")] == [204]
+    assert np.mean([got[i].near_edited for i in range(1, 119, 2)]) > 0.3
+    assert max(got[i].near_next for i in range(118)) < 0.5 and got[200].near_next == got[201].near_next == got[202].near_next == 0
+
+
 def test_odd_fingerprints(spark):
     assert imatch.fingerprints(spark.createDataFrame([], DOCS)).count() == 0
     one = imatch.fingerprints(table(spark, [(4, "a lonely text of some words")])).collect()

@@ -12,7 +12,11 @@ from .common import materialise
 #: Terms in at least one of RAREST and at most one of COMMONEST documents are the lexicon's. As each
 #: document adds its distinct terms to the document frequencies once, at most RAREST times the mean
 #: number of distinct terms of a document can be that frequent, whatever the number of documents.
-RAREST, COMMONEST = 2000, 20
+RAREST, COMMONEST = 2000, 8
+#: A text whose first three quarters have fewer terms of the band brings all its terms into the lexicon.
+FEWEST = 8
+#: Code points that are looked at first: a text with FEWEST terms of the band in them has no need of more.
+GLANCE = 600
 #: A lexicon of up to so many terms is broadcast (some 60 MB); beyond, the join shuffles the terms.
 BROADCAST_TERMS = 1_000_000
 LEVELS, PER_LEVEL = 8, 5
@@ -29,13 +33,16 @@ def _wide(level: int) -> int:
 
 
 def lexicon(docs: DataFrame, total: int, rarest: int = RAREST, commonest: int = COMMONEST) -> DataFrame:
-    """(term, mask): the terms in the band of inverse document frequency, with a bit for each of the
-    LEVELS * PER_LEVEL random sub-lexicons that a term is in, then one for each level. A sub-lexicon
+    """(term, mask): the terms in the band of inverse document frequency and all terms of texts that
+    have too few of those (see ``_lacking``), with a bit for each of the LEVELS * PER_LEVEL random
+    sub-lexicons that a term is in, then one for each level. A sub-lexicon
     of level l has one in 2**(l + 1) of the terms. From level 3 on they are drawn from an eighth of
     the terms of the wider draw of that level, each of which lies in the one before."""
     counts = docs.select(F.explode(terms(F.col("text"))).alias("term")).filter("term != ''").groupBy("term").count()
     idf = -F.log(F.col("count") / F.lit(float(max(total, 1))))
     band = counts.filter((idf <= math.log(rarest)) & (idf >= math.log(commonest)) | (F.lit(total < 2 * commonest) & (F.col("count") < total)))
+    band = materialise(band.select("term"), "band")
+    band = band.unionByName(_lacking(docs, band))
     h = F.xxhash64("term", F.lit(0))
     mask = F.lit(0).cast("long")
     for level in range(LEVELS):
@@ -48,9 +55,41 @@ def lexicon(docs: DataFrame, total: int, rarest: int = RAREST, commonest: int =
     return band.select("term", mask.alias("mask"))
 
 
+def _bounded(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= BROADCAST_TERMS else keys
+
+
+def _kept(text: Column) -> Column:
+    """What an edited text has of its text: all but the last quarter."""
+    n = F.char_length(text)
+    return F.substring(text, F.lit(1), n - F.floor(n / F.lit(4)).cast("int"))
+
+
+def _lacking(docs: DataFrame, band: DataFrame) -> DataFrame:
+    """The terms outside the band of all texts that keep fewer than FEWEST terms of it when edited.
+
+    They become terms of the lexicon for all texts, so that such a text, its edited text and its
+    neighbours are compared over the same terms. Texts are told by a hash; equal hashes would only
+    bring more terms."""
+    known = _bounded(band.unionByName(docs.sparkSession.range(1).select(F.lit(_ALWAYS).alias("term"))))
+    texts = docs.select("text", F.xxhash64("text").alias("h"))
+
+    def poor(texts: DataFrame, body: Column, name: str) -> DataFrame:
+        each = texts.select("h", F.monotonically_increasing_id().alias("row"), body.alias("body"))
+        each = each.select("h", "row", F.explode(F.array_append(terms(F.col("body")), F.lit(_ALWAYS))).alias("term"))
+        few = each.join(known, "term").groupBy("h", "row").count().filter(F.col("count") <= FEWEST)
+        return texts.join(_bounded(materialise(few.select("h").distinct(), name)), "h", "left_semi")
+
+    some = poor(texts, F.substring(_kept(F.col("text")), 1, GLANCE), "few-at-first")
+    found = poor(some, _kept(F.col("text")), "few").select(F.explode(terms(F.col("text"))).alias("term"))
+    return found.filter("term != ''").distinct().join(band, "term", "left_anti")
+
+
 def _digests(rows: DataFrame, names: list[str]) -> DataFrame:
     """Replaces sorted arrays of (term, mask) by a digest for each sub-lexicon, over the sorted
-    distinct terms in it; empty where there are none. A level is searched in the level before."""
+    distinct terms in it; empty where there are none. A level is searched in the level before. A text
+    that has no digest at all has the hash of the whole text (column whole_ and the name; null for
+    an empty text) as those of the first level, so that it is like equal texts alone."""
 
     def kept(found: Column, bit: Column) -> Column:
         return F.filter(found, lambda x: x["mask"].bitwiseAND(bit) != 0)
@@ -68,7 +107,11 @@ def _digests(rows: DataFrame, names: list[str]) -> DataFrame:
         if _wide(level):
             rows = rows.withColumns({n: kept(F.col(n), long(LEVELS * PER_LEVEL + level)) for n in names})
         rows = rows.withColumns({f"_{n}{level}": F.transform(bits, digest(F.col(n))) for n in names})
-    return rows.withColumns({n: F.concat(*(F.col(f"_{n}{level}") for level in range(LEVELS))) for n in names}).drop(*(f"_{n}{level}" for n in names for level in range(LEVELS)))
+    none = lambda n: F.array_repeat(F.substring(F.lpad(F.hex(F.col(f"whole_{n}")), 16, "0"), 9, 8), PER_LEVEL)
+    bare = lambda n: F.col(f"whole_{n}").isNotNull() & ~F.exists(F.col(n), lambda d: d != "")
+    rows = rows.withColumns({n: F.concat(*(F.col(f"_{n}{level}") for level in range(LEVELS))) for n in names})
+    rows = rows.withColumns({n: F.when(bare(n), F.concat(none(n), F.slice(F.col(n), PER_LEVEL + 1, (LEVELS - 1) * PER_LEVEL))).otherwise(F.col(n)) for n in names})
+    return rows.drop(*(f"whole_{n}" for n in names), *(f"_{n}{level}" for n in names for level in range(LEVELS)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -134,15 +177,19 @@ def fingerprints(docs: DataFrame, *, rarest: int = RAREST, commonest: int = COMM
     rows = placed.withColumns({"place": F.row_number().over(window), "next": F.lead("text").over(window)})
     n = F.char_length("text")
     cut = F.floor(n / F.lit(4)).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.coalesce("next", F.lit("")), F.lit(1), cut))
+    edited = F.concat(_kept(F.col("text")), F.substring(F.coalesce("next", F.lit("")), F.lit(1), cut))
     rows = rows.select("bucket", "place", "ghost", "doc_id", n.cast("long").alias("n_chars"), "text", F.when(F.col("ghost"), F.lit("")).otherwise(edited).alias("edited"))
     rows = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     each = rows.select("bucket", "place", "ghost", "doc_id", "n_chars", "edited_sha256", F.posexplode(F.array("text", "edited")).alias("which", "body"))
-    each = each.select("bucket", "place", "ghost", "doc_id", "n_chars", "edited_sha256", "which", F.explode(F.array_append(terms(F.col("body")), F.lit(_ALWAYS))).alias("term"))
+    once = ("ghost", "doc_id", "n_chars", "edited_sha256", "whole")
+    each = each.withColumn("whole", F.when(F.col("body") != "", F.xxhash64("body")))
+    each = each.select("bucket", "place", "which", *once, F.explode(F.array_append(terms(F.col("body")), F.lit(_ALWAYS))).alias("term"))
+    # what is a text's own goes with one of its rows alone: all are sorted
+    each = each.select("bucket", "place", "which", "term", *(F.when(F.col("term") == _ALWAYS, F.col(c)).alias(c) for c in once))
     hit = each.join(known, "term")
     of = lambda k: F.sort_array(F.collect_list(F.when((F.col("which") == k) & (F.col("term") != _ALWAYS), F.struct("term", "mask"))))
-    once = lambda c: F.max(F.when(F.col("term") == _ALWAYS, F.col(c))).alias(c)
-    grouped = hit.groupBy("bucket", "place").agg(of(0).alias("a"), of(1).alias("b"), *(once(c) for c in ("ghost", "doc_id", "n_chars", "edited_sha256")))
+    whole = lambda k: F.max(F.when(F.col("which") == k, F.col("whole")))
+    grouped = hit.groupBy("bucket", "place").agg(of(0).alias("a"), of(1).alias("b"), whole(0).alias("whole_a"), whole(1).alias("whole_b"), *(F.max(c).alias(c) for c in once[:-1]))
     printed = _digests(grouped, ["a", "b"])
     after = printed.withColumn("c", F.lead("a").over(Window.partitionBy("bucket").orderBy("place"))).filter("not ghost")
     return after.select(
