@@ -105,6 +105,15 @@ def test_automaton_is_plain_distances(seed):
         assert machine.accepts[state] == want, w
 
 
+def test_letters_of_all_scripts():
+    terms = ["дурак", "βλάκας", "غبي", "טיפש", "笨蛋", "𐐀𐐁𐐂𐐃𐐄", "plain"]
+    machine = toxicity.Automaton(terms)
+    for k, term in enumerate(terms):
+        assert machine.accepts[machine.run([term])[0]].get(k) == 0
+    assert machine.accepts[machine.run(["дурка"])[0]] == {} and machine.accepts[machine.run(["дурок"])[0]] == {0: 1}
+    assert machine.accepts[machine.run(["ɐɐɐɐɐ"])[0]] == {}
+
+
 def test_quotation_weighs_less_than_abuse():
     model = toxicity.Model(["vermin"], {("vermin", 0): 1.0, (0, 0): 2.0, (0, 1): 1.0}, np.array([-2.0, 1.0, 1.0, 1.0, 0.5, 0.5]))
     filler = "plain words stand here and there to make the text longer than a window of words would be on its own " * 2

@@ -64,10 +64,8 @@ class Automaton:
             self.ends[node].append(t)
         self.letters = {c: i + 1 for i, c in enumerate(sorted({c for t in terms for c in t.rstrip("*")}))}
         self.names = {i: c for c, i in self.letters.items()}
-        self.codes = np.zeros(0x250, np.int64)
-        for c, i in self.letters.items():
-            if ord(c) < len(self.codes):
-                self.codes[ord(c)] = i
+        #: The letters' code points in order; a letter's code is its place from 1 on. The last is none's.
+        self.points = np.array([*map(ord, self.letters), 0xFFFFFFFF], np.uint32)
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.table = np.full((64, len(self.letters) + 1), -1, np.int64)
@@ -139,7 +137,8 @@ class Automaton:
                 continue
             wide = np.array([words[r] for r in rows.tolist()], dtype=f"U{most}")
             points = wide.view(np.uint32).reshape(len(rows), most)
-            codes = np.where(points < len(self.codes), self.codes[np.minimum(points, len(self.codes) - 1)], 0)
+            place = np.searchsorted(self.points, points)
+            codes = np.where(self.points[place] == points, place + 1, 0)
             size = lengths[rows]
             live, state = np.arange(len(rows)), np.full(len(rows), self.start)
             for i in range(most):
