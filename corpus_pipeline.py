@@ -33,8 +33,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id."""
-    return near_dedup.keep_one(docs)
+    """Of each group of near duplicates (five words, a similarity of 0.8 or more) the document with
+    the smallest doc_id."""
+    return near_dedup.keep_one(docs, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

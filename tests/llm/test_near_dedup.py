@@ -9,7 +9,7 @@ import pytest
 
 from tidegauge.llm import queries
 from tidegauge.llm.components import components
-from tidegauge.llm.near_dedup import keep_one, least_matches, near_duplicates
+from tidegauge.llm.near_dedup import HASHES, banding, keep_one, least_matches, near_duplicates
 
 from ..oracle_tools import compare
 from .helpers import DOCS, documents, table
@@ -117,5 +117,12 @@ def test_a_pair_at_the_threshold_is_hardly_ever_given_up():
     assert [n for n, _ in bounds] == [32, 64, 96, 128]
 
 
+def test_bands_hold_at_every_threshold():
+    assert banding(85) == (25, 5)
+    for percent in range(50, 100):
+        bands, rows = banding(percent)
+        assert bands * rows <= HASHES and (1 - (percent / 100) ** rows) ** bands <= 1e-6
+
+
 def test_query_is_its_sql(spark, small):
     assert compare(spark, queries.op4_near_dedup, queries.ORACLE_SQL["op4_near_dedup"], small) == []

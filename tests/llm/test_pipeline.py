@@ -51,6 +51,17 @@ def test_run(spark, folder):
     release(spark)
 
 
+def test_similarity_of_four_fifths_is_a_near_duplicate(spark, folder):
+    text = [f"w{i}" for i in range(100)]
+    near = [*text]
+    near[30], near[70] = "x", "y"  # 86 of 106 shingles, 0.811
+    far = [*text]
+    far[20], far[50], far[80] = "x", "y", "z"  # 81 of 111 with the text, 0.730
+    rows = [(i, " ".join(t), "en", "s", 1) for i, t in ((1, text), (2, near), (3, far))]
+    out = stage(2, spark, spark.createDataFrame(rows, COLUMNS), folder)
+    assert {r.doc_id for r in out.collect()} == {1, 3}
+
+
 def test_odd_rows(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     odd = spark.createDataFrame([(9000 + i, t, None, None, None) for i, t in enumerate(ODD)] + [(None, None, None, None, None), (9000, "one two three four five six", "en", "s", 1), (9000, "one two three four five six", "en", "s", 1)], COLUMNS)

@@ -16,7 +16,6 @@ from .common import blocks, fresh, materialise, small_batches, texts_of
 from .components import components
 
 SHINGLE = 5
-BANDS, ROWS = 25, 5
 HASHES = 128
 BATCH = 32
 #: Pairs of whole texts in one Arrow batch: few, as one key's pairs may all be of very long texts.
@@ -119,6 +118,13 @@ def least_matches(percent: int, miss: float, batch: int = BATCH, hashes: int = H
     return out
 
 
+def banding(percent: int, miss: float = 1e-6) -> tuple[int, int]:
+    """(bands, rows of each) of a signature: the longest rows with which a pair at the threshold shares
+    no band with a probability of at most ``miss``; 25 of 5 for 85 percent, 32 of 4 for 80."""
+    fits = [r for r in range(2, 9) if (1 - (percent / 100) ** r) ** (HASHES // r) <= miss]
+    return (HASHES // max(fits), max(fits)) if fits else (HASHES, 1)
+
+
 def _similar(pairs: DataFrame, percent: int, miss: float) -> DataFrame:
     """Pairs (a, b, sig_a, sig_b) whose signatures leave the threshold likely enough."""
     bounds = least_matches(percent, miss)
@@ -279,7 +285,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, miss: float = 1e-6) -
     is compared or excluded by proof, and no pairs are made within a component. A pair is given up
     when the posterior chance that its similarity reaches the threshold falls under ``miss``; what
     stays is confirmed on the full sets. A pair at the threshold shares no band with probability
-    (1 - 0.85**5)**25, which is 4e-7.
+    (1 - 0.85**5)**25, which is 4e-7; other thresholds have the ``banding`` that keeps it under 1e-6.
 
     Texts without words (null and empty ones too) are linked with nothing. Rows that repeat a doc_id
     are compared each for itself. A row without doc_id has no component and is kept. An empty table
@@ -289,8 +295,9 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, miss: float = 1e-6) -
     # equal sets have equal signatures
     classes = materialise(some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("node"), F.min("sig").alias("sig")), "classes")
     reps = classes.select("node", "n_shingles", "sig")
-    width = 4 * ROWS
-    bands = reps.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width + 1, F.lit(width))))).alias("band"))
+    n_bands, n_rows = banding(percent)
+    width = 4 * n_rows
+    bands = reps.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width + 1, F.lit(width))))).alias("band"))
     sizes = bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     shared = materialise(bands.join(sizes, "band"), "buckets")
     degree = shared.groupBy("node").agg(F.sum("size").alias("degree"))
