@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -125,3 +126,28 @@ def test_query_has_the_columns(spark, small):
     df = queries.op1_packing(spark, small)
     assert [(c, t) for c, t in df.dtypes[:7]] == [("doc_id", "bigint"), ("start", "bigint"), ("length", "bigint"), ("ids_crc32", "bigint"), ("doc_tokens", "bigint"), ("sequence_id", "bigint"), ("offset", "bigint")]
     assert df.select("doc_id").distinct().count() == spark.read.parquet(f"{small}/documents.parquet").count()
+
+
+def test_encoders_of_other_tokenizers_take_no_short_way():
+    """A byte-level tokenizer keeps white space in its tokens: whole texts go through its own encode."""
+    from tidegauge.llm.packing import WordEncoder
+
+    texts = ["two words", "", "Tabs\tand  spaces\n", "naïve déjà-vu!!"]
+    for name, by_words in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
+        plain, own = Tokenizer.from_file(public_tokenizers.path(name)), WordEncoder(public_tokenizers.path(name), 2)
+        assert own.by_words == own.by_runs == by_words
+        ids, counts = own.encode(pa.array(texts, pa.large_string()))
+        want = [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        assert ids.tolist() == sum(want, []) and counts.tolist() == list(map(len, want))
+
+
+def test_words_are_forgotten_and_found_again(monkeypatch, tokenizer):
+    from tidegauge.llm import packing
+
+    monkeypatch.setattr(packing, "CACHE_WORDS", 20)
+    own = packing.WordEncoder(PATH, 2)
+    for k in range(6):
+        texts = [" ".join(f"{w}{m}" for w in ("alpha", "Señor", f"b{'xyz'[k % 3]}", "cd" * (k + 1)) for m in ("", "!", "&", "'t"))]
+        ids, _ = own.encode(pa.array(texts, pa.large_string()))
+        assert ids.tolist() == [*tokenizer.encode(texts[0], add_special_tokens=False).ids, 2]
+        assert len(own.young) + len(own.old) <= 60

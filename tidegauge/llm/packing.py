@@ -5,9 +5,9 @@ from __future__ import annotations
 import heapq
 import os
 import re
+from array import array
 from collections import deque
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +22,19 @@ TIERS = (256, 512, 1024, 2048, 4096)
 BLOCK_TOKENS = 1 << 21
 #: Text bytes that are tokenised in one step, which takes some sixteen times as much memory.
 ENCODE_BYTES = 2 << 20
-#: Words whose ids a worker remembers; a cache of speed only, emptied when it is full.
-CACHE_WORDS = 200_000
-
-#: Precomposed Latin letters, which the normaliser only lower-cases, and marks after them.
-_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: Words whose ids a worker remembers, half of them as long as they keep occurring: speed alone.
+CACHE_WORDS = 400_000
+
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", "!-/:-@[-`{-~"
+#: Precomposed Latin letters, which the normaliser only lower-cases, and ASCII marks after them.
+_SIMPLE = f"^[{_LETTERS}]+[{_MARKS}]*$"
+_LOWER_LETTERS = "".join(map(chr, (*range(ord("a"), ord("z") + 1), *range(ord("ß"), ord("ö") + 1), *range(ord("ø"), ord("ÿ") + 1))))
+_ASCII_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 #: The byte-level alphabet's characters for bytes above ASCII: the bytes that Latin-1 does not print
 #: stand, in order, from 256 + 33 + 1 on.
 _BYTE_CHARS = dict(zip([*range(128, 161), 173], [*range(256 + 34, 256 + 67), 256 + 67], strict=True))
+#: What a tokenizer is tried on before a shorter way than its own is taken.
+_PROBES = ("The", "quick", "BROWN", "Größe", "señor", "ÿ", "crème", "don't", "stop-me", "x9", "東京", "naïve", "e\u0301", "'s", "ﬁne", "Straße", "übergrößenträger", "antidisestablishmentarianism", "aé", "Ñandú")
 
 SCHEMA = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, "
@@ -40,9 +45,10 @@ SCHEMA = (
 class WordEncoder:
     """Token ids of whole texts by way of their distinct words.
 
-    No token of the tokenizer spans ASCII white space (its normaliser never composes across it and
-    its pre-tokenizer drops it), so a text's ids are the ids of its white-space-separated words in
-    order. Each distinct word of a block is encoded once.
+    No token of a tokenizer that drops white space spans any of it, so a text's ids are those of its
+    white-space-separated words in order, and each distinct word of a block is encoded once. Runs of
+    Latin letters, each of which is one pre-token, go straight to the model. Both ways are tried on
+    probes first: a tokenizer that does not bear one out does without it.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -51,49 +57,83 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.end_id, self.runs = end_id, {}
-
-    def _run(self, letters: str) -> tuple[int, ...]:
-        """Ids of a run of lower-case Latin letters, which is one pre-token, straight from the model."""
+        self.end = np.uint32(end_id).tobytes()
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        each = b"".join(map(self._whole, _PROBES))
+        self.by_words = all(self._whole(space.join(_PROBES)) == each for space in (" ", "\n", " \t\r\x0b\x0c "))
+        probes = [p + m for p in _PROBES for m in ("", ",", "...", "'", "&&&", '")', *(_ASCII_MARKS if p == "The" else ""))]
+        simple = [p for p in probes if re.fullmatch(_SIMPLE[1:-1], p)]
+        self.by_runs = self.by_words and all(self._run(x.rstrip(_ASCII_MARKS).lower()) + self._whole(x[len(x.rstrip(_ASCII_MARKS)) :]) == self._whole(x) for x in simple)
+        self.young.clear()
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def _run(self, letters: str) -> bytes:
+        """Ids of a run of lower-case Latin letters straight from the model."""
         mapped = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_BYTE_CHARS)
-        return tuple([t.id for t in self.tokenizer.model.tokenize(mapped)])
-
-    def _one(self, word: str) -> tuple[int, ...]:
-        if not (simple := _SIMPLE.fullmatch(word)):
-            if (ids := self.runs.get(word)) is None:
-                ids = self.runs[word] = tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
-            return ids
-        letters, marks = simple[1].lower(), simple[2]
-        if (ids := self.runs.get(letters)) is None:
-            ids = self.runs[letters] = self._run(letters)
-        if not marks:
-            return ids
-        if (more := self.runs.get(marks)) is None:
-            more = self.runs[marks] = tuple(self.tokenizer.encode(marks, add_special_tokens=False).ids)
-        return ids + more
-
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Lengths and concatenated ids of the given words."""
-        if len(self.runs) > CACHE_WORDS:
-            self.runs.clear()
-        found = list(map(self._one, words))
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return lengths, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+
+    def _known(self, words: pa.Array, encode) -> pa.Array:
+        """The ids of distinct words, each a binary value; what is not remembered comes from encode.
+
+        Two generations are kept: a word that occurs again moves to the young one, and when that is
+        full, what has not occurred since the last time is forgotten."""
+        out, young, old = [], self.young, self.old
+        for word in words.to_pylist():
+            if (ids := young.get(word)) is None:
+                if (ids := old.get(word)) is None:
+                    ids = encode(word)
+                young[word] = ids
+            out.append(ids)
+        if len(young) > CACHE_WORDS // 2:
+            self.old, self.young = young, {}
+        return pa.array(out, pa.large_binary())
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        if not self.by_runs:
+            return self._known(words, self._whole)
+        simple = pc.match_substring_regex(words, _SIMPLE)
+        low = pc.utf8_lower(words.filter(simple))
+        runs = pc.utf8_rtrim(low, _ASCII_MARKS)
+        marks = pc.utf8_ltrim(low, _LOWER_LETTERS)
+        parts = []
+        for part, encode in ((runs, self._run), (marks, self._whole)):
+            coded = part.dictionary_encode()
+            parts.append(self._known(coded.dictionary, encode).take(coded.indices))
+        near = pc.binary_join_element_wise(*parts, pa.scalar(b"", pa.large_binary()))
+        odd = self._known(words.filter(pc.invert(simple)), self._whole)
+        place = np.empty(len(words), np.int64)
+        is_simple = simple.to_numpy(zero_copy_only=False)
+        place[is_simple], place[~is_simple] = np.arange(len(near)), len(near) + np.arange(len(odd))
+        return pa.concat_arrays([near, odd]).take(pa.array(place))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's closed by the end id, and the number of ids of each text."""
+        if not self.by_words:
+            found = [self._whole(t) + self.end for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(found), np.uint32), np.array([len(x) // 4 for x in found], np.int64)
         split = pc.ascii_split_whitespace(texts)
         ends = split.offsets.to_numpy()
         coded = split.flatten().dictionary_encode()
-        lengths, ids = self._words(coded.dictionary.to_pylist())
-        lengths, ids = np.append(lengths, 1), np.append(ids, np.uint32(self.end_id))
-        starts = np.cumsum(lengths) - lengths
-        at = np.insert(coded.indices.to_numpy().astype(np.int64), ends[1:] - ends[0], len(lengths) - 1)
-        n = lengths[at]
-        until = np.cumsum(n)
-        out = ids[np.repeat(starts[at] - (until - n), n) + np.arange(until[-1] if len(until) else 0)]
-        last = np.cumsum(np.diff(ends) + 1) - 1
-        return out, np.diff(until[last], prepend=0)
+        each = pa.concat_arrays([self._words(coded.dictionary), pa.array([self.end], pa.large_binary())])
+        at = np.insert(coded.indices.to_numpy(), ends[1:] - ends[0], len(each) - 1)
+        taken = each.take(pa.array(at))
+        until = np.frombuffer(taken.buffers()[1], np.int64)[: len(at) + 1]
+        last = until[np.cumsum(np.diff(ends) + 1)]
+        return np.frombuffer(taken.buffers()[2] or b"", np.uint32, int(until[-1]) // 4), np.diff(last, prepend=0) // 4
+
+
+#: The encoder that a worker used last, with the words that it remembers.
+_encoder: dict[tuple[str, int], WordEncoder] = {}
+
+
+def encoder(path: str, end_id: int) -> WordEncoder:
+    if (path, end_id) not in _encoder:
+        _encoder.clear()
+        _encoder[path, end_id] = WordEncoder(path, end_id)
+    return _encoder[path, end_id]
 
 
 class Packer:
@@ -211,7 +251,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, tiers: tuple[int, ..
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
-        encoder, packer = WordEncoder(tokenizer_path, end_id), Packer(tiers)
+        coder, packer = encoder(tokenizer_path, end_id), Packer(tiers)
         held: dict[int, tuple] = {}
         n_docs = n_seq = n_groups = tokens = 0
 
@@ -240,7 +280,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, tiers: tuple[int, ..
         pa.default_memory_pool().release_unused()  # what an earlier stage has left in this worker
         for batch in batches:
             for part in blocks(batch, limit=ENCODE_BYTES):
-                ids, counts = encoder.encode(texts_of(part))
+                ids, counts = coder.encode(texts_of(part))
                 at = 0
                 for doc_id, n in zip(part.column(0).to_pylist(), counts.tolist(), strict=True):
                     held[n_docs] = (doc_id, ids[at : at + n])
