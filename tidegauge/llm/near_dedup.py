@@ -12,18 +12,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, fresh, materialise, small_batches, texts_of
-from .components import components
+from .common import blocks, discard, fresh, materialise, small_batches, texts_of
+from .components import components, roots
 
 SHINGLE = 5
 HASHES = 128
 BATCH = 32
-#: Pairs of whole texts in one Arrow batch: few, as one key's pairs may all be of very long texts.
-PAIR_ROWS = 64
 #: Keys of up to three longs (at most some 80 MB) that are broadcast to texts instead of shuffling those.
 BROADCAST_ROWS = 1 << 20
-#: Rows of a block of outsiders or of candidates for them.
-TILE = 256
+#: Rows and shingles of a block of outsiders, or of candidates for them, on average.
+TILE, TILE_SHINGLES = 256, 1 << 18
+#: Bytes of right texts that are cut into shingles together.
+PAIR_BYTES = 1 << 20
+#: Shingles of left texts that a worker remembers while it confirms pairs.
+KNOWN_SHINGLES = 1 << 20
 
 _MULTIPLY = np.random.default_rng(20240611).integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = np.random.default_rng(20240612).integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -146,24 +148,21 @@ def _confirmed(pairs: DataFrame, percent: int, shingle: int) -> DataFrame:
     """Pairs (a, b, text_a, text_b) whose full shingle sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, np.ndarray] = {}
+        known: dict[str, np.ndarray] = {}
+        held = 0
         for batch in batches:
-            for part in blocks(batch, "text_b"):
-                ids_a, ids_b = part.column(0).to_pylist(), part.column(1).to_pylist()
-                left = pa.array([None if a in known else t for a, t in zip(ids_a, part.column(2).to_pylist(), strict=True)], pa.large_string())
-                fresh = [i for i, a in enumerate(ids_a) if a not in known]
-                if len(known) > 256:
-                    known.clear()
-                    left, fresh = part.column(2).cast(pa.large_string()), list(range(len(ids_a)))
-                one: dict = {}
-                for i in fresh:
-                    one.setdefault(ids_a[i], i)
-                some = pc.fill_null(left.take(pa.array(list(one.values()), pa.int64())), "")
-                known.update(zip(one, shingle_sets(some, shingle), strict=True))
+            for part in blocks(batch, "text_b", PAIR_BYTES):
                 keep = []
-                for i, (a, b) in enumerate(zip(ids_a, shingle_sets(texts_of(part, "text_b"), shingle), strict=True)):
-                    common = len(np.intersect1d(known[a], b, assume_unique=True))
-                    if 100 * common >= percent * (len(known[a]) + len(b) - common):
+                lefts = part.column(2).to_pylist()
+                for i, (text, b) in enumerate(zip(lefts, shingle_sets(texts_of(part, "text_b"), shingle), strict=True)):
+                    if (a := known.get(text)) is None:
+                        if held > KNOWN_SHINGLES:
+                            known.clear()
+                            held = 0
+                        a = known[text] = shingle_sets(pa.array([text or ""], pa.large_string()), shingle)[0]
+                        held += len(a)
+                    common = len(np.intersect1d(a, b, assume_unique=True))
+                    if 100 * common >= percent * (len(a) + len(b) - common):
                         keep.append(i)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int64())), part.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
 
@@ -189,19 +188,18 @@ def _exact(likely: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     ids = bounded(ids, 2 * likely.count())
     texts = materialise(docs.selectExpr("cast(doc_id as long) as doc_id", "text").join(ids, "doc_id", "left_semi"), "candidate-texts")
     text = lambda side: texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
-    small_batches(docs.sparkSession, PAIR_ROWS)
     links = materialise(_confirmed(likely.join(text("b"), "b").join(text("a"), "a"), percent, SHINGLE), "links")
-    small_batches(docs.sparkSession)
+    discard(likely, texts)
     return links
 
 
 def _outsiders(led: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, miss: float) -> DataFrame | None:
-    """Candidate pairs (a, b) that no comparison with a leader has settled, or None.
+    """Links (a, b) that no comparison with a leader has settled, contracted, or None.
 
     Of n shingles of x, u are in no other unsettled text. So x and y share at most
     m = min(n_x - u_x, n_y - u_y), and are no link if m is too few for their sizes. The outsiders that
-    this leaves are the query set: blocks of them meet blocks of all rows of their leader, both of
-    about TILE rows, and a tile gives the pairs alone that sizes, m and signatures leave likely."""
+    this leaves are the query set: blocks of them meet blocks of all rows of their leader, each pair of
+    blocks in a task of its own choosing, and a tile gives a forest of its links alone."""
     label = lambda key, name: found.select(F.col("node").alias(key), F.col("component").alias(name))
     placed = led.join(label("b", "own"), "b", "left").join(label("a", "main"), "a", "left")
     placed = placed.select("a", "b", F.coalesce("own", "b").alias("own"), F.coalesce("main", "a").alias("main"))
@@ -210,73 +208,141 @@ def _outsiders(led: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFram
     if not rows.count():
         return None
     nodes = rows.select(F.col("b").alias("doc_id")).distinct()
-    texts = docs.selectExpr("cast(doc_id as long) as doc_id", "text").join(nodes, "doc_id")
+    texts = docs.selectExpr("cast(doc_id as long) as doc_id", "text").join(bounded(nodes, nodes.count()), "doc_id")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch):
-                sets = pa.array([x.view(np.int64) for x in shingle_sets(texts_of(part))], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), sets], ["node", "s"])
+                sets = pa.array([x.tobytes() for x in shingle_sets(texts_of(part))], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), sets], ["b", "s"])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, s in zip(batch.column(0), batch.column(1), strict=True):
+                each = np.frombuffer(s.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(each), node.as_py())), pa.array(each)], ["node", "s"])
 
-    single = texts.mapInArrow(hashed, "node long, s array<long>").select("node", F.explode("s").alias("s")).groupBy("s").agg(F.min("node").alias("node"), F.max("node").alias("_last"))
+    sets = materialise(texts.mapInArrow(hashed, "b long, s binary"), "sets")
+    single = sets.mapInArrow(split, "node long, s long").groupBy("s").agg(F.min("node").alias("node"), F.max("node").alias("_last"))
     own = single.filter("node = _last").groupBy("node").agg(F.count("*").alias("u"))
     sized = reps.groupBy("node").agg(F.min("n_shingles").alias("n_least"), F.max("n_shingles").alias("n"))
     known = rows.join(sized.withColumnRenamed("node", "b"), "b").join(own.withColumnRenamed("node", "b"), "b", "left")
     # where a doc_id stands on several rows, its sizes and shingles are not one text's: nothing is excluded
     known = known.withColumns({"u": F.when(F.col("n_least") == F.col("n"), F.coalesce("u", F.lit(0))).otherwise(0)}).drop("n_least")
-    known = materialise(known, "unsettled")
     # an outsider whose own shingles leave no size that a partner could have is settled
     share = percent / 100
     most = F.least(F.col("n") / share, (F.col("n") - F.col("u")) / share - F.col("u")) * (1 + 1e-9)
     known = known.withColumn("asks", (F.col("own") != F.col("main")) & (most >= F.greatest(F.lit(1.0), F.col("n") * share * (1 - 1e-9))))
-    counts = known.groupBy("a").agg(F.count("*").alias("_rows"), F.count_if("asks").alias("_asking")).filter("_asking > 0")
-    known = known.join(counts, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.ceil(F.col("_rows") / TILE)))
-    known = known.join(reps.select(F.col("node").alias("b"), "sig"), "b")
-    entry = F.struct(F.col("b").alias("id"), "own", (F.col("own") == F.col("main")).alias("inside"), "n", "u", "sig")
-    whole = known.groupBy("a", "block").agg(F.collect_list(entry).alias("ys"), F.collect_list(F.when(F.col("asks"), entry)).alias("xs"))
-    whole = materialise(whole, "blocks")
-    tiles = whole.select("a", "xs").filter(F.size("xs") > 0).join(whole.select("a", "ys"), "a").select("xs", "ys")
-    small_batches(docs.sparkSession, PAIR_ROWS)
-    pairs = materialise(_tile_pairs(tiles, percent, miss).distinct(), "outsider-pairs")
-    small_batches(docs.sparkSession)
-    settled = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.join(settled, ["a", "b"], "left_anti")
+    known = known_table = materialise(known, "unsettled")
+    weight = lambda rows, n: F.ceil(F.greatest(rows / F.lit(TILE), n / F.lit(TILE_SHINGLES)))
+    counts = known.groupBy("a").agg(F.count("*").alias("_rows"), F.sum("n").alias("_all"), F.count_if("asks").alias("_asking"), F.sum(F.when(F.col("asks"), F.col("n"))).alias("_asked")).filter("_asking > 0")
+    counts = counts.select("a", weight(F.col("_asking"), F.col("_asked")).alias("nx"), weight(F.col("_rows"), F.col("_all")).alias("ny"))
+    own_block = lambda n: F.pmod(F.xxhash64("b"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    known = known.join(counts, "a")
+    asking = known.filter("asks").select("*", own_block("nx").alias("x"), F.lit(True).alias("asker")).select("*", each("ny").alias("y"))
+    asked = known.select("*", own_block("ny").alias("y"), F.lit(False).alias("asker")).select("*", each("nx").alias("x"))
+    both = asking.unionByName(asked).join(sets, "b").join(reps.select(F.col("node").alias("b"), "sig"), "b")
+    tiles = both.select("a", "x", "y", "asker", F.col("b").alias("id"), "own", (F.col("own") == F.col("main")).alias("inside"), "u", "sig", "s")
+    bounds = least_matches(percent, miss)
 
+    def met(tile: pa.Table) -> pa.Table:
+        return _tile_links(tile, percent, bounds)
 
-def _tile_pairs(tiles: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Of tiles (xs asking, ys asked, both of bounded length) the pairs that may be links."""
-    bounds = least_matches(percent, miss)
+    links = materialise(tiles.groupBy("a", "x", "y").applyInArrow(met, "a long, b long"), "links")
+    discard(rows, known_table, sets)
+    return links
 
-    def columns(entries: list[dict]):
-        return (*(np.array([e[c] for e in entries]) for c in ("id", "own", "inside", "n", "u")), np.frombuffer(b"".join(e["sig"] for e in entries), np.uint32).reshape(-1, HASHES))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.zeros((0, 2), np.int64)]
-            for xs, ys in zip(batch.column(0), batch.column(1), strict=True):
-                xi, xo, _, xn, xu, xs_ = columns(xs.as_py())
-                yi, yo, inside, yn, yu, ys_ = columns(ys.as_py())
-                m = np.minimum((xn - xu)[:, None], yn - yu)
-                fits = (xo[:, None] != yo) & (inside | (xi[:, None] < yi)) & (100 * m >= percent * (xn[:, None] + yn - m))
-                fits &= 100 * np.minimum(xn[:, None], yn) >= percent * np.maximum(xn[:, None], yn)
-                i, j = np.nonzero(fits)
-                matches, done = np.zeros(len(i), np.int64), 0
-                for upto, least in bounds:
-                    matches = matches + (xs_[i, done:upto] == ys_[j, done:upto]).sum(1)
-                    keep = matches >= least
-                    i, j, matches, done = i[keep], j[keep], matches[keep], upto
-                found.append(np.column_stack([np.minimum(xi[i], yi[j]), np.maximum(xi[i], yi[j])]))
-            pairs = np.unique(np.vstack(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    return tiles.mapInArrow(run, "a long, b long")
+def _common(xs: list[np.ndarray], ys: list[np.ndarray], columns: int = 1 << 12) -> np.ndarray:
+    """How many elements each of xs shares with each of ys: products of their incidence matrices over
+    the elements that both sides have, some columns at a time."""
+    shared = np.intersect1d(np.unique(np.concatenate(xs)), np.unique(np.concatenate(ys)), assume_unique=True)
+    out = np.zeros((len(xs), len(ys)), np.int64)
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), list(map(len, sets)))
+        at = np.searchsorted(shared, every)
+        there = (at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == every)
+        order = np.argsort(at[there], kind="stable")
+        return owner[there][order], at[there][order]
+
+    if len(shared):
+        sides = [(*places(s), len(s)) for s in (xs, ys)]
+        for low in range(0, len(shared), columns):
+            width = min(columns, len(shared) - low)
+            parts = []
+            for owner, at, n in sides:
+                some = slice(np.searchsorted(at, low), np.searchsorted(at, low + width))
+                part = np.zeros((n, width), np.float32)
+                part[owner[some], at[some] - low] = 1
+                parts.append(part)
+            out += (parts[0] @ parts[1].T).astype(np.int64)
+    return out
+
+
+def _tile_links(tile: pa.Table, percent: int, bounds: list[tuple[int, int]]) -> pa.Table:
+    """The links of a tile's askers with its asked rows, as a forest (a, b): pairs that sizes, own
+    shingles and batches of their signatures leave likely are compared on their full sets."""
+    asker = tile.column("asker").to_numpy()
+    sides = [tile.filter(pa.array(m)) for m in (asker, ~asker)]
+    (xi, xo, _, xu), (yi, yo, inside, yu) = ([t.column(c).to_numpy() for c in ("id", "own", "inside", "u")] for t in sides)
+    xn, yn = (pc.binary_length(t.column("s")).to_numpy().astype(np.int64) // 8 for t in sides)
+    xs, ys = (np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES) for t in sides)
+    m = np.minimum((xn - xu)[:, None], yn - yu)
+    fits = (xo[:, None] != yo) & (inside | (xi[:, None] < yi)) & (100 * m >= percent * (xn[:, None] + yn - m))
+    fits &= 100 * np.minimum(xn[:, None], yn) >= percent * np.maximum(xn[:, None], yn)
+    found = []
+    for first in range(0, len(xi), 32):
+        i, j = np.nonzero(fits[first : first + 32])
+        i, matches, done = i + first, np.zeros(len(i), np.int64), 0
+        for upto, least in bounds:
+            matches = matches + (xs[i, done:upto] == ys[j, done:upto]).sum(1)
+            keep = matches >= least
+            i, j, matches, done = i[keep], j[keep], matches[keep], upto
+        found.append((i, j))
+    i, j = (np.concatenate(c) if found else np.zeros(0, np.int64) for c in zip(*found, strict=True))
+    u = v = np.zeros(0, np.int64)
+    if len(i):
+        some_x, at_x = np.unique(i, return_inverse=True)
+        some_y, at_y = np.unique(j, return_inverse=True)
+        of = lambda t, rows: [np.frombuffer(s, np.int64) for s in t.column("s").take(pa.array(rows)).to_pylist()]
+        sets_x, sets_y = of(sides[0], some_x), of(sides[1], some_y)
+        common = _common(sets_x, sets_y)[at_x, at_y]
+        sizes = np.array(list(map(len, sets_x)))[at_x] + np.array(list(map(len, sets_y)))[at_y]
+        linked = 100 * common >= percent * (sizes - common)
+        nodes, root = roots(xi[i[linked]], yi[j[linked]])
+        u, v = root[nodes != root], nodes[nodes != root]
+    return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["a", "b"])
+
+
+def _checked_classes(some: DataFrame, docs: DataFrame) -> None:
+    """Compares the full sets of the different texts of each class; unequal ones are an error, as two
+    128-bit hashes of different sets would have to be equal for it."""
+    key = ["h1", "h2", "n_shingles"]
+    each = some.groupBy(*key, "text_hash", "text_hash2").agg(F.min("doc_id").alias("doc_id"))
+    whole = F.struct("doc_id", "text_hash", "text_hash2")
+    first = each.groupBy(*key).agg(F.min(whole).alias("x"), F.count("*").alias("_texts")).filter("_texts > 1")
+    pairs = materialise(each.join(first, key).select(whole.alias("y"), "x").filter("x != y"), "equal-sets")
+    if not (n := pairs.count()):
+        return
+    named = pairs.select(F.explode(F.array("x", "y")).alias("k")).select("k.*").distinct()
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *text_hashes()).join(bounded(named, 2 * n), ["doc_id", "text_hash", "text_hash2"], "left_semi")
+    known = materialise(known.groupBy("doc_id", "text_hash", "text_hash2").agg(F.first("text").alias("text")), "equal-texts")
+    side = lambda c: known.select(whole.alias(c), F.col("text").alias(f"text_{c}"))
+    joined = pairs.join(side("y"), "y").join(side("x"), "x").select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("text_x").alias("text_a"), F.col("text_y").alias("text_b"))
+    same = _confirmed(joined, 100, SHINGLE).count()
+    discard(pairs, known)
+    if same != n:
+        raise RuntimeError(f"{n - same} of {n} texts have another set than the class that their hashes tell")
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 85, miss: float = 1e-6) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and two hashes of the text for each row of docs
     (doc_id, text).
 
-    Rows with equal shingle sets are one class, told by two hashes and the size. Classes that share
+    Rows with equal shingle sets are one class, told by two hashes and the size; the different texts of a
+    class are compared on their full sets. Classes that share
     a band of their signatures are candidates. Each bucket is led by its member with the most bucket
     mates over all bands, which the original of many copies is, and all are compared with it. Where
     that leaves several components among those that a leader leads, its outsiders are compared with
@@ -294,6 +360,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, miss: float = 1e-6) -
     some = rows.filter("n_shingles > 0 and doc_id is not null")
     # equal sets have equal signatures
     classes = materialise(some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("node"), F.min("sig").alias("sig")), "classes")
+    _checked_classes(some, docs)
     reps = classes.select("node", "n_shingles", "sig")
     n_bands, n_rows = banding(percent)
     width = 4 * n_rows
@@ -308,9 +375,9 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, miss: float = 1e-6) -
     found = materialise(components(links), "components")
     second = _outsiders(first, found, reps, docs, percent, miss)
     if second is not None:
-        more = _exact(second, docs, percent)
-        if not more.isEmpty():
-            found = materialise(components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more)), "components")
+        if not second.isEmpty():
+            found = materialise(components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(second)), "components")
+    discard(shared, first, links)
     named = classes.join(found, "node", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "node").alias("_component"))
     out = rows.drop("sig").join(named, ["h1", "h2", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("_component"))).otherwise(F.col("doc_id"))
