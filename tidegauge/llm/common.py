@@ -10,11 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch between the JVM and Python. Texts are cut further by bytes in ``blocks``.
+#: Rows and bytes of one Arrow batch between the JVM and Python. Texts are cut further by bytes in ``blocks``.
 ARROW_ROWS = 1024
-ARROW_BYTES = 32 << 20
+ARROW_BYTES = 8 << 20
 #: Text bytes that one vectorised step of a Python worker handles at a time.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 _own_dir: str | None = None
 _written: list[str] = []
@@ -24,10 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Arrow batches of few rows, so that a batch of very long texts still fits in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows and bytes, so that a batch of very long texts still fits in a worker.
+
+    Spark reads these settings when a plan runs, so they hold for the session: the same for every
+    operator here, and only where the session has none of its own."""
+    for key, value in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,16 +60,35 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of ``materialise`` that no result is computed from any more."""
+    for df in tables:
+        if df.written_to in _written:
+            _written.remove(df.written_to)
+            _remove(df.sparkSession, df.written_to)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Removes all that ``materialise`` and ``shared_path`` have made in this session, or what came
+    after the first ``since`` of them. Results that are still to be computed from those tables must
+    be written before."""
+    while len(_written) > since:
+        _remove(spark, _written.pop())
 
 
-def release(spark: SparkSession) -> None:
-    """Removes all that ``materialise`` and ``shared_path`` have made in this session. Results that
-    are still to be computed from those tables must be written before."""
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+def written() -> int:
+    """How many tables and folders there are that ``release`` would remove."""
+    return len(_written)
 
 
 def remainder(column, modulus: int):

@@ -314,7 +314,7 @@ PACKETS = "id long, track int, packet int, timestamp_ns long, byte_offset long,
 
 def packet_table(media: DataFrame, id_column: str = "doc_id", column: str = "media") -> DataFrame:
     """One row per packet of each media value; null media have no packets."""
-    small_batches(media.sparkSession, 64)
+    small_batches(media.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

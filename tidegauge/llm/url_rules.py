@@ -133,7 +133,7 @@ def judge(pages: DataFrame, rules: Rules, fixed=FIXED) -> DataFrame:
     The longest fixed rule that fits decides; else a URL is blocked if a mined rule matches it. Null
     and empty URLs and those without ``://`` have no tokens and are allowed. Repeated rows are judged
     each for itself; an empty table gives no rows. There is no join and no shuffle."""
-    small_batches(pages.sparkSession, 4096)
+    small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

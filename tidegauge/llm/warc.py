@@ -235,7 +235,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     time. Only segments are shuffled, by origin and digest; a group is the segments of one record.
     Segments that are missing or too short raise an error. An archive without records gives no rows.
     """
-    small_batches(spark, 1)  # a row is a whole file
+    small_batches(spark)  # bounds a batch's bytes: most files fill one by themselves
     files = spark.read.format("binaryFile").load(path).select("content")
     whole = files.mapInArrow(_parse(False), READ_SCHEMA)
     segments = files.mapInArrow(_parse(True), _SEGMENT_SCHEMA)
