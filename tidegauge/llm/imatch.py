@@ -13,105 +13,81 @@ from .common import materialise
 #: document adds its distinct terms to the document frequencies once, at most RAREST times the mean
 #: number of distinct terms of a document can be that frequent, whatever the number of documents.
 RAREST, COMMONEST = 2000, 8
-#: A text whose first three quarters have fewer terms of the band brings all its terms into the lexicon.
+#: A text with fewer terms of the band among the first three quarters of its terms is printed over all.
 FEWEST = 8
-#: Code points that are looked at first: a text with FEWEST terms of the band in them has no need of more.
-GLANCE = 600
 #: A lexicon of up to so many terms is broadcast (some 60 MB); beyond, the join shuffles the terms.
 BROADCAST_TERMS = 1_000_000
 LEVELS, PER_LEVEL = 8, 5
-_ALWAYS = "\x00"
+#: Ranges of doc_id that texts are dealt into at most, which bounds what the driver holds of them; more
+#: rows than that make the ranges longer, and their sorts spill.
+MOST_BUCKETS = 1 << 16
+ROWS_PER_BUCKET, SAMPLED_PER_BUCKET = 4096, 32
 
 
 def terms(text: Column) -> Column:
-    """The distinct lower-case terms of a text: runs between white space and ASCII punctuation."""
+    """The distinct lower-case terms of a text by first occurrence: runs between white space and ASCII
+    punctuation, with an empty one where the text begins or ends with such."""
     return F.array_distinct(F.split(F.lower(text), r"[\s\p{Punct}]+"))
 
 
-def _wide(level: int) -> int:
-    return max(0, level - 2)
+def term_hash(term: Column) -> Column:
+    """What stands for a term in lexicon and digests: its 64-bit hash; null for the empty term."""
+    return F.when(term != "", F.xxhash64(term))
 
 
 def lexicon(docs: DataFrame, total: int, rarest: int = RAREST, commonest: int = COMMONEST) -> DataFrame:
-    """(term, mask): the terms in the band of inverse document frequency and all terms of texts that
-    have too few of those (see ``_lacking``), with a bit for each of the LEVELS * PER_LEVEL random
-    sub-lexicons that a term is in, then one for each level. A sub-lexicon
-    of level l has one in 2**(l + 1) of the terms. From level 3 on they are drawn from an eighth of
-    the terms of the wider draw of that level, each of which lies in the one before."""
-    counts = docs.select(F.explode(terms(F.col("text"))).alias("term")).filter("term != ''").groupBy("term").count()
+    """h: the (hashes of) terms of docs (text) in the band of inverse document frequency."""
+    each = docs.select(F.explode(terms(F.col("text"))).alias("term")).select(term_hash(F.col("term")).alias("h")).filter("h is not null")
     idf = -F.log(F.col("count") / F.lit(float(max(total, 1))))
-    band = counts.filter((idf <= math.log(rarest)) & (idf >= math.log(commonest)) | (F.lit(total < 2 * commonest) & (F.col("count") < total)))
-    band = materialise(band.select("term"), "band")
-    band = band.unionByName(_lacking(docs, band))
-    h = F.xxhash64("term", F.lit(0))
-    mask = F.lit(0).cast("long")
-    for level in range(LEVELS):
-        inside = h.bitwiseAND((1 << _wide(level)) - 1) == 0
-        share = (2 << level - _wide(level)) - 1
-        bits = F.lit(1 << LEVELS * PER_LEVEL + level).cast("long")
-        for j in range(level * PER_LEVEL, (level + 1) * PER_LEVEL):
-            bits = bits + F.when(F.xxhash64("term", F.lit(j + 1)).bitwiseAND(share) == 0, F.lit(1 << j).cast("long")).otherwise(0)
-        mask = mask + F.when(inside, bits).otherwise(0)
-    return band.select("term", mask.alias("mask"))
-
-
-def _bounded(keys: DataFrame) -> DataFrame:
-    return F.broadcast(keys) if keys.count() <= BROADCAST_TERMS else keys
-
-
-def _kept(text: Column) -> Column:
-    """What an edited text has of its text: all but the last quarter."""
-    n = F.char_length(text)
-    return F.substring(text, F.lit(1), n - F.floor(n / F.lit(4)).cast("int"))
-
-
-def _lacking(docs: DataFrame, band: DataFrame) -> DataFrame:
-    """The terms outside the band of all texts that keep fewer than FEWEST terms of it when edited.
-
-    They become terms of the lexicon for all texts, so that such a text, its edited text and its
-    neighbours are compared over the same terms. Texts are told by a hash; equal hashes would only
-    bring more terms."""
-    known = _bounded(band.unionByName(docs.sparkSession.range(1).select(F.lit(_ALWAYS).alias("term"))))
-    texts = docs.select("text", F.xxhash64("text").alias("h"))
-
-    def poor(texts: DataFrame, body: Column, name: str) -> DataFrame:
-        each = texts.select("h", F.monotonically_increasing_id().alias("row"), body.alias("body"))
-        each = each.select("h", "row", F.explode(F.array_append(terms(F.col("body")), F.lit(_ALWAYS))).alias("term"))
-        few = each.join(known, "term").groupBy("h", "row").count().filter(F.col("count") <= FEWEST)
-        return texts.join(_bounded(materialise(few.select("h").distinct(), name)), "h", "left_semi")
-
-    some = poor(texts, F.substring(_kept(F.col("text")), 1, GLANCE), "few-at-first")
-    found = poor(some, _kept(F.col("text")), "few").select(F.explode(terms(F.col("text"))).alias("term"))
-    return found.filter("term != ''").distinct().join(band, "term", "left_anti")
-
-
-def _digests(rows: DataFrame, names: list[str]) -> DataFrame:
-    """Replaces sorted arrays of (term, mask) by a digest for each sub-lexicon, over the sorted
-    distinct terms in it; empty where there are none. A level is searched in the level before. A text
-    that has no digest at all has the hash of the whole text (column whole_ and the name; null for
-    an empty text) as those of the first level, so that it is like equal texts alone."""
-
-    def kept(found: Column, bit: Column) -> Column:
-        return F.filter(found, lambda x: x["mask"].bitwiseAND(bit) != 0)
-
-    def digest(found: Column):
-        def of(bit: Column) -> Column:
-            own = F.transform(kept(found, bit), lambda x: x["term"])
-            return F.when(F.size(own) > 0, F.substring(F.lpad(F.hex(F.xxhash64(own)), 16, "0"), 9, 8)).otherwise("")
-
-        return of
-
-    long = lambda i: F.lit(1 << i).cast("long")
-    for level in range(LEVELS):
-        bits = F.array(*map(long, range(level * PER_LEVEL, (level + 1) * PER_LEVEL)))
-        if _wide(level):
-            rows = rows.withColumns({n: kept(F.col(n), long(LEVELS * PER_LEVEL + level)) for n in names})
-        rows = rows.withColumns({f"_{n}{level}": F.transform(bits, digest(F.col(n))) for n in names})
-    none = lambda n: F.array_repeat(F.substring(F.lpad(F.hex(F.col(f"whole_{n}")), 16, "0"), 9, 8), PER_LEVEL)
-    bare = lambda n: F.col(f"whole_{n}").isNotNull() & ~F.exists(F.col(n), lambda d: d != "")
-    rows = rows.withColumns({n: F.concat(*(F.col(f"_{n}{level}") for level in range(LEVELS))) for n in names})
-    rows = rows.withColumns({n: F.when(bare(n), F.concat(none(n), F.slice(F.col(n), PER_LEVEL + 1, (LEVELS - 1) * PER_LEVEL))).otherwise(F.col(n)) for n in names})
-    return rows.drop(*(f"whole_{n}" for n in names), *(f"_{n}{level}" for n in names for level in range(LEVELS)))
+    return each.groupBy("h").count().filter((idf <= math.log(rarest)) & (idf >= math.log(commonest))).select("h")
+
+
+def in_sub_lexicon(h: Column, j: int) -> Column:
+    """Whether a term is drawn for randomised lexicon j; one of level l has one in 2**(l + 1) of the terms."""
+    return F.xxhash64(h, F.lit(j)).bitwiseAND((2 << j // PER_LEVEL) - 1) == 0
+
+
+def _numbers(values: list[int]) -> Column:
+    """An array literal of longs that takes one call to make."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _placed(docs: DataFrame) -> tuple[DataFrame, int]:
+    """docs (doc_id, text) with key, h, bucket and ghost, dealt so that a window by bucket sees each
+    row's successor: the buckets are ranges of (doc_id, hash of the text), and the first rows of each
+    range come into the range before as ghosts (those of the first range into the last). And the
+    number of rows.
+
+    The bounds are quantiles of a sample by hash. The driver holds bounds and first rows of at most
+    MOST_BUCKETS ranges, and SAMPLED_PER_BUCKET pairs of numbers for each while it makes them."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = keyed.withColumns({"key": F.coalesce("doc_id", F.lit(-(1 << 63))), "h": F.xxhash64("text")})
+    total = keyed.count()
+    if not total:
+        return keyed.withColumns({"bucket": F.lit(0), "ghost": F.lit(False)}), 0
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = min(MOST_BUCKETS, 1 << math.ceil(math.log2(max(2, 4 * parts, total / ROWS_PER_BUCKET))))
+    stride = max(1, total // (SAMPLED_PER_BUCKET * n))
+    some = sorted(keyed.filter(F.pmod(F.xxhash64("key", "h", F.lit(7)), F.lit(stride)) == 0).select("key", "h").distinct().collect())
+    bounds = [tuple(some[len(some) * i // n]) for i in range(1, n)] if some else []
+    bounds = sorted({b for b in bounds if b != tuple(some[0])})
+    bucket = F.lit(0)
+    if bounds:  # binary search: how many bounds are not over the row
+        steps = (len(bounds) + 1).bit_length()
+        padded = bounds + [((1 << 63) - 1, (1 << 63) - 1)] * ((1 << steps) - len(bounds))
+        keys, hashes = (_numbers([b[c] for b in padded]) for c in (0, 1))
+        under = lambda at: (F.element_at(keys, at) < F.col("key")) | ((F.element_at(keys, at) == F.col("key")) & (F.element_at(hashes, at) <= F.col("h")))
+        bucket = F.aggregate(F.lit([1 << s for s in range(steps - 1, -1, -1)]), bucket, lambda at, step: F.when(under(at + step), at + step).otherwise(at))
+    keyed = keyed.withColumn("own", bucket)
+    firsts = {r.own: tuple(r.first) for r in keyed.groupBy("own").agg(F.min(F.struct("key", "h")).alias("first")).collect()}
+    order = sorted(firsts)
+    before = {b: order[i - 1] for i, b in enumerate(order)}
+    all_of = range(order[-1] + 1)
+    at = lambda values: F.element_at(_numbers(list(values)), F.col("own") + 1)
+    is_first = (F.col("key") == at(firsts.get(b, (0, 0))[0] for b in all_of)) & (F.col("h") == at(firsts.get(b, (0, 0))[1] for b in all_of))
+    copy = lambda bucket, ghost: F.struct(bucket.cast("int").alias("bucket"), F.lit(ghost).alias("ghost"))
+    copies = F.when(is_first, F.array(copy(F.col("own"), False), copy(at(before.get(b, 0) for b in all_of), True))).otherwise(F.array(copy(F.col("own"), False)))
+    return keyed.select("doc_id", "text", "key", "h", F.explode(copies).alias("c")).select("doc_id", "text", "key", "h", "c.bucket", "c.ghost"), total
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -126,72 +102,54 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.exists(pairs, lambda k: k == 2), F.array_max(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), share))).otherwise(1.0)
 
 
-def _placed(docs: DataFrame, per_bucket: int = 4096) -> tuple[DataFrame, int]:
-    """docs (doc_id, text) with key, bucket and ghost, dealt so that a window by bucket sees each
-    row's successor: the buckets are ranges of doc_id, and the first rows of each range come into the
-    range before as ghosts (those of the first range into the last). And the number of rows.
-
-    The driver gets the range bounds and first ids alone: one number for every few thousand rows."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    total = keyed.count()
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = 1 << max(1, math.ceil(math.log2(max(2, 4 * parts, total / per_bucket))))
-    shares = [i / n for i in range(1, n)]
-    bounds = sorted(set(keyed.agg(F.percentile_approx("key", shares, 100 * n)).first()[0] or [])) if total else []
-    steps = max(1, (len(bounds) + 1).bit_length())
-    padded = F.lit([*bounds, *[(1 << 63) - 1] * ((1 << steps) - len(bounds))]) if bounds else None
-    # binary search: how many bounds are under the key
-    bucket = F.lit(0)
-    if bounds:
-        bucket = F.aggregate(F.lit([1 << s for s in range(steps - 1, -1, -1)]), F.lit(0), lambda at, step: F.when(F.element_at(padded, at + step) < F.col("key"), at + step).otherwise(at))
-    keyed = keyed.withColumn("own", bucket)
-    firsts = {r.own: r.first for r in keyed.groupBy("own").agg(F.min("key").alias("first")).collect()}
-    order = sorted(firsts)
-    before = {b: order[i - 1] for i, b in enumerate(order)}
-    if not order:
-        return keyed.select("doc_id", "text", "key", F.lit(0).alias("bucket"), F.lit(False).alias("ghost")), 0
-    last = order[-1] + 1
-    first_of, before_of = F.lit([firsts.get(b, 0) for b in range(last)]), F.lit([before.get(b, 0) for b in range(last)])
-    copies = F.array(F.struct(F.col("own").alias("bucket"), F.lit(False).alias("ghost")))
-    is_first = F.col("key") == F.element_at(first_of, F.col("own") + 1)
-    copies = F.when(is_first, F.array_append(copies, F.struct(F.element_at(before_of, F.col("own") + 1).alias("bucket"), F.lit(True).alias("ghost")))).otherwise(copies)
-    return keyed.select("doc_id", "text", "key", F.explode(copies).alias("c")).select("doc_id", "text", "key", "c.bucket", "c.ghost"), total
+def _hex(h: Column) -> Column:
+    return F.substring(F.lpad(F.hex(h), 16, "0"), 9, 8)
 
 
 def fingerprints(docs: DataFrame, *, rarest: int = RAREST, commonest: int = COMMONEST) -> DataFrame:
     """For each row of docs (doc_id, text): fingerprints of the text and of its edited text, and how
     like they are to each other and to the next document's.
 
+    A text's terms are those in the band of inverse document frequency, or all of them where fewer
+    than FEWEST of the band are among the first three quarters of its terms. A fingerprint is a digest
+    for each randomised lexicon: the hash of the sorted distinct terms that it has of the text, empty
+    without any. A text without any digest has the hash of the whole text (none if it is empty) as
+    those of the first level. Fingerprints depend on text and lexicon alone.
+
     The edited text has its last quarter (floor of n_chars / 4 code points) replaced by the start of
     the next document's text, by ascending doc_id, after the last the first. Texts are shuffled once,
     by ranges of doc_id; terms are joined to the lexicon and gathered in that partitioning. Null
-    texts count as empty; rows that share a doc_id follow each other by text; a null doc_id comes
-    first; a single row follows itself. An empty table gives no rows."""
+    texts count as empty; rows that share a doc_id follow each other by the hash of their text; a null
+    doc_id comes first; a single row follows itself. An empty table gives no rows."""
     placed, total = _placed(docs)
-    known = lexicon(docs.select("text").fillna("", ["text"]), total, rarest, commonest)
-    known = known.unionByName(docs.sparkSession.range(1).select(F.lit(_ALWAYS).alias("term"), F.lit(0).cast("long").alias("mask")))
-    known = materialise(known, "lexicon")
+    known = materialise(lexicon(docs.select("text").fillna("", ["text"]), total, rarest, commonest), "lexicon").withColumn("band", F.lit(True))
     if known.count() <= BROADCAST_TERMS:
         known = F.broadcast(known)
-    window = Window.partitionBy("bucket").orderBy("ghost", "key", "text")
+    window = Window.partitionBy("bucket").orderBy("ghost", "key", "h", "text")
     rows = placed.withColumns({"place": F.row_number().over(window), "next": F.lead("text").over(window)})
     n = F.char_length("text")
     cut = F.floor(n / F.lit(4)).cast("int")
-    edited = F.concat(_kept(F.col("text")), F.substring(F.coalesce("next", F.lit("")), F.lit(1), cut))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.coalesce("next", F.lit("")), F.lit(1), cut))
     rows = rows.select("bucket", "place", "ghost", "doc_id", n.cast("long").alias("n_chars"), "text", F.when(F.col("ghost"), F.lit("")).otherwise(edited).alias("edited"))
     rows = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    each = rows.select("bucket", "place", "ghost", "doc_id", "n_chars", "edited_sha256", F.posexplode(F.array("text", "edited")).alias("which", "body"))
     once = ("ghost", "doc_id", "n_chars", "edited_sha256", "whole")
-    each = each.withColumn("whole", F.when(F.col("body") != "", F.xxhash64("body")))
-    each = each.select("bucket", "place", "which", *once, F.explode(F.array_append(terms(F.col("body")), F.lit(_ALWAYS))).alias("term"))
+    each = rows.select("bucket", "place", *once[:-1], F.posexplode(F.array("text", "edited")).alias("which", "body"))
+    each = each.select("bucket", "place", "which", *once[:-1], F.when(F.col("body") != "", F.xxhash64("body")).alias("whole"), terms(F.col("body")).alias("terms"))
+    each = each.withColumn("size", F.size("terms")).select("*", F.posexplode("terms").alias("at", "term")).drop("terms")
     # what is a text's own goes with one of its rows alone: all are sorted
-    each = each.select("bucket", "place", "which", "term", *(F.when(F.col("term") == _ALWAYS, F.col(c)).alias(c) for c in once))
-    hit = each.join(known, "term")
-    of = lambda k: F.sort_array(F.collect_list(F.when((F.col("which") == k) & (F.col("term") != _ALWAYS), F.struct("term", "mask"))))
-    whole = lambda k: F.max(F.when(F.col("which") == k, F.col("whole")))
-    grouped = hit.groupBy("bucket", "place").agg(of(0).alias("a"), of(1).alias("b"), whole(0).alias("whole_a"), whole(1).alias("whole_b"), *(F.max(c).alias(c) for c in once[:-1]))
-    printed = _digests(grouped, ["a", "b"])
-    after = printed.withColumn("c", F.lead("a").over(Window.partitionBy("bucket").orderBy("place"))).filter("not ghost")
+    each = each.select("bucket", "place", "which", term_hash(F.col("term")).alias("h"), (F.col("at") < F.col("size") - F.floor(F.col("size") / F.lit(4))).alias("early"), *(F.when(F.col("at") == 0, F.col(c)).alias(c) for c in once), (F.col("at") == 0).alias("head"))
+    each = each.join(known, "h", "left")
+    own = Window.partitionBy("bucket", "place", "which")
+    each = each.withColumn("poor", F.count_if(F.col("early") & F.col("band")).over(own) < FEWEST).filter("head or band or poor")
+    used = F.when(F.col("band") | F.col("poor"), F.col("h"))
+    digests = [F.sort_array(F.collect_set(F.when(in_sub_lexicon(F.col("h"), j), used))) for j in range(LEVELS * PER_LEVEL)]
+    grouped = each.groupBy("bucket", "place", "which").agg(*(d.alias(f"d{j}") for j, d in enumerate(digests)), *(F.max(c).alias(c) for c in once))
+    printed = grouped.select("bucket", "place", "which", *once, *(F.when(F.size(f"d{j}") > 0, _hex(F.xxhash64(f"d{j}"))).otherwise("").alias(f"d{j}") for j in range(LEVELS * PER_LEVEL)))
+    bare = F.col("whole").isNotNull() & (F.concat(*(F.col(f"d{j}") for j in range(LEVELS * PER_LEVEL))) == "")
+    print_of = F.array(*(F.when(bare, _hex(F.col("whole"))).otherwise(F.col(f"d{j}")) if j < PER_LEVEL else F.col(f"d{j}") for j in range(LEVELS * PER_LEVEL)))
+    printed = printed.select("bucket", "place", "which", *once[:-1], print_of.alias("a"))
+    order = Window.partitionBy("bucket").orderBy("place", "which")  # a text, its edited text, the next text
+    after = printed.withColumns({"b": F.lead("a", 1).over(order), "c": F.lead("a", 2).over(order)}).filter("which = 0 and not ghost")
     return after.select(
         "doc_id", "n_chars", "edited_sha256",
         F.array_join("a", ".").alias("fingerprint"), F.array_join("b", ".").alias("edited_fingerprint"),
