@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, small_batches
@@ -15,9 +15,11 @@ ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 MERGE, RELABEL, UNKNOWN, INSERT = 1.0, 2.5, 1.0, 3.0
-#: Turn numbers that one block spans. A longer conversation is dealt out by blocks, and all that is
-#: gathered of it in one place is a matrix of 16 numbers a block.
+#: Messages of one block. A longer conversation is dealt out by blocks, and all that is gathered of it
+#: in one place is a matrix of 16 numbers a block.
 BLOCK = 4096
+#: Ranges of long conversations whose first rows are broadcast (at most some 40 MB); beyond, they are shuffled.
+MOST_SPANS = 1 << 20
 _INFINITE = float("inf")
 
 #: The cheapest way from state to state by adding one turn: (cost, inserted roles).
@@ -145,21 +147,46 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple,
         yield key, rows
 
 
+def _numbered(rows: DataFrame, block: int) -> DataFrame:
+    """rows (conv_id, turn, role, text) with the block of each: its place in its conversation over
+    ``block``. Conversations of up to ``block`` messages are one block.
+
+    Longer ones are dealt out by ranges of the message order, so even one conversation that has most
+    rows is many tasks' work; a place is that in the task's sorted rows plus the conversation's rows in
+    the ranges before. Equal messages are told apart by nothing, so it does not matter which is first."""
+    same = lambda a, b: a["conv_id"].eqNullSafe(b["conv_id"])
+    counts = rows.groupBy("conv_id").count().filter(F.col("count") > block).select("conv_id")
+    counts = materialise(counts, "long-conversations")
+    short = rows.join(counts, same(rows, counts), "left_anti").withColumn("block", F.lit(0).cast("long"))
+    if counts.isEmpty():
+        return short
+    long = rows.join(counts, same(rows, counts), "left_semi")
+    ties = F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20))
+    order = ["conv_id", "turn", "role", "_h", "text", "_tie"]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = long.withColumns({"_h": F.xxhash64("text"), "_tie": ties}).repartitionByRange(parts, *(c for c in order if c != "text")).sortWithinPartitions(*order)
+    dealt = materialise(dealt.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "long-messages")
+    spans = dealt.groupBy("conv_id", "_part").agg(F.min("_at").alias("_from"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("conv_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = materialise(spans.select(F.col("conv_id").alias("_conv"), F.col("_part").alias("_of"), (before - F.col("_from")).alias("_shift")), "long-spans")
+    placed = dealt.join(F.broadcast(spans) if spans.count() <= MOST_SPANS else spans, dealt["conv_id"].eqNullSafe(spans["_conv"]) & (dealt["_part"] == spans["_of"]))
+    return short.unionByName(placed.select("conv_id", "turn", "role", "text", F.floor((F.col("_at") + F.col("_shift")) / F.lit(block)).cast("long").alias("block")))
+
+
 def format_chats(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     """The repaired turns of each conversation (conv_id, turn, role, text), a row each.
 
     ``block`` and ``position`` order a conversation's turns, and its ``rendered`` pieces in that
-    order are its text in the chat template. Messages are ordered by turn, ties by role and text;
-    null turns come first. A role that is null or none of ROLES is relabelled at a lower cost. Null
-    text counts as empty. Rows with a null conv_id are one conversation. Repeated rows are messages
-    like others. An empty table gives no rows.
+    order are its text in the chat template. Messages are ordered by turn, ties by role, then by the
+    hash of the text; null turns come first. A role that is null or none of ROLES is relabelled at a
+    lower cost. Null text counts as empty. Rows with a null conv_id are one conversation. Repeated rows
+    are messages like others. An empty table gives no rows.
 
-    Rows are dealt by conversation and block of turn numbers. Only of conversations with several
-    blocks the blocks' (min, +) matrices are gathered, to fix the state at each block's ends."""
+    Rows are dealt by conversation and block of messages. Only of conversations with several blocks
+    the blocks' (min, +) matrices are gathered, to fix the state at each block's ends."""
     small_batches(conversations.sparkSession)
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.floor(F.coalesce("turn", F.lit(0)) / F.lit(block)).cast("long").alias("block"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    ends = rows.groupBy("conv_id").agg(F.min("block").alias("_first"), F.max("block").alias("_last")).filter("_first < _last")
-    ends = materialise(ends, "long-conversations")
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    rows = _numbered(rows, block).select("conv_id", "block", "turn", "role", "text")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = [(*key, matrix([r[1] for r in run])) for key, run in _runs(batches, 2)]
@@ -173,9 +200,9 @@ def format_chats(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
             columns = [[conv] * len(run), [r[0] for r in run], [e for e, _ in found], [x for _, x in found], [not i for i in range(len(run))], [i == last for i in range(len(run))]]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()), strict=True)], ["conv_id", "block", "entry", "leave", "first", "last"])
 
-    same = lambda a, b: a["conv_id"].eqNullSafe(b["conv_id"])
-    order = ["conv_id", "block", "turn", "role", "text"]
-    long = rows.join(ends, same(rows, ends), "left_semi").repartition("conv_id", "block").sortWithinPartitions(*order)
+    order = ["conv_id", "block", "turn", "role", F.xxhash64("text"), "text"]
+    ends = materialise(rows.groupBy("conv_id").agg(F.max("block").alias("_last")).filter("_last > 0").select("conv_id"), "long-conversations")
+    long = rows.join(ends, rows["conv_id"].eqNullSafe(ends["conv_id"]), "left_semi").repartition("conv_id", "block").sortWithinPartitions(*order)
     fixed = long.select("conv_id", "block", "turn", "role").mapInArrow(matrices, "conv_id long, block long, costs array<double>")
     fixed = fixed.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(states, "conv_id long, block long, entry int, leave int, first boolean, last boolean")
     fixed = materialise(fixed, "block-states")
