@@ -22,7 +22,6 @@ BLOCKS_PER_CLUSTER = 16
 UNIT = 64
 
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
-_MASTERS = {EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES, 0xAE, 0xE1, 0xE0, 0xBB, 0xB7, 0xA0}
 _NO_LACING, _XIPH, _FIXED, _EBML_LACING = range(4)
 LACING = ("none", "xiph", "fixed", "ebml")
 
@@ -76,11 +75,12 @@ def mux(payload: bytes, frame: int = FRAME) -> bytes:
     """A Matroska file with the payload as one track of unsigned 8-bit PCM at 8 kHz.
 
     Frames of equal size share a block under fixed-size lacing, others under EBML or Xiph lacing;
-    each cluster has a cue point."""
+    each cluster has a cue point. A block's time is 16 bits relative to its cluster's, so long frames
+    make clusters of fewer blocks."""
     frames = [payload[i : i + frame] for i in range(0, len(payload), frame)]
     info = element(INFO, _uint(0x2AD7B1, 1_000_000) + _float(0x4489, len(payload) * 1000 / RATE) + element(0x4D80, b"tidegauge") + element(0x5741, b"tidegauge"))
     parts, at, cues = [info, _TRACKS], len(info) + len(_TRACKS), []
-    step = FRAMES_PER_BLOCK * BLOCKS_PER_CLUSTER
+    step = FRAMES_PER_BLOCK * max(1, min(BLOCKS_PER_CLUSTER, 0x7FFF * RATE // (1000 * FRAMES_PER_BLOCK * frame)))
     for c in range(0, len(frames), step):
         time = c * frame * 1000 // RATE
         body = [_uint(0xE7, time)]
@@ -118,9 +118,8 @@ class Media(NamedTuple):
 
 def read_vint(data: bytes, at: int) -> tuple[int | None, int]:
     """A size and the place after it; None for the unknown size."""
-    first = data[at]
-    n = 9 - first.bit_length()
-    if n > 8:
+    n = 9 - data[at].bit_length() if at < len(data) else 9
+    if n > 8 or at + n > len(data):
         raise ValueError(f"no variable-length number at byte {at}")
     value = int.from_bytes(data[at : at + n], "big") & (1 << 7 * n) - 1
     return (None if value == (1 << 7 * n) - 1 else value), at + n
@@ -131,6 +130,8 @@ def _elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
     before the next element that can't be in it."""
     while at < end:
         n = 9 - data[at].bit_length()
+        if n > 4:
+            raise ValueError(f"no element id at byte {at}")
         number = int.from_bytes(data[at : at + n], "big")
         size, begin = read_vint(data, at + n)
         if size is None:
@@ -164,7 +165,10 @@ def _real(data: bytes, a: int, b: int) -> float:
 
 
 def _block(data: bytes, a: int, b: int, cluster_time: int, scale: int, cluster: int, key: bool | None, durations: dict[int, int]) -> list[Packet]:
+    begin = a
     track, a = read_vint(data, a)
+    if a + 3 > b or data[a + 2] & 6 and a + 4 > b:
+        raise ValueError(f"the block at byte {begin} ends in its header")
     relative, flags = struct.unpack(">hB", data[a : a + 3])
     a += 3
     kind = flags >> 1 & 3
@@ -179,9 +183,11 @@ def _block(data: bytes, a: int, b: int, cluster_time: int, scale: int, cluster:
         else:
             sizes = []
             for i in range(count - 1):
+                if a >= b:
+                    raise ValueError(f"the block at byte {begin} ends in its lacing")
                 if kind == _XIPH:
                     n = 0
-                    while data[a] == 255:
+                    while a < b - 1 and data[a] == 255:
                         n, a = n + 255, a + 1
                     n, a = n + data[a], a + 1
                 elif not i:
@@ -313,7 +319,8 @@ PACKETS = "id long, track int, packet int, timestamp_ns long, byte_offset long,
 
 
 def packet_table(media: DataFrame, id_column: str = "doc_id", column: str = "media") -> DataFrame:
-    """One row per packet of each media value; null media have no packets."""
+    """One row per packet of each media value; null media have no packets, and the packets of a track
+    that the file does not describe have no codec. A file cut short or malformed is an error."""
     small_batches(media.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +329,7 @@ def packet_table(media: DataFrame, id_column: str = "doc_id", column: str = "med
                 if data is None:
                     continue
                 found = parse(data)
-                rows = [(key, p.track, i, p.timestamp_ns, p.offset, p.length, p.keyframe, p.cluster, p.lacing, found.tracks[p.track]["codec"]) for i, p in enumerate(found.packets)]
+                rows = [(key, p.track, i, p.timestamp_ns, p.offset, p.length, p.keyframe, p.cluster, p.lacing, found.tracks.get(p.track, {}).get("codec")) for i, p in enumerate(found.packets)]
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.string(), pa.string()]
                 if rows:
                     yield from pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split()[0] for f in PACKETS.split(", ")]).to_batches(8192)
