@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -65,9 +66,29 @@ def test_block_groups_and_unknown_sizes():
 
 def test_broken_files():
     whole = mk.mux(b"q" * 3000)
-    for bad in (b"", b"\x00" * 20, whole[:-10], whole[4:]):
-        with pytest.raises((ValueError, IndexError)):
+    for bad in (b"", b"\x00" * 20, whole[:-10], whole[4:], *(whole[:n] for n in range(0, len(whole), 97))):
+        with pytest.raises(ValueError):
             mk.parse(bad)
+    cluster = lambda data: mk._HEADER + mk.element(mk.SEGMENT, mk._TRACKS + mk.element(mk.CLUSTER, mk._uint(0xE7, 0) + mk.element(0xA3, data)))
+    for cut in (b"\x81", b"\x81\x00\x00", b"\x81\x00\x00\x82", b"\x81\x00\x00\x82\x03", b"\x81\x00\x00\x82\x01\xff\xff", b"\x81\x00\x00\x86\x02\x40"):
+        with pytest.raises(ValueError):
+            mk.parse(cluster(cut))
+
+
+@pytest.mark.parametrize("frame", [2_300, 30_000, 200_000])
+def test_long_frames(frame):
+    """A block's time is 16 bits: clusters end before it runs over."""
+    payload = bytes(range(256)) * 4000
+    data = mk.mux(payload, frame)
+    media = mk.parse(data)
+    assert mk.payload_of(data, media) == payload
+    assert all(abs(p.timestamp_ns - k * frame * 1_000_000_000 // mk.RATE) <= 1_000_000 for k, p in enumerate(media.packets))
+
+
+def test_packets_of_a_track_that_is_not_described(spark):
+    data = mk._HEADER + mk.element(mk.SEGMENT, mk.element(mk.CLUSTER, mk._uint(0xE7, 5) + mk.element(0xA3, b"\x85\x00\x01\x80abc")))
+    row = mk.packet_table(spark.createDataFrame([(1, bytearray(data))], "doc_id long, media binary")).collect()
+    assert [(r.track, r.byte_length, r.timestamp_ns, r.codec) for r in row] == [(5, 3, 6_000_000, None)]
 
 
 def test_media_of_documents(spark):
@@ -145,11 +166,35 @@ def test_mined_rules(spark):
         assert (rules.score(u) > 0.9) == b
 
 
+def test_no_rule_is_missed(spark):
+    """All sets of tokens that any blocked URL has, counted one by one."""
+    rng = random.Random(4)
+    rows = labelled(200) + [(1000 + i, "http://very.long.host.io/" + "/".join(["casino", "same", "path", "for", "all", "copies", "of", "one", "page"]), True) for i in range(25)]
+    rows += [(2000 + i, f"https://c.io/{rng.choice(['news', 'casino'])}/{i}", rng.random() < 0.3) for i in range(100)]
+    where: dict = {}
+    for i, (_, u, _) in enumerate(rows):
+        for x in ur.url_tokens(u):
+            where.setdefault(x, []).append(i)
+    first: dict = {}
+    for x in sorted(where):
+        first.setdefault(tuple(where[x]), x)
+    urls = [(frozenset(x for x in ur.url_tokens(u) if first[tuple(where[x])] == x), b) for _, u, b in rows]
+    sets = {frozenset(c) for t, b in urls if b for n in range(1, len(t) + 1) for c in itertools.combinations(sorted(t), n)}
+    sure = {}
+    for s in sets:
+        bad, clean = (sum(s <= t for t, b in urls if b == k) for k in (True, False))
+        if bad >= 20:
+            sure[s] = bad / (bad + clean)
+    want = {s for s, c in sure.items() if c >= 0.6 and not any(sure[o] >= c for o in sure if o < s)}
+    rules = ur.mine(spark.createDataFrame(rows, "page_id long, url string, blocked boolean"))
+    assert set(rules.sets) == want and len(rules.sets) == len(want)
+
+
 def test_odd_labels(spark):
     schema = "page_id long, url string, blocked boolean"
     assert ur.mine(spark.createDataFrame([], schema)).sets == []
     assert ur.mine(spark.createDataFrame([(1, "http://a/b", False), (2, None, None)], schema)).sets == []
-    rules = ur.mine(spark.createDataFrame([(None, None, True), (1, "", True), (1, "http://a.b/cc", True), (1, "http://a.b/cc", True), (2, "http://d.e/ff", False)], schema), confidence=0.9)
+    rules = ur.mine(spark.createDataFrame([(None, None, True), (1, "", True), (1, "http://a.b/cc", True), (1, "http://a.b/cc", True), (2, "http://d.e/ff", False)], schema), confidence=0.9, least_pages=2)
     assert rules.score("http://a.b/cc") > 0 and rules.score("http://d.e/gg") == 0
     assert ur.judge(spark.createDataFrame([], "page_id long, url string, score string"), rules).count() == 0
     long = "http://x.com/" + "y/" * 50_000

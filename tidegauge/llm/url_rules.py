@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Labelled URLs that rules are mined from at most (those whose ids hash lowest), and rules kept at
-#: most (those of highest confidence, then support): both bound what a model holds.
+#: Labelled URLs that rules are mined from at most: those whose ids hash lowest. A rule has its tokens in
+#: LEAST_PAGES blocked ones at least, so what few pages share by chance is no rule, and the frequent sets
+#: are no more than the subsets of the sampled URLs' tokens over that.
 SAMPLE_ROWS = 50_000
-MOST_RULES = 10_000
+LEAST_PAGES = 20
 _BLOCK = "=block"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -77,24 +78,37 @@ class Rules:
         return best
 
 
-def mine(labelled: DataFrame, *, support: float = 0.0008, confidence: float = 0.6, most: int = MOST_RULES, rows: int = SAMPLE_ROWS) -> Rules:
+def mine(labelled: DataFrame, *, support: float = 0.0008, confidence: float = 0.6, least_pages: int = LEAST_PAGES, rows: int = SAMPLE_ROWS) -> Rules:
     """Rules "these tokens: blocked" from labelled URLs (page_id, url, blocked boolean).
 
     Spark's FP-growth mines the frequent token sets of the blocked URLs; their confidence is counted
-    against all sampled URLs. A rule stays if its support and confidence reach the bounds and no rule
-    with fewer of its tokens is as sure. Null labels are left out; without blocked URLs there are no rules."""
+    against all sampled URLs. A rule stays if its support (as a share of the sample, and in pages) and
+    confidence reach the bounds and no rule with fewer of its tokens is as sure. Null labels are left
+    out; without enough blocked URLs there are no rules."""
     from pyspark.ml.fpm import FPGrowth
 
     spark = labelled.sparkSession
     sample = labelled.filter("blocked is not null").select("page_id", "url", "blocked").orderBy(F.xxhash64("page_id"), "page_id", "url").limit(rows).collect()
     tokens = [(url_tokens(r.url), bool(r.blocked)) for r in sample]
+    # tokens that occur in the same sampled URLs tell the same and are one item, named by the first of
+    # them; else a few copies of one long URL would have all subsets of its tokens as frequent sets
+    places: dict[str, list[int]] = {}
+    for i, (t, _) in enumerate(tokens):
+        for x in t:
+            places.setdefault(x, []).append(i)
+    first: dict[tuple, str] = {}
+    for x in sorted(places):
+        first.setdefault(tuple(places[x]), x)
+    tokens = [({x for x in t if first[tuple(places[x])] == x}, b) for t, b in tokens]
     blocked = [sorted(t) for t, b in tokens if b and t]
     if not blocked:
         return Rules([], [], {})
     items = spark.createDataFrame([(t,) for t in blocked], "items array<string>")
-    least = max(2.0, support * len(tokens)) / len(blocked)
-    frequent = FPGrowth(itemsCol="items", minSupport=min(1.0, least), minConfidence=1.0).fit(items).freqItemsets.filter(F.size("items") <= 4)
-    sets = [(frozenset(r["items"]), r["freq"]) for r in frequent.orderBy(F.desc("freq"), F.size("items"), "items").limit(20 * most).collect()]
+    least = max(least_pages, support * len(tokens)) / len(blocked)
+    if least > 1:
+        return Rules([], [], {})
+    frequent = FPGrowth(itemsCol="items", minSupport=least, minConfidence=1.0).fit(items).freqItemsets
+    sets = [(frozenset(r["items"]), r["freq"]) for r in frequent.collect()]
     counts: dict[str, int] = {}
     for t, _ in tokens:
         for x in t:
@@ -120,7 +134,7 @@ def mine(labelled: DataFrame, *, support: float = 0.0008, confidence: float = 0.
         smaller = max((known.get(s - {x}, 0.0) for x in s), default=0.0) if len(s) > 1 else 0.0
         if known.get(s, 0.0) >= confidence and known[s] > smaller:
             rules.append((known[s], n, s))
-    rules = sorted(rules, key=lambda r: (-r[0], -r[1], sorted(r[2])))[:most]
+    rules = sorted(rules, key=lambda r: (-r[0], -r[1], sorted(r[2])))
     index: dict[str, list[int]] = {}
     for i, (_, _, s) in enumerate(rules):
         index.setdefault(min(s, key=lambda x: (counts[x], x)), []).append(i)
