@@ -122,6 +122,116 @@ def test_quotation_weighs_less_than_abuse():
     assert abuse > missed > clean
 
 
+PAIRED = ["“{}”", "„{}“", "„{}”", "«{}»", "»{}«", "‘{}’", "‚{}‘", "‹{}›", "›{}‹", '"{}"', "'{}'", "« {} »"]
+
+
+@pytest.mark.parametrize("marks", PAIRED)
+def test_quotation_marks_come_in_pairs(marks):
+    """English, German and French quotation of one word and of several; what is not closed, or is an
+    apostrophe, or stands outside is none."""
+    term = "vermin"
+    model = toxicity.Model([term], {(0, 0): 2.0}, np.zeros(6))
+
+    def factor(text: str) -> list[float]:
+        ((_, found, _),) = model.hits(pa.array([text], pa.large_string()))
+        return [f for _, _, f, _ in found]
+
+    for body in (f"{term}", f"such {term} here", f"such {term}.", f"it's {term}", f"l’un {term}, d’autre"):
+        assert factor(f"one two {marks.format(body)} three {term} four") == [toxicity.QUOTED, 1.0], body
+        assert factor(f"{term} one two ({marks.format(body)}), three") == [1.0, toxicity.QUOTED], body
+    assert factor(f"one {marks[0]} two {term} three") == [1.0]
+    assert factor(f"don’t {term} can’t") == factor(f"don't {term} can't") == [1.0]
+    assert factor(f"{marks.format('one')} {term} {marks.format('two')}") == [1.0]
+    assert factor(f"{marks.format('one')} {marks.format(term)} {term}") == [toxicity.QUOTED, 1.0]
+
+
+def spans_by_search(text: str, marks: str) -> list[bool]:
+    """Of each word, whether an opening mark before it is closed after it, for one kind of marks."""
+    opening, closing = marks.split("{}")
+    words, out = text.split(" "), []
+    for i in range(len(words)):
+        left = [k for k in range(i + 1) if words[k].startswith(opening)]
+        right = [k for k in range(i, len(words)) if words[k].endswith(closing)]
+        inner = left and right and not any(words[k].endswith(closing) for k in range(left[-1], i))
+        out.append(bool(inner))
+    return out
+
+
+@pytest.mark.parametrize("marks", ["“{}”", "„{}“", "«{}»", "»{}«"])
+def test_quoted_words_are_those_of_a_search(marks):
+    rng = random.Random(7)
+    opening, closing = marks.split("{}")
+    for _ in range(60):
+        words, inside = [], False
+        for _ in range(30):
+            w = "word"
+            if not inside and rng.random() < 0.2:
+                w, inside = opening + w, True
+            if inside and rng.random() < 0.3:
+                w, inside = w + closing, False
+            words.append(w)
+        if inside:
+            words[-1] += closing
+        tokens = [(i, *m) for i, w in enumerate(words) for m in toxicity.marks_of(w)]
+        spans = toxicity.quoted(tokens)
+        assert [any(a < i < b for a, b in spans) for i in range(len(words))] == spans_by_search(" ".join(words), marks)
+
+
+def test_every_telling_term_is_looked_at(spark):
+    """More candidate terms than any bound on their number would hold, the telling ones the rarest."""
+    rng = random.Random(12)
+    docs, labels = [], []
+    for i in range(240):
+        toxic = i % 3 == 0
+        words = [f"{rng.choice('bcdfghjklm')}{rng.choice('aeiou')}{rng.choice('nprstvwxz')}{rng.choice('aeiou')}{rng.choice('bcdfgklm')}" for _ in range(400)]
+        if toxic:
+            words[rng.randrange(400)] = f"loathsome{'abcdefgh'[i // 3 % 8] * 3}"
+        docs.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    model = toxicity.fit(table(spark, docs), spark.createDataFrame(labels, LABELS), F.lit(True))
+    score = {r.doc_id: r.score for r in toxicity.score_toxicity(table(spark, docs), model).collect()}
+    assert np.mean([(score[i] > 0.5) == bool(t) for i, _, t in labels]) > 0.95
+
+
+def best_split(x, g, h, rows, edges, least, l2):
+    """The split of greatest gain by trying every edge of every feature."""
+    best = (1e-9, None, None)
+    for j in range(x.shape[1]):
+        for e in edges[j]:
+            left = [r for r in rows if x[r, j] <= e]
+            right = [r for r in rows if x[r, j] > e]
+            if len(left) < least or len(right) < least:
+                continue
+            part = lambda rs: g[rs].sum() ** 2 / (h[rs].sum() + l2)
+            gain = part(left) + part(right) - part(rows)
+            if gain > best[0] + 1e-12:
+                best = (gain, j, e)
+    return best
+
+
+def test_boosting_is_plain_boosting():
+    """The trees against a boosting that looks at each split by itself."""
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(80, 3)), 1)
+    y = (x[:, 0] + x[:, 1] ** 2 + rng.normal(size=80) * 0.2 > 0.6).astype(float)
+    trees, depth, rate, bins, l2, least = 6, 2, 0.3, 8, 1.0, 2
+    model = quality.fit_trees(x, y, trees=trees, depth=depth, rate=rate, bins=bins, l2=l2, least=least)
+    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(3)]
+    raw = np.full(80, np.log((y.sum() + 1) / (80 - y.sum() + 1)))
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-raw))
+        g, h = p - y, p * (1 - p)
+        todo = [(list(range(80)), 0)]
+        while todo:
+            rows, d = todo.pop()
+            _, j, e = best_split(x, g, h, rows, edges, least, l2) if d < depth and len(rows) >= 2 * least else (0, None, None)
+            if j is None:
+                raw[rows] -= rate * g[rows].sum() / (h[rows].sum() + l2)
+            else:
+                todo += [([r for r in rows if x[r, j] <= e], d + 1), ([r for r in rows if x[r, j] > e], d + 1)]
+    assert np.allclose(model.score(x), 1 / (1 + np.exp(-raw)))
+
+
 def labelled(n: int = 400):
     rng = random.Random(9)
     common = [f"{a}{b}" for a in ("ta", "re", "mo", "li", "su", "ne", "ko", "pa") for b in ("ran", "lin", "mer", "tok", "vas", "dil")]

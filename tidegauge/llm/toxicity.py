@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 from .common import blocks, materialise, small_batches, texts_of
 from .quality import SAMPLE_ROWS, sampled_labels
 
-#: Candidate terms that the lexicon is chosen from at most, by document frequency in toxic rows.
-CANDIDATES = 20_000
+#: A term of the lexicon occurs in so many toxic rows at least, and is so much commoner there: its rate
+#: in toxic rows over the sum of its rates in both classes.
+SUPPORT, PRECISION = 4, 0.85
 #: A toxic document counts as explained once this many chosen terms occur in it.
 COVER = 3
 WINDOW = 12
@@ -26,7 +27,9 @@ QUOTED, REPORTED, ADDRESSED = 0.4, 0.7, 1.25
 
 _WORDS = re.compile(r"[^\W_]+")
 _PREFIXES = range(3, 9)
-_OPEN, _CLOSE, _STRAIGHT = "“«‘„‹", "”»’›", "\"'"
+#: What closes each opening mark: English, German (both ways) and French quotation.
+_CLOSED_BY = {"“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "‚": "‘’", "‹": "›", "›": "‹", '"': '"', "'": "'"}
+_MARKS = frozenset("".join(_CLOSED_BY) + "".join(_CLOSED_BY.values()))
 _REPORTING = frozenset("said says wrote writes quote quoted quotes called calls according claimed reported word term sagte sagt schrieb zitat nannte laut dit dixit écrit selon citation appelé dijo dice escribió según cita llamó".split())
 _ADDRESS = frozenset("you your you're u ur yourself du dich dir dein deine sie ihr tu te toi ton ta vous votre tú ti usted ustedes eres vos".split())
 
@@ -159,6 +162,34 @@ class Automaton:
         return int(self.table[state, code])
 
 
+def marks_of(token: str) -> list[tuple[str, bool, bool]]:
+    """The quotation marks of a token as (mark, letter before it, letter after it)."""
+    if _MARKS.isdisjoint(token):
+        return []
+    sides = [False, *map(str.isalnum, token), False]
+    return [(c, sides[i], sides[i + 2]) for i, c in enumerate(token) if c in _MARKS]
+
+
+def quoted(marks: list[tuple[int, str, bool, bool]]) -> list[tuple[float, float]]:
+    """Spans between paired quotation marks, for marks (token, mark, letter before, letter after) in order.
+
+    A span runs from before the token that it opens to after the one that it closes. A mark between
+    two letters is an apostrophe. A mark that can close an open pair does so unless it stands right
+    before a word, and pairs left open within that one are none; else a mark that can open and has
+    no letter before it opens a pair. What is never closed is no quotation."""
+    spans, pending = [], []
+    for at, mark, before, after in marks:
+        if before and after and mark in "'’‘":
+            continue
+        inner = next((i for i in range(len(pending) - 1, -1, -1) if mark in _CLOSED_BY[pending[i][0]]), None)
+        if inner is not None and (before or not after or mark == '"'):
+            spans.append((pending[inner][1], at + 0.5))
+            del pending[inner:]
+        elif mark in _CLOSED_BY and not before:
+            pending.append((mark, at - 0.5 if after else at + 0.5))
+    return spans
+
+
 @dataclass
 class Model:
     """terms, the weight of each (term, edits), and the logistic function over a text's evidence."""
@@ -202,20 +233,26 @@ class Model:
             yield from ((i, [], int(words[i])) for i in range(n))
             return
         owner = np.searchsorted(bounds, hit_at, "right") - 1
-        flags = {name: np.array([test(t, p) for t, p in zip(tokens, parts, strict=True)], np.int64) for name, test in (
-            ("straight", lambda t, _: t.count('"')), ("open", lambda t, _: sum(c in _OPEN for c in t)), ("close", lambda t, _: sum(c in _CLOSE[:2] for c in t)),
-            ("report", lambda _, p: any(x in _REPORTING for x in p)), ("address", lambda _, p: any(x in _ADDRESS for x in p)))}
+        flags = {name: np.array([any(x in words for x in p) for p in parts], np.int64) for name, words in (("report", _REPORTING), ("address", _ADDRESS))}
+        marks = [marks_of(t) for t in tokens]
+        marked = np.flatnonzero(np.array([bool(m) for m in marks])[code])
+        spans: dict[int, list[tuple[float, float]]] = {}
+        for d in np.unique(owner).tolist():
+            own = marked[np.searchsorted(marked, bounds[d]) : np.searchsorted(marked, bounds[d + 1])]
+            spans[d] = quoted([(at, *m) for at in own.tolist() for m in marks[code[at]]]) if len(own) else []
         sums = {k: np.append(0, np.cumsum(v[code])) for k, v in flags.items()}
         begin, end = bounds[owner], bounds[owner + 1]
         low, high = np.maximum(begin, hit_at - WINDOW), np.minimum(end, hit_at + WINDOW + 1)
+        is_quoted = np.zeros(len(hit_at), bool)
+        for d, own in spans.items():
+            first, last = np.searchsorted(hit_at, bounds[d]), np.searchsorted(hit_at, bounds[d + 1])
+            for x, y in own:
+                is_quoted[first + np.searchsorted(hit_at[first:last], x) : first + np.searchsorted(hit_at[first:last], y)] = True
         seen: dict[int, list] = {}
         for k, at in enumerate(hit_at.tolist()):
-            u, s, e, a, b = int(code[at]), begin[k], end[k], low[k], high[k]
-            token = tokens[u]
-            odd = (sums["straight"][at] - sums["straight"][s] + (token[:1] == '"')) % 2 == 1 and sums["straight"][e] - sums["straight"][at] > 0
-            inside = sums["open"][at + 1] - sums["open"][s] > sums["close"][at] - sums["close"][s] and sums["close"][e] > sums["close"][at]
-            wrapped = len(token) > 2 and token[0] in _STRAIGHT and token.rstrip(".,;:!?")[-1] in _STRAIGHT
-            factor = (QUOTED if odd or inside or wrapped else 1.0) * (REPORTED if sums["report"][b] > sums["report"][a] else 1.0) * (ADDRESSED if sums["address"][b] > sums["address"][a] else 1.0)
+            u, a, b = int(code[at]), low[k], high[k]
+            inside = is_quoted[k]
+            factor = (QUOTED if inside else 1.0) * (REPORTED if sums["report"][b] > sums["report"][a] else 1.0) * (ADDRESSED if sums["address"][b] > sums["address"][a] else 1.0)
             near = (np.searchsorted(hit_at, b) - np.searchsorted(hit_at, a)) / float(b - a)
             seen.setdefault(int(owner[k]), []).extend((t, d, factor, float(near)) for t, d in best[u])
         yield from ((i, seen.get(i, []), int(words[i])) for i in range(n))
@@ -244,19 +281,14 @@ def _terms_of(texts: pa.Array) -> Iterator[set[str]]:
         yield {w for w in words if len(w) >= 3} | {w[:k] + "*" for w in words for k in _PREFIXES if len(w) > k}
 
 
-def _choose(sets: list[np.ndarray], labels: np.ndarray, terms: list[str], *, precision: float = 0.85, support: int = 4, cover: int = COVER) -> list[str]:
-    """Terms that tell toxic documents, by greedy covering that favours whole words over starts and
-    long terms over short. A document that ``cover`` chosen terms explain speaks for no more, so that what copies of
-    one document share by chance is not taken for vocabulary."""
-    m = len(terms)
-    counts = [np.bincount(np.concatenate([s for s, y in zip(sets, labels, strict=True) if y == k] or [np.zeros(0, np.int64)]), minlength=m) for k in (0, 1)]
-    sizes = [max(1, int((labels == k).sum())) for k in (0, 1)]
-    rate = [c / s for c, s in zip(counts, sizes, strict=True)]
-    fits = (counts[1] >= support) & (rate[1] >= precision * (rate[0] + rate[1]))
-    docs = [s[fits[s]] for s, y in zip(sets, labels, strict=True) if y == 1]
+def _choose(docs: list[list[int]], terms: list[str], *, support: int = SUPPORT, cover: int = COVER) -> list[str]:
+    """Of the telling terms that each toxic document has, a lexicon: by greedy covering that favours
+    whole words over starts and long terms over short. A document that ``cover`` chosen terms explain
+    speaks for no more, so that what copies of one document share by chance is not taken for
+    vocabulary."""
     of: dict[int, list[int]] = {}
     for d, s in enumerate(docs):
-        for t in s.tolist():
+        for t in s:
             of.setdefault(t, []).append(d)
     need, chosen = np.full(len(docs), cover), []
     gain = {t: len(ds) for t, ds in of.items()}
@@ -290,27 +322,34 @@ def fit(docs: DataFrame, labels: DataFrame, learn: "F.Column", label: str = "tox
     known = F.broadcast(sampled_labels(labels, label, learn, rows))
     sample = materialise(docs.selectExpr("cast(doc_id as long) as doc_id", "text").join(known, "doc_id"), "toxicity-sample")
 
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts: dict[str, int] = {}
-            for terms in _terms_of(texts_of(batch)):
-                for t in terms:
-                    counts[t] = counts.get(t, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
-
-    toxic = sample.filter("label > 0").select("text")
-    rows_of = toxic.mapInArrow(frequent, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).filter("n >= 3")
-    terms = [r.term for r in rows_of.orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()]
+    def counted(known: frozenset | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                counts: dict[str, int] = {}
+                for part in blocks(batch):
+                    for terms in _terms_of(texts_of(part)):
+                        for t in terms if known is None else terms & known:
+                            counts[t] = counts.get(t, 0) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+
+        return run
+
+    # every term is counted in all sampled rows: first in the toxic ones, then those of enough support in the others
+    toxic, clean = sample.filter("label > 0").select("text"), sample.filter("not label > 0").select("text")
+    total = lambda rows, known: rows.mapInArrow(counted(known), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    bad_in = {r.term: r.n for r in total(toxic, None).filter(F.col("n") >= SUPPORT).collect()}
+    clean_in = {r.term: r.n for r in total(clean, frozenset(bad_in)).collect()} if bad_in else {}
+    sizes = {bad: max(1, n) for bad, n in ((r.bad, r["count"]) for r in sample.groupBy((F.col("label") > 0).alias("bad")).count().collect())}
+    rate = lambda t: bad_in[t] / sizes[True]
+    terms = sorted(t for t in bad_in if rate(t) >= PRECISION * (rate(t) + clean_in.get(t, 0) / sizes.get(False, 1)))
     number = {t: i for i, t in enumerate(terms)}
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.array(sorted(number[t] for t in own if t in number), np.int32).tobytes() for own in _terms_of(texts_of(batch))]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), batch.column(1)], ["ids", "label"])
+            ids = [sorted(number[t] for t in own if t in number) for own in _terms_of(texts_of(batch))]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32()))], ["ids"])
 
-    found = sample.select("text", "label").mapInArrow(present, "ids binary, label double").collect()
-    y = np.array([r.label > 0 for r in found], int)
-    lexicon = _choose([np.frombuffer(r.ids, np.int32) for r in found], y, terms)
+    lexicon = _choose([list(r.ids) for r in toxic.mapInArrow(present, "ids array<int>").collect()], terms)
     model = Model(lexicon, {(t, e): 1.0 for t, term in enumerate(lexicon) for e in range(budget(term) + 1)}, np.zeros(6))
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
