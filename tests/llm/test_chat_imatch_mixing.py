@@ -5,10 +5,13 @@ from __future__ import annotations
 import hashlib
 import itertools
 import random
+import re
+import warnings
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidegauge.llm import chat, imatch, mixing, queries
@@ -89,6 +92,24 @@ def test_blocks_join_up(spark):
         assert many[k][0].count("<|end|>") == many[k][0].count("<|user|>") + many[k][0].count("<|assistant|>") + many[k][0].count("<|system|>")
 
 
+def test_messages_without_conversation_and_turn_are_dealt_out(spark):
+    """One key with most rows: no block has more messages than asked for, whatever their turns are."""
+    rng = random.Random(6)
+    rows = [(None, None, rng.choice(["user", "assistant", "system", None]), f"m{i % 300}") for i in range(1500)]
+    rows += [(7, 3, "user", "x")] * 400 + [(8, t, "user", "y" * 50_000) for t in range(3)]
+    got = chat.format_chats(spark.createDataFrame([(*r, 1) for r in rows], CHAT + ", block int"), 64).collect()
+    sizes: Counter = Counter()
+    for r in got:
+        sizes[r.conv_id, r.block] += r.messages
+    assert max(sizes.values()) == 64 and sum(sizes.values()) == len(rows)
+    for conv in (None, 7, 8):
+        own = sorted((r.block, r.position, r) for r in got if r.conv_id == conv)
+        assert legal(tuple(r.role for _, _, r in own if not r.rendered.startswith("\n\n")))
+        cost = sum({r.block: r.block_cost for _, _, r in own}.values())
+        order = sorted((role or "", t) for c, t, role, _ in rows if c == conv)
+        assert cost == pytest.approx(exhaustive([role or None for role, _ in order]))
+
+
 def test_rendering_ties_and_empty_tables(spark):
     rows = [(1, 1, "user", "b"), (1, 1, "assistant", "a"), (1, 2, "user", "c"), (1, 3, "assistant", "d")]
     got = chat.format_chats(spark.createDataFrame(rows, CHAT + "")).orderBy("block", "position").collect()
@@ -135,6 +156,66 @@ def test_fingerprints(spark):
     assert np.mean([got[i].near_edited for i, t in rows if len(t) > 100]) > np.mean([got[i].near_next for i, t in rows if len(t) > 100]) + 0.2
 
 
+def xx(value: int, size: int, seed: int = 42) -> int:
+    """Spark's xxhash64 of a long or an int, as a signed number."""
+    n = xxhash.xxh64_intdigest(value.to_bytes(size, "little", signed=True), seed % (1 << 64))
+    return n - (1 << 64) if n >> 63 else n
+
+
+def plain_terms(text: str) -> list[str]:
+    return list(dict.fromkeys(re.split(r"[ \t\n\x0b\f\r!-/:-@\[-`{-~]+", text.lower())))
+
+
+def plain_hash(term: str) -> int:
+    n = xxhash.xxh64_intdigest(term.encode(), 42)
+    return n - (1 << 64) if n >> 63 else n
+
+
+def plain_print(text: str, band: set[str]) -> list[str]:
+    found = plain_terms(text)
+    early = found[: len(found) - len(found) // 4]
+    own = [t for t in found if t and (t in band or sum(x in band for x in early) < imatch.FEWEST)]
+    out = []
+    for j in range(imatch.LEVELS * imatch.PER_LEVEL):
+        share = (2 << j // imatch.PER_LEVEL) - 1
+        drawn = sorted(h for h in map(plain_hash, own) if xx(j, 4, xx(h, 8)) & share == 0)
+        digest = 42
+        for h in drawn:
+            digest = xx(h, 8, digest)
+        out.append(f"{digest % (1 << 64):016X}"[8:] if drawn else "")
+    if text and not any(out):
+        out[: imatch.PER_LEVEL] = [f"{plain_hash(text) % (1 << 64):016X}"[8:]] * imatch.PER_LEVEL
+    return out
+
+
+def plain_likeness(a: list[str], b: list[str]) -> float:
+    if a == b:
+        return 1.0
+    best = 0.0
+    for k in range(0, len(a), imatch.PER_LEVEL):
+        pairs = [(x, y) for x, y in zip(a[k : k + imatch.PER_LEVEL], b[k : k + imatch.PER_LEVEL], strict=True) if x or y]
+        best = max(best, sum(x == y for x, y in pairs) / max(3, len(pairs)))
+    return best
+
+
+@pytest.mark.parametrize("seed,rarest,commonest", [(11, 1000, 2), (12, 20, 4), (13, 2000, 8)])
+def test_fingerprints_are_those_of_plain_python(spark, monkeypatch, seed, rarest, commonest):
+    """Lexicon, digests and likeness recomputed for each text and edited text, with the lexicon broadcast and shuffled."""
+    rows = sorted((i, t or "") for i, t in documents(seed, 50) if t is None or "\x00" not in t)
+    counts = Counter(t for _, text in rows for t in plain_terms(text) if t)
+    band = {t for t, n in counts.items() if 1 / rarest <= n / len(rows) <= 1 / commonest}
+    prints = [plain_print(t, band) for _, t in rows]
+    changed = [plain_print(e, band) for e in edited(rows)]
+    for most in (imatch.BROADCAST_TERMS, 0):
+        monkeypatch.setattr(imatch, "BROADCAST_TERMS", most)
+        got = {r.doc_id: r for r in imatch.fingerprints(table(spark, rows), rarest=rarest, commonest=commonest).collect()}
+        for k, (i, _) in enumerate(rows):
+            r = got[i]
+            assert (r.fingerprint.split("."), r.edited_fingerprint.split(".")) == (prints[k], changed[k])
+            assert r.near_edited == pytest.approx(plain_likeness(prints[k], changed[k]))
+            assert r.near_next == pytest.approx(plain_likeness(prints[k], prints[(k + 1) % len(rows)]))
+
+
 def test_fingerprint_partitions_do_not_matter(spark):
     rows = [(i, t) for i, t in documents(8, 40)]
     want = sorted(map(str, imatch.fingerprints(table(spark, rows)).collect()))
@@ -205,9 +286,14 @@ def solved(p: np.ndarray, t: np.ndarray, target: np.ndarray, present: np.ndarray
 @pytest.mark.parametrize("weights", [None, {"k": 1.0, "w": 1.0, "o": 1.0}, {"k": 1.0, "w": 5.0}])
 def test_rates_are_numpy_descent(spark, weights):
     rows = texts()
-    known = mixing.measured(table(spark, rows, DOCS + ", lang string"), "lang")
+    df = table(spark, rows, DOCS + ", lang string")
     labels = spark.createDataFrame([(i,) for i, _, _ in rows if i % 2], "doc_id long")
-    mix = mixing.fit(known, labels, weights)
+    mix = mixing.learn(df, "lang", labels)
+    known = mixing.measured(df, "lang", mix)
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        mix = mixing.fit(known, mix, weights)
+    assert bool([w for w in said if "miss their targets" in str(w.message)]) == (mix.residual > 0.01)
     got = {r.doc_id: r for r in mixing.rates(known, mix).collect()}
     order = sorted(got)
     p, t = np.array([got[i].posterior for i in order]), np.array([got[i].t for i in order])
@@ -230,25 +316,64 @@ def test_odd_mixtures(spark):
     rows = [(i, t, None, None) for i, t in enumerate(ODD)] + [(None, "k k", "k", 1), (1, "w", "w", 2), (1, "w", "w", 2)]
     df = spark.createDataFrame(rows, schema)
     none = spark.createDataFrame([], "doc_id long")
-    mix = mixing.fit(mixing.measured(df, "lang"), none)
-    assert mix.domains == ["all"] and {r.rate for r in mixing.rates(mixing.measured(df, "lang"), mix).collect()} == {1.0}
+    def fitted(df, labels):
+        mix = mixing.learn(df, "lang", labels)
+        return mixing.fit(mixing.measured(df, "lang", mix), mix)
+
+    mix = fitted(df, none)
+    assert mix.domains == ["all"] and {r.rate for r in mixing.rates(mixing.measured(df, "lang", mix), mix).collect()} == {1.0}
     assert sorted(map(str, mixing.mixed(df, mix).collect())) == sorted(map(str, df.collect()))
-    some = mixing.fit(mixing.measured(df, "lang"), spark.createDataFrame([(1,), (None,), (0,)], "doc_id long"))
+    some = fitted(df, spark.createDataFrame([(1,), (None,), (0,)], "doc_id long"))
     assert mixing.mixed(df, some).columns == df.columns
     empty = df.limit(0)
-    assert mixing.mixed(empty, mixing.fit(mixing.measured(empty, "lang"), none)).count() == 0
+    assert mixing.mixed(empty, fitted(empty, none)).count() == 0
 
 
 def test_mixed_rows_follow_their_copies(spark):
     rows = texts(3, 90)
     df = table(spark, rows, DOCS + ", lang string")
-    known = mixing.measured(df, "lang")
-    mix = mixing.fit(known, spark.createDataFrame([(i,) for i, _, _ in rows], "doc_id long"), {"k": 1.0, "w": 3.0, "o": 3.0})
+    mix = mixing.learn(df, "lang", spark.createDataFrame([(i,) for i, _, _ in rows], "doc_id long"))
+    known = mixing.measured(df, "lang", mix)
+    mix = mixing.fit(known, mix, {"k": 1.0, "w": 3.0, "o": 3.0})
     copies = {r.doc_id: r.copies for r in mixing.rates(known, mix).collect()}
     got = Counter(r.doc_id for r in mixing.mixed(df, mix).collect())
     assert got == {i: n for i, n in copies.items() if n}
 
 
+def plain_posterior(text: str, mix: mixing.Mix) -> np.ndarray:
+    found = [plain_hash(w) % mixing.BUCKETS for w in re.split("[ \n\r\t]", text.lower())]
+    raw = np.array(mix.prior) + min(len(found), mixing.SURE) / max(len(found), 1) * sum(np.array([t[b] for t in mix.table]) for b in found)
+    return np.exp(raw - raw.max()) / np.exp(raw - raw.max()).sum()
+
+
+def test_posteriors_and_more_domains_than_are_told_apart(spark):
+    """Naive Bayes over hashed words in plain Python; the rarest domains count as one; ties are halves."""
+    rows = [(i, t, f"d{i % 7}" if i % 9 else "rare" + str(i)) for i, (_, t, _) in enumerate(texts(5, 90))] + [(900, "б в г д", "кир"), (901, "б в г", "кир"), (902, "both", "d1"), (903, "both", "d2")]
+    df = table(spark, rows, DOCS + ", lang string")
+    ids = spark.createDataFrame([(i,) for i, _, _ in rows], "doc_id long")
+    mix = mixing.learn(df, "lang", ids, most_domains=9)
+    assert len(mix.domains) == 9 and mix.domains[-1] == mixing.OTHERS and all(d.startswith("rare") for d in mix.merged)
+    got = {r.doc_id: r.p for r in mixing.measured(df, "lang", mix).collect()}
+    for i, t, _ in rows:
+        assert got[i] == pytest.approx(plain_posterior(t, mix), abs=1e-9)
+    assert mix.domains[int(np.argmax(got[901]))] == "кир"
+    again = mixing.fit(mixing.measured(df, "lang", mix), mix, {d: 1.0 for d in mix.domains} | {"rare0": 2.0})
+    assert again.targets[-1] == pytest.approx(3 / 11 * sum(again.targets))
+
+
+def test_domain_totals_meet_their_targets(spark, larger):
+    docs = spark.read.parquet(f"{larger}/documents.parquet")
+    mix = mixing.learn(docs, "lang", spark.read.parquet(f"{larger}/labels.parquet"))
+    known = mixing.measured(docs, "lang", mix)
+    mix = mixing.fit(known, mix)
+    got = mixing.rates(known, mix)
+    sums = got.agg(*(F.sum(F.col("t") * F.col("rate") * F.col("posterior")[i]) for i in range(len(mix.domains)))).first()
+    assert list(sums) == pytest.approx(mix.targets, rel=1e-4) and mix.residual < 1e-4
+    best = F.array_position("posterior", F.array_max("posterior")).cast("int")
+    right = got.select((F.element_at(F.array(*map(F.lit, mix.domains)), best) == F.col("domain")).cast("double").alias("y")).agg(F.avg("y")).first()[0]
+    assert right > 0.97, right
+
+
 def test_mixing_query(spark, small):
     df = queries.op9_mixing(spark, small)
     total = df.agg(F.sum("tokens"), F.sum(F.col("tokens") * F.col("rate"))).first()

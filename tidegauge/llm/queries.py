@@ -82,10 +82,12 @@ def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domains are languages. Those of the rows in ``labels`` are taken as known, those of all rows
     as uncertain: the classifier's posteriors, never the lang column, make a document's rate."""
-    from .mixing import fit, measured, rates
+    from .mixing import fit, learn, measured, rates
 
-    known = measured(table(spark, sf_dir, "documents"), "lang")
-    mix = fit(known, table(spark, sf_dir, "labels"))
+    docs = table(spark, sf_dir, "documents")
+    mix = learn(docs, "lang", table(spark, sf_dir, "labels"))
+    known = measured(docs, "lang", mix)
+    mix = fit(known, mix)
     best = F.array_position("posterior", F.array_max("posterior")).cast("int")
     domain = F.element_at(F.array(*map(F.lit, mix.domains)), best)
     return rates(known, mix).select("doc_id", F.col("t").cast("long").alias("tokens"), domain.alias("domain"), F.array_max("posterior").alias("posterior"), "rate", "copies")
