@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm import mixing, near_dedup, packing, quality, toxicity
-from tidegauge.llm.common import fresh, shared_path, table
+from tidegauge.llm.common import fresh, release, shared_path, table, written
 from tidegauge.llm.queries import QUALITY_CUT, TOXIC_CUT
 
 
@@ -40,8 +40,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the rates say that bring the languages' tokens to their targets."""
-    mix = mixing.fit(mixing.measured(docs, "lang"), table(spark, sf_dir, "labels"))
-    return mixing.mixed(docs, mix)
+    mix = mixing.learn(docs, "lang", table(spark, sf_dir, "labels"))
+    return mixing.mixed(docs, mixing.fit(mixing.measured(docs, "lang", mix), mix))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,9 +65,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's result is written; the tables that it was computed by are removed then."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = shared_path(spark, "stage-" + name.replace(" ", "-"))
+        before = written()
         stage(spark, docs, sf_dir).write.parquet(path)
+        release(spark, before)
         docs = spark.read.parquet(path)
     return docs
