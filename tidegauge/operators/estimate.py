@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels
@@ -167,14 +167,14 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 def in_sample(fits: DataFrame, found: DataFrame) -> DataFrame:
-    """series_id, chain, draw, t, component, reg (array), yhat, resid and sigma of each draw over the
-    fitted steps, by joining the draws with the rows of ``basis``."""
+    """series_id, chain, draw, t, component, reg (array), reg_total, yhat, y, resid and sigma of each draw
+    over the fitted steps, by joining the draws with the rows of ``basis``."""
     joined = found.select("series_id", "t", "y", "x", "c").join(fits.select("series_id", "chain", "draw", "coef", "sigma"), "series_id")
     reg = F.zip_with("coef", "x", lambda b, x: b * x)
     total = F.aggregate(reg, F.lit(0.0), lambda a, b: a + b)
     component = F.col("c")[0] - _dot(F.col("coef"), F.slice("c", 2, 1 << 20))
-    out = joined.withColumns({"component": component, "reg": reg}).withColumn("yhat", F.col("component") + total)
-    return out.select("series_id", "chain", "draw", "t", "component", "reg", "yhat", (F.col("y") - F.col("yhat")).alias("resid"), "sigma")
+    out = joined.withColumns({"component": component, "reg": reg}).withColumns({"reg_total": total, "yhat": F.col("component") + total})
+    return out.select("series_id", "chain", "draw", "t", "component", "reg", "reg_total", "yhat", "y", (F.col("y") - F.col("yhat")).alias("resid"), "sigma")
 
 
 def medians(fits: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -324,40 +324,98 @@ def wbic(y: np.ndarray, component: np.ndarray, reg: np.ndarray, sigma: np.ndarra
     return float(-np.log(n * horizon) * np.nanmean(each))
 
 
+def forecast_spans(fitted: DataFrame, horizon: int) -> DataFrame:
+    """series_id, chain, draw, t, h, yhat, y and sigma: at each step the ``horizon`` steps from it on, with
+    the component held flat and the regression of each step. fitted has series_id, chain, draw, t,
+    component, reg_total, y and sigma (see ``in_sample``); a series has steps - horizon + 1 spans."""
+    ahead = Window.partitionBy("series_id", "chain", "draw").orderBy("t").rowsBetween(0, horizon - 1)
+    spans = fitted.withColumn("_s", F.collect_list(F.struct("reg_total", "y")).over(ahead)).filter(F.size("_s") == horizon)
+    each = spans.select("series_id", "chain", "draw", "t", "component", "sigma", F.posexplode("_s").alias("h", "s"))
+    return each.select("series_id", "chain", "draw", "t", "h", (F.col("component") + F.col("s.reg_total")).alias("yhat"), F.col("s.y").alias("y"), "sigma")
+
+
+def span_log_likelihood(spans: DataFrame) -> DataFrame:
+    """spans with ``log_likelihood``; null where the observation is missing."""
+    z = (F.col("y") - F.col("yhat")) / F.col("sigma")
+    return spans.withColumn("log_likelihood", -0.5 * kernels.LOG_2PI - F.log("sigma") - 0.5 * z * z)
+
+
+def wbic_of_spans(spans: DataFrame) -> DataFrame:
+    """series_id and WBIC of the spans with their log-likelihoods: -log(windows * horizon) times the mean
+    over draws of each draw's mean, missing observations left out of the means alone."""
+    finite = F.when(~F.isnan("log_likelihood"), F.col("log_likelihood"))
+    each = spans.groupBy("series_id", "chain", "draw").agg(F.avg(finite).alias("m"), F.count("*").alias("n"))
+    return each.groupBy("series_id").agg((-F.log(F.max("n").cast("double")) * F.avg("m")).alias("wbic"))
+
+
+def log_joint(sums: DataFrame, points: DataFrame, names: list[str], prior: list[list], sigma_scale: float = 5.0) -> DataFrame:
+    """Log density of data and parameters at given points (series_id, chain, draw, sigma, coef) from the
+    rows of ``gram``: columns log_likelihood, log_prior and log_joint.
+
+    Coefficients are normal, truncated to one side of 0 where the sign says so (outside it the prior is
+    minus infinity), sigma is half-normal; normalising constants are included."""
+    k = len(names)
+    at = lambda i, j: i * (k + 1) - i * (i - 1) // 2 + j - i  # noqa: E731  place in the upper triangle
+    g, b, s = F.col("g"), F.col("coef"), F.col("sigma")
+    rss = g[at(0, 0)]
+    for i in range(k):
+        rss = rss - 2 * b[i] * g[at(0, i + 1)] + b[i] * b[i] * g[at(i + 1, i + 1)]
+        for j in range(i + 1, k):
+            rss = rss + 2 * b[i] * b[j] * g[at(i + 1, j + 1)]
+    likelihood = -F.col("n") * (0.5 * kernels.LOG_2PI + F.log(s)) - rss / (2 * s * s)
+    out = math.log(2) - 0.5 * kernels.LOG_2PI - math.log(sigma_scale) - s * s / (2 * sigma_scale**2)
+    for i, (sign, loc, scale) in enumerate(zip(*prior, strict=True)):
+        flip = -1.0 if sign == "-" else 1.0
+        mass = 1.0 if sign == "=" else 0.5 * math.erfc(-flip * loc / scale / math.sqrt(2))
+        own = -0.5 * kernels.LOG_2PI - math.log(scale) - math.log(mass) - 0.5 * ((b[i] - loc) / scale) * ((b[i] - loc) / scale)
+        out = out + (own if sign == "=" else F.when(flip * b[i] >= 0, own).otherwise(-math.inf))
+    joined = points.join(sums.select("series_id", "g", "n"), "series_id")
+    return joined.select("series_id", "chain", "draw", likelihood.alias("log_likelihood"), out.alias("log_prior"), (likelihood + out).alias("log_joint"))
+
+
 def tune_dlt(df: DataFrame, *, trials: int = 15, refine: int = 0, regressors: list[str] | None = None, scheme=None, horizon: int = 12, draws: int = 20, warmup: int = 20, seed: int = 0) -> DataFrame:
     """WBIC of seeded (lev_sm, slp_sm, theta) trials for each series: a row for each series and trial.
 
     The first trials are drawn log-uniformly (theta uniformly) from their bounds; ``refine`` more are
     drawn near each series' best of those. A trial fits the trend with its regressors to ``draws``
-    posterior draws. Trials are rows, so all of all series run side by side."""
+    posterior draws. The panel is shuffled once, by series: all trials of a series run where it is, each
+    over all series of one length at once."""
     names, prior = _prior(df, regressors, scheme)
     rng = np.random.default_rng(seed)
-    points = [(i, float(10 ** rng.uniform(-4, -1)), float(10 ** rng.uniform(-3, -1)), float(rng.uniform())) for i in range(trials)]
-    chosen = df.select(F.col("series_id").cast("string").alias("series_id"), F.col("t").cast("long").alias("t"), F.col("y").cast("double").alias("y"), *names)
-    kinds = pa.schema([("series_id", pa.string()), ("trial", pa.int32()), *((c, pa.float64()) for c in ("lev_sm", "slp_sm", "theta", "wbic"))])
-
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        pdf = rows.to_pandas().sort_values("t")
-        y, x, first = pdf["y"].to_numpy(float), pdf[names].to_numpy(float).reshape(len(pdf), len(names)), pdf.iloc[0]
-        hidden = np.where(np.isnan(y)[:, None], np.nan, x)
-        c = kernels.dlt_scan(np.vstack([y, hidden.T]), first.lev_sm, first.slp_sm, first.theta)[2]
-        rest = (np.vstack([y, hidden.T]) - c)[:, ~np.isnan(y)]
-        g = rest @ rest.T
-        b, s = gibbs(g[1:, 1:], g[0, 1:], float(g[0, 0]), rest.shape[1], *prior, _rng(seed, first.series_id, int(first.trial)), warmup, draws)
-        out = [[first.series_id], [int(first.trial)], [first.lev_sm], [first.slp_sm], [first.theta], [wbic(y, c[0] - b @ c[1:], b @ x.T, s, horizon)]]
-        return pa.table([pa.array(v, f.type) for v, f in zip(out, kinds, strict=True)], schema=kinds)
-
-    columns = "trial int, lev_sm double, slp_sm double, theta double"
-    grid = F.broadcast(df.sparkSession.createDataFrame(points, columns))
-    tried = chosen.crossJoin(grid).groupBy("series_id", "trial").applyInArrow(run, TUNE_SCHEMA)
-    if not refine:
-        return tried
-    best = tried.groupBy("series_id").agg(F.min_by(F.struct("lev_sm", "slp_sm", "theta"), F.struct("wbic", "trial")).alias("b"))
-    near = best.withColumn("trial", F.explode(F.sequence(F.lit(trials), F.lit(trials + refine - 1))))
-    z = lambda c: _normal(F.xxhash64(F.lit(seed), F.lit(c), "series_id", "trial"))
-    held = lambda v, c: F.least(F.lit(_BOUNDS[c][1]), F.greatest(F.lit(_BOUNDS[c][0]), v))
-    near = near.select("series_id", "trial", *(held(F.col(f"b.{c}") * F.exp(0.3 * z(c)), c).alias(c) for c in ("lev_sm", "slp_sm")), held(F.col("b.theta") + 0.1 * z("theta"), "theta").alias("theta"))
-    return tried.unionByName(chosen.join(near, "series_id").groupBy("series_id", "trial").applyInArrow(run, TUNE_SCHEMA))
+    points = [(float(10 ** rng.uniform(-4, -1)), float(10 ** rng.uniform(-3, -1)), float(rng.uniform())) for _ in range(trials)]
+
+    def tried(trial: int, point: np.ndarray, ids: list, y: np.ndarray, x: np.ndarray) -> list[tuple]:
+        """Rows of one trial; point (3, B), y (B, T), x (B, k, T)."""
+        data = np.concatenate([y[:, None], np.where(np.isnan(y)[:, None], np.nan, x)], 1)
+        b, width, steps = data.shape
+        lev, slp, theta = (np.repeat(p, width) for p in point)
+        c = kernels.dlt_scan(data.reshape(-1, steps), lev, slp, theta)[2].reshape(b, width, steps)
+        out = []
+        for i, series in enumerate(ids):
+            rest = (data[i] - c[i])[:, ~np.isnan(y[i])]
+            g = rest @ rest.T
+            coef, s = gibbs(g[1:, 1:], g[0, 1:], float(g[0, 0]), rest.shape[1], *prior, _rng(seed, series, trial), warmup, draws)
+            out.append((series, trial, *(float(p[i]) for p in point), wbic(y[i], c[i, 0] - coef @ c[i, 1:], coef @ x[i], s, horizon)))
+        return out
+
+    def fold(table: pa.Table) -> Iterator[pa.Table]:
+        values = np.column_stack([numbers(table, n) for n in ["y", *names]])
+        for at in by_length(table, "series_id"):
+            both = values[at].transpose(0, 2, 1)
+            y, x, ids = both[:, 0], both[:, 1:], table.column("series_id").take(pa.array(at[:, 0])).to_pylist()
+            rows = [r for i, p in enumerate(points) for r in tried(i, np.repeat(np.array(p)[:, None], len(ids), 1), ids, y, x)]
+            if refine:
+                ranked = sorted(rows, key=lambda r: (r[5], r[1]), reverse=True)
+                best = {r[0]: r[2:5] for r in ranked}  # the last of a series is its best
+                for i in range(trials, trials + refine):
+                    z = np.array([_rng(seed, "near", s, i).standard_normal(3) for s in ids])
+                    near = np.array([best[s] for s in ids])
+                    near = np.column_stack([near[:, :2] * np.exp(0.3 * z[:, :2]), near[:, 2] + 0.1 * z[:, 2]])
+                    rows += tried(i, np.clip(near, *np.array(list(_BOUNDS.values())).T).T, ids, y, x)
+            yield pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), *[pa.float64()] * 4), strict=True)], [f.split()[0] for f in TUNE_SCHEMA.split(", ")])
+
+    chosen = df.select(F.col("series_id").cast("string").alias("series_id"), F.col("t").cast("long").alias("t"), F.col("y").cast("double").alias("y"), *(F.col(n).cast("double").alias(n) for n in names))
+    return folded(chosen, fold, TUNE_SCHEMA)
 
 
 # ------------------------------------------------------------------ maximum a posteriori
@@ -365,38 +423,59 @@ def tune_dlt(df: DataFrame, *, trials: int = 15, refine: int = 0, regressors: li
 
 def _loss_gradient(theta: np.ndarray, y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Negative log-likelihood of the linear filter (a0 = 0, P0 = 1) and its gradient by forward
-    sensitivities, for softplus parameters (B, 3): sigma_h, level noise, seasonal noise."""
+    sensitivities, for softplus parameters (B, 3): sigma_h, level noise, seasonal noise.
+
+    A step changes the states alone that its row of z has; the variances of the others grow by their
+    noise, which is added when they are next seen. Arrays are laid out with the series last."""
     b, steps = y.shape
     n = z.shape[1]
-    sigma = np.logaddexp(0, theta)
-    slope = 1 / (1 + np.exp(-theta))
-    q, dq = np.empty((b, n)), np.zeros((b, 3, n))
-    q[:, 0], q[:, 1:] = sigma[:, 1] ** 2, sigma[:, 2:] ** 2
-    dq[:, 1, 0], dq[:, 2, 1:] = 2 * sigma[:, 1] * slope[:, 1], (2 * sigma[:, 2] * slope[:, 2])[:, None]
-    dh = np.zeros((b, 3))
-    dh[:, 0] = 2 * sigma[:, 0] * slope[:, 0]
-    a, p = np.zeros((b, n)), np.ones((b, n))
-    da, dp = np.zeros((b, 3, n)), np.zeros((b, 3, n))
-    loss, grad = np.zeros(b), np.zeros((b, 3))
+    sigma, slope = np.logaddexp(0, theta).T.copy(), (1 / (1 + np.exp(-theta))).T
+    q, dq = sigma[1:] ** 2, 2 * sigma[1:] * slope[1:]  # of the level and of the others
+    h, dh = sigma[0] ** 2, 2 * sigma[0] * slope[0]
+    a, p = np.zeros((n, b)), np.ones((n, b))
+    da, dp = np.zeros((n, 3, b)), np.zeros((n, 3, b))
+    seen = np.zeros(n, np.int64)  # steps whose noise a state's variance has
+    loss, grad = np.zeros(b), np.zeros((3, b))
+    columns = np.ascontiguousarray(y.T)
+    active = [np.flatnonzero(row).tolist() for row in z]
     for t in range(steps):
-        zt = z[t]
-        v, f = y[:, t] - a @ zt, p @ zt**2 + sigma[:, 0] ** 2
-        dv, df = -da @ zt, dp @ zt**2 + dh
-        loss += 0.5 * (kernels.LOG_2PI + np.log(f) + v * v / f)
-        grad += 0.5 * (df / f[:, None] + 2 * (v / f)[:, None] * dv - ((v / f) ** 2)[:, None] * df)
-        k = p * zt / f[:, None]
-        dk = dp * zt / f[:, None, None] - k[:, None] * (df / f[:, None])[..., None]
-        a, da = a + k * v[:, None], da + dk * v[:, None, None] + k[:, None] * dv[..., None]
-        dp = dp * (1 - k * zt)[:, None] - p[:, None] * dk * zt + dq
-        p = p * (1 - k * zt) + q
-    return loss, grad
-
-
-def adam(y: np.ndarray, z: np.ndarray, iterations: int = 500, rate: float = 3e-2, patience: int | None = None, tolerance: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+        own = active[t]
+        for i in own:
+            if late := t - int(seen[i]):
+                kind = int(i > 0)
+                p[i] += late * q[kind]
+                dp[i, 1 + kind] += late * dq[kind]
+                seen[i] = t
+        v, f = columns[t].copy(), h.copy()
+        dv, df = np.zeros((3, b)), np.zeros((3, b))
+        df[0] = dh
+        for i in own:
+            c = z[t, i]
+            v -= c * a[i]
+            f += c * c * p[i]
+            dv -= c * da[i]
+            df += c * c * dp[i]
+        w = v / f
+        loss += 0.5 * (kernels.LOG_2PI + np.log(f) + v * w)
+        df /= f
+        grad += 0.5 * (1 - v * w) * df + w * dv
+        for i in own:
+            c = z[t, i]
+            k = c * p[i] / f
+            dk = c * dp[i] / f - k * df
+            a[i] += k * v
+            da[i] += dk * v + k * dv
+            dp[i] = dp[i] * (1 - c * k) - c * p[i] * dk
+            p[i] *= 1 - c * k
+    return loss, grad.T
+
+
+def adam(y: np.ndarray, z: np.ndarray, iterations: int = 500, rate: float = 3e-2, patience: int | None = None, tolerance: float = 1e-5, bounds: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Best parameters (B, 3) and losses, each series by itself; the parameters kept are those that
     the loss was computed at. ``patience`` freezes a series that has not improved for so long."""
     start = np.log(np.expm1(np.array([0.30, 0.055, 0.055])) + 1e-12)
-    theta = np.tile(start, (len(y), 1))
+    low, high = np.log(np.expm1(np.array(bounds, float))).T if bounds else (-np.inf, np.inf)
+    theta = np.clip(np.tile(start, (len(y), 1)), low, high)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     best, best_loss, since = theta.copy(), np.full(len(y), np.inf), np.zeros(len(y))
     live = np.ones(len(y), bool)
@@ -411,9 +490,12 @@ def adam(y: np.ndarray, z: np.ndarray, iterations: int = 500, rate: float = 3e-2
                 break
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta - np.where(live[:, None], rate * (m / (1 - 0.9**it)) / (np.sqrt(v / (1 - 0.999**it)) + 1e-8), 0.0)
+        theta = np.clip(theta, low, high)
     return np.logaddexp(0, best), best_loss
 
 
+#: Rows of whole series that are fitted together, so that a step's work outweighs its calls.
+MAP_ROWS = 2_000_000
 MAP_SCHEMA = "series_id string, sigma_h double, sigma_level double, sigma_season double, loss double, response_norm double, a_last array<double>, p_last array<double>, last_t long"
 
 
@@ -436,10 +518,11 @@ def _map_rows(ids, last: np.ndarray, sigma: np.ndarray, loss: np.ndarray, y: np.
     return pa.table(columns, [f.split()[0] for f in MAP_SCHEMA.split(", ")])
 
 
-def fit_map(df: DataFrame, *, season: int = 7, intercept: bool = True, iterations: int = 100, rate: float = 3e-2, patience: int | None = None, rows: int = FOLD_ROWS) -> DataFrame:
+def fit_map(df: DataFrame, *, season: int = 7, intercept: bool = True, iterations: int = 100, rate: float = 3e-2, patience: int | None = None, bounds: tuple | None = None, rows: int = MAP_ROWS) -> DataFrame:
     """MAP parameters and last states of each series (series_id, t, sales): local level and periodic
     dummies on log(sales / mean), sales held above 0.1. Series of one length that come together are
-    fitted together; each keeps the best parameters that it was at."""
+    fitted together; each keeps the best parameters that it was at. ``bounds`` are (low, high) of each of
+    sigma_h, sigma_level and sigma_season, and hold at every step."""
 
     def fold(table: pa.Table) -> Iterator[pa.Table]:
         sales, t = numbers(table, "sales"), numbers(table, "t")
@@ -449,7 +532,7 @@ def fit_map(df: DataFrame, *, season: int = 7, intercept: bool = True, iteration
                 own = at[starts == phase]
                 z = season_design(t[own[0]], season, intercept)
                 y, norm = _response(sales[own])
-                sigma, loss = adam(y, z, iterations, rate, patience)
+                sigma, loss = adam(y, z, iterations, rate, patience, bounds=bounds)
                 yield _map_rows(table.column("series_id").take(pa.array(own[:, 0])), t[own[:, -1]], sigma, loss, y, z, norm)
 
     chosen = df.select(F.col("series_id").cast("string").alias("series_id"), F.col("t").cast("long").alias("t"), F.col("sales").cast("double").alias("sales"))
@@ -468,17 +551,24 @@ def refilter(df: DataFrame, params: DataFrame, *, season: int = 7, intercept: bo
         sales, t = numbers(table, "sales"), numbers(table, "t")
         given = np.column_stack([numbers(table, c) for c in ("sigma_h", "sigma_level", "sigma_season")])
         for at in by_length(table, "series_id"):
-            if at.shape[1] <= 1:
+            at = at[np.isnan(t[at[:, 0]])]  # of those that have a row of parameters, which comes first
+            if at.shape[1] > 1 and np.isnan(t[at[:, 1]]).any():
+                raise ValueError("a series has several rows of parameters")
+            first, at = at[:, 0], at[:, 1:]
+            if len(at) and at.shape[1] == 1:
                 raise ValueError("a training span of one step or less")
+            if not at.size:
+                continue
             starts = t[at[:, 0]] % season
             for phase in np.unique(starts):
                 own = at[starts == phase]
                 y, norm = _response(sales[own])
-                yield _map_rows(table.column("series_id").take(pa.array(own[:, 0])), t[own[:, -1]], given[own[:, 0]], np.zeros(len(own)), y, season_design(t[own[0]], season, intercept), norm)
+                yield _map_rows(table.column("series_id").take(pa.array(own[:, 0])), t[own[:, -1]], given[first[starts == phase]], np.zeros(len(own)), y, season_design(t[own[0]], season, intercept), norm)
 
-    chosen = df.select(F.col("series_id").cast("string").alias("series_id"), F.col("t").cast("long").alias("t"), F.col("sales").cast("double").alias("sales"))
-    joined = chosen.join(params.select("series_id", "sigma_h", "sigma_level", "sigma_season"), "series_id")
-    return forecast_seasonal(folded(joined, fold, MAP_SCHEMA, rows=rows), horizon, season=season, intercept=intercept)
+    none = F.lit(None)
+    chosen = df.select(F.col("series_id").cast("string").alias("series_id"), F.col("t").cast("long").alias("t"), F.col("sales").cast("double").alias("sales"), *(none.cast("double").alias(c) for c in ("sigma_h", "sigma_level", "sigma_season")))
+    told = params.select(F.col("series_id").cast("string").alias("series_id"), none.cast("long").alias("t"), none.cast("double").alias("sales"), "sigma_h", "sigma_level", "sigma_season")
+    return forecast_seasonal(folded(chosen.filter("t is not null").unionByName(told), fold, MAP_SCHEMA, rows=rows), horizon, season=season, intercept=intercept)
 
 
 def forecast_map(fits: DataFrame, future: DataFrame) -> DataFrame:
@@ -548,89 +638,186 @@ class NoisePrior:
         return np.array([*[mean(self.h)] * m, mean(self.level), mean(self.other)])
 
 
-def adaptive_metropolis(log_density, start: np.ndarray, rng, warmup: int, draws: int) -> np.ndarray:
-    """Random-walk draws whose covariance follows the chain during the warm-up."""
-    k = len(start)
+def adaptive_metropolis(log_density, start: np.ndarray, rngs: list[np.random.Generator], warmup: int, draws: int) -> np.ndarray:
+    """Random-walk draws (draws, N, k) of N chains at once, each with its own generator and a covariance
+    that follows it during the warm-up; ``log_density`` maps (N, k) to (N,)."""
+    n, k = start.shape
+    steps = np.array([r.standard_normal((warmup + draws, k)) for r in rngs]).reshape(n, -1, k)
+    chance = np.array([r.random(warmup + draws) for r in rngs]).reshape(n, -1)
     x, lp = start.astype(float), log_density(start)
-    cov, mean, scale, out = np.eye(k) * 0.01, start.astype(float), 1.0, np.empty((draws, k))
+    cov, mean, scale, out = np.tile(np.eye(k) * 0.01, (n, 1, 1)), start.astype(float), np.ones(n), np.empty((draws, n, k))
     for it in range(warmup + draws):
-        new = x + scale * 2.38 / math.sqrt(k) * (np.linalg.cholesky(cov + 1e-9 * np.eye(k)) @ rng.standard_normal(k))
+        root = np.linalg.cholesky(cov + 1e-9 * np.eye(k))
+        new = x + (scale * 2.38 / math.sqrt(k))[:, None] * np.einsum("nij,nj->ni", root, steps[:, it])
         lp_new = log_density(new)
-        accept = math.exp(min(0.0, lp_new - lp)) if np.isfinite(lp_new) else 0.0
-        if rng.random() < accept:
-            x, lp = new, lp_new
+        with np.errstate(invalid="ignore", over="ignore"):
+            accept = np.where(np.isfinite(lp_new), np.exp(np.minimum(0.0, lp_new - lp)), 0.0)
+        taken = chance[:, it] < accept
+        x, lp = np.where(taken[:, None], new, x), np.where(taken, lp_new, lp)
         if it < warmup:
             w = 1 / (it + 2)
             d = x - mean
-            mean, cov = mean + w * d, (1 - w) * cov + w * np.outer(d, d)
-            scale *= math.exp((accept - 0.3) / math.sqrt(it + 1))
+            mean, cov = mean + w * d, (1 - w) * cov + w * d[:, :, None] * d[:, None, :]
+            scale = scale * np.exp((accept - 0.3) / math.sqrt(it + 1))
         else:
             out[it - warmup] = x
     return out
 
 
 MCMC_SCHEMA = "series_id string, chain int, draw int, sigma_h array<double>, sigma_q array<double>, log_p double, a_last array<double>"
+#: Rows of whole series whose chains run at once.
+MCMC_ROWS = 20_000
+
 
+def _posterior(ids: list, m: int, density, prior: NoisePrior, warmup: int, draws: int, chains: int, seed: int) -> tuple[np.ndarray, list]:
+    """Noise draws (draws, N, m + 2) of the chains of the given series, series by series, and what
+    ``density`` (sigmas (N, m + 2) to (log_p, ...)) gives for each draw."""
+    rngs = [_rng(seed, s, c) for s in ids for c in range(chains)]
 
-def _sampled(df: DataFrame, key: str, columns: list, likelihood, n_states: int, prior: NoisePrior, warmup: int, draws: int, chains: int, seed: int) -> DataFrame:
-    """Draws of the noise of each group and chain; ``likelihood`` makes (log_p, last state) of a group
-    from its rows, and says how many sigma_h it has."""
-    names = [f.split()[0] for f in MCMC_SCHEMA.split(", ")]
+    def log_density(u):
+        s = np.exp(u)
+        own = np.array([prior.log_density(x) for x in s])
+        inside = np.isfinite(own)
+        held = np.where(inside[:, None], s, prior.start(m))
+        return np.where(inside, own + u.sum(1) + density(held)[0], -np.inf)
 
-    def run(group: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        series, chain = group[0].as_py(), group[1].as_py()
-        m, density = likelihood(rows.to_pandas().sort_values("t"))
-        whole = lambda s: (s[:m], np.array([s[m], *[s[m + 1]] * (n_states - 1)]))
+    got = np.exp(adaptive_metropolis(log_density, np.tile(np.log(prior.start(m)), (len(rngs), 1)), rngs, warmup, draws))
+    return got, [density(s) for s in got]
 
-        def log_density(u):
-            s = np.exp(u)
-            own = prior.log_density(s)
-            return -math.inf if own == -math.inf else own + u.sum() + density(*whole(s))[0]
 
-        got = np.exp(adaptive_metropolis(log_density, np.log(prior.start(m)), _rng(seed, series, chain), warmup, draws))
-        ends = [density(*whole(s)) for s in got]
-        out = [pa.array([series] * draws, pa.string()), pa.array(np.full(draws, chain), pa.int32()), pa.array(np.arange(draws), pa.int32()), lists(got[:, :m], draws), lists(np.array([whole(s)[1] for s in got]), draws), pa.array([e[0] for e in ends]), lists(np.array([e[1] for e in ends]), draws)]
-        return pa.table(out, names)
+def _whole(s: np.ndarray, m: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """sigma_h (N, m) and sigma_q (N, n) of sigmas (N, m + 2)."""
+    return s[:, :m], np.concatenate([s[:, m : m + 1], np.repeat(s[:, m + 1 :], n - 1, 1)], 1)
 
-    spread = df.select(F.col(key).cast("string").alias("series_id"), F.col("t").cast("long").alias("t"), *columns).withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))))
-    return spread.groupBy("series_id", "chain").applyInArrow(run, MCMC_SCHEMA)
+
+def _drawn(ids: list, chains: int, found: tuple[np.ndarray, list], m: int, n: int) -> pa.Table:
+    """The rows of MCMC_SCHEMA of what ``_posterior`` found."""
+    got, ends = found
+    draws, chain_count = got.shape[:2]
+    flat = got.transpose(1, 0, 2).reshape(draws * chain_count, -1)
+    h, q = _whole(flat, m, n)
+    log_p, last = (np.array([e[i] for e in ends]).swapaxes(0, 1).reshape(draws * chain_count, -1) for i in (0, 1))
+    columns = [pa.array(np.repeat(np.array(ids, object), chains * draws), pa.string()), pa.array(np.tile(np.repeat(np.arange(chains), draws), len(ids)), pa.int32()), pa.array(np.tile(np.arange(draws), chain_count), pa.int32()), lists(h, len(h)), lists(q, len(q)), pa.array(log_p[:, 0]), lists(last, len(last))]
+    return pa.table(columns, [f.split()[0] for f in MCMC_SCHEMA.split(", ")])
 
 
 def fit_mcmc(df: DataFrame, z_columns: list[str], *, exponent: float | None = None, positivity: list[bool] | None = None, a0=None, p0=None, prior: NoisePrior | None = None, warmup: int = 200, draws: int = 100, chains: int = 4, seed: int = 0) -> DataFrame:
     """Posterior draws of sigma_h and sigma_q, with the log-likelihood and last state, of each series
-    (series_id, t, y and the z columns), a task for each series and chain."""
-    n = len(z_columns)
+    (series_id, t, y and the z columns). The panel is shuffled once; the chains of all series of one
+    length that come together are filtered together."""
+    n, prior = len(z_columns), prior or NoisePrior()
     start, spread = np.zeros(n) if a0 is None else np.asarray(a0, float), np.ones(n) if p0 is None else np.asarray(p0, float)
 
-    def likelihood(pdf: pd.DataFrame):
-        y, z = pdf["y"].to_numpy(float)[None], pdf[z_columns].to_numpy(float)
+    def fold(table: pa.Table) -> Iterator[pa.Table]:
+        y, z = numbers(table, "y"), np.column_stack([numbers(table, c) for c in z_columns])
+        for at in by_length(table, "series_id"):
+            each, ids = np.repeat(at, chains, 0), table.column("series_id").take(pa.array(at[:, 0])).to_pylist()
 
-        def density(h, q):
-            out = kernels.kalman_filter(y, z, start, spread, h[0], q, exponent=exponent, positivity=positivity)
-            return float(out["log_p"][0]), out["a"][0, -1]
+            def density(s, own=(y[each], z[each])):
+                h, q = _whole(s, 1, n)
+                out = kernels.kalman_filter(*own, start, spread, h[:, 0], q, exponent=exponent, positivity=positivity)
+                return out["log_p"], out["a"][:, -1]
 
-        return 1, density
+            yield _drawn(ids, chains, _posterior(ids, 1, density, prior, warmup, draws, chains, seed), 1, n)
 
-    return _sampled(df, "series_id", ["y", *z_columns], likelihood, n, prior or NoisePrior(), warmup, draws, chains, seed)
+    chosen = df.select(F.col("series_id").cast("string").alias("series_id"), F.col("t").cast("long").alias("t"), F.col("y").cast("double").alias("y"), *(F.col(c).cast("double").alias(c) for c in z_columns))
+    return folded(chosen, fold, MCMC_SCHEMA, rows=MCMC_ROWS)
 
 
 def fit_mcmc_st(df: DataFrame, a0: list[float], p0: list[list[float]], *, exponent: float | None = None, positivity: list[bool] | None = None, prior: NoisePrior | None = None, warmup: int = 200, draws: int = 100, chains: int = 4, seed: int = 0) -> DataFrame:
     """The same for panels (panel_id as series_id; t, y array, z array of arrays; a_obs and p_obs where
-    they are) whose series share states; each series has a sigma_h."""
-    extra = [c for c in ("a_obs", "p_obs") if c in df.columns]
+    they are) whose series share states; each series has a sigma_h. A panel's chains run in its task."""
+    extra, n = [c for c in ("a_obs", "p_obs") if c in df.columns], len(a0)
+    prior = prior or NoisePrior()
+
+    def fold(table: pa.Table) -> Iterator[pa.Table]:
+        for group in by_length(table, "series_id"):
+            for at in group:
+                pdf = table.slice(int(at[0]), len(at)).to_pandas()
+                y, z = np.stack(pdf["y"].to_numpy()).astype(float), np.array([[list(r) for r in x] for x in pdf["z"]], float)
+                told, ids, m = {c: np.stack(pdf[c].to_numpy()).astype(float) for c in extra}, [pdf["series_id"].iloc[0]], y.shape[1]
+
+                def density(s, y=y, z=z, told=told, m=m):
+                    outs = [kernels.kalman_filter_st(y, z, a0, p0, h, q, exponent=exponent, positivity=positivity, **told) for h, q in zip(*_whole(s, m, n), strict=True)]
+                    return np.array([o["log_p"] for o in outs]), np.array([o["a"][-1] for o in outs])
 
-    def likelihood(pdf: pd.DataFrame):
-        y = np.stack(pdf["y"].to_numpy()).astype(float)
-        z = np.array([[list(r) for r in m] for m in pdf["z"]], float)
-        told = {c: np.stack(pdf[c].to_numpy()).astype(float) for c in extra}
+                yield _drawn(ids, chains, _posterior(ids, m, density, prior, warmup, draws, chains, seed), m, n)
 
-        def density(h, q):
-            out = kernels.kalman_filter_st(y, z, a0, p0, h, q, exponent=exponent, positivity=positivity, **told)
-            return float(out["log_p"]), out["a"][-1]
+    chosen = df.select(F.col("panel_id").cast("string").alias("series_id"), F.col("t").cast("long").alias("t"), "y", "z", *extra)
+    return folded(chosen, fold, MCMC_SCHEMA, rows=1)
 
-        return y.shape[1], density
 
-    return _sampled(df, "panel_id", ["y", "z", *extra], likelihood, len(a0), prior or NoisePrior(), warmup, draws, chains, seed)
+LEVEL_SCHEMA = "series_id string, chain int, draw int, sigma_h double, sigma_q double, beta array<double>, log_p double, a_last double"
+
+
+def fit_level_regression(df: DataFrame, x_columns: list[str], *, beta_scale: float = 10.0, prior: NoisePrior | None = None, warmup: int = 200, draws: int = 100, chains: int = 4, seed: int = 0) -> DataFrame:
+    """A local level whose regression is outside the state: draws of sigma_h, sigma_q and the coefficients.
+
+    The filter (a0 = 0, P0 = 1) is linear in its data, so innovations of y less regression are those of y
+    less those of the regressors. With normal priors of scale ``beta_scale`` the coefficients are
+    integrated out of the likelihood of the noise, and drawn given each draw of it. ``log_p`` is that
+    likelihood, ``a_last`` the last level."""
+    k = len(x_columns)
+    prior = prior or NoisePrior(h=(0.0, 0.1, 1e-5, 0.1), level=(0.0, 0.01, 1e-5, 0.8), other=(0.0, 0.01, 1e-5, 0.8))
+
+    def fold(table: pa.Table) -> Iterator[pa.Table]:
+        values = np.column_stack([numbers(table, c) for c in ["y", *x_columns]])
+        for at in by_length(table, "series_id"):
+            b, steps = at.shape
+            ids = table.column("series_id").take(pa.array(at[:, 0])).to_pylist()
+            data = np.repeat(values[at].transpose(0, 2, 1), chains, 0)  # (N, 1 + k, T)
+            count = len(data)
+
+            def solved(s, data=data, count=count, steps=steps):
+                """Precision and information of the coefficients, log-likelihood, last levels of y and x."""
+                h, q = np.repeat(s[:, 0], k + 1), np.repeat(s[:, 1], k + 1)
+                out = kernels.kalman_filter(data.reshape(-1, steps), np.ones((steps, 1)), [0.0], [1.0], h, q[:, None])
+                v, f = out["v"].reshape(count, k + 1, steps), out["f"].reshape(count, k + 1, steps)[:, 0]
+                g = np.einsum("nit,njt,nt->nij", v, v, 1 / f)
+                precision, info = g[:, 1:, 1:] + np.eye(k) / beta_scale**2, g[:, 1:, 0]
+                best = np.linalg.solve(precision, info[..., None])[..., 0]
+                log_p = -0.5 * (steps * kernels.LOG_2PI + np.log(f).sum(1) + g[:, 0, 0] - (info * best).sum(1) + np.linalg.slogdet(precision)[1] + 2 * k * math.log(beta_scale))
+                return log_p, precision, best, out["a"][:, -1, 0].reshape(count, k + 1)
+
+            # the prior's third kind is not used: its sigma stays at the start
+            got, ends = _posterior(ids, 1, lambda s, solved=solved: solved(s[:, :2]), prior, warmup, draws, chains, seed)
+            rngs, out = [_rng(seed, "beta", s, c) for s in ids for c in range(chains)], []
+            for d, (log_p, precision, best, last) in enumerate(ends):
+                for i in range(count):
+                    beta = best[i] + np.linalg.solve(np.linalg.cholesky(precision[i]).T, rngs[i].standard_normal(k))
+                    out.append((ids[i // chains], i % chains, d, float(got[d, i, 0]), float(got[d, i, 1]), beta.tolist(), float(log_p[i]), float(last[i, 0] - beta @ last[i, 1:])))
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.float64(), pa.float64())
+            yield pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [f.split()[0] for f in LEVEL_SCHEMA.split(", ")])
+
+    chosen = df.select(F.col("series_id").cast("string").alias("series_id"), F.col("t").cast("long").alias("t"), *(F.col(c).cast("double").alias(c) for c in ["y", *x_columns]))
+    return folded(chosen, fold, LEVEL_SCHEMA, rows=MCMC_ROWS)
+
+
+def level_regression_mean(df: DataFrame, fits: DataFrame, x_columns: list[str]) -> DataFrame:
+    """series_id, chain, draw, t, level and mu = level + regression, of each draw of ``fit_level_regression``:
+    history and draws meet by series, each shuffled once."""
+    history = df.select(F.col("series_id").cast("string").alias("series_id"), F.col("t").cast("long").alias("t"), *(F.col(c).cast("double").alias(c) for c in ["y", *x_columns]))
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table, draws: pa.Table) -> pa.Table:
+        rows = rows.sort_by("t")
+        m, steps = draws.num_rows, rows.num_rows
+        x, beta = np.column_stack([numbers(rows, c) for c in x_columns]), np.array(draws.column("beta").to_pylist(), float).reshape(m, len(x_columns))
+        reg = beta @ x.T
+        out = kernels.kalman_filter(numbers(rows, "y") - reg, np.ones((steps, 1)), [0.0], [1.0], numbers(draws, "sigma_h"), numbers(draws, "sigma_q")[:, None]) if m and steps else {"a": np.zeros((m, steps, 1))}
+        level = out["a"][..., 0]
+        spread = lambda c: draws.column(c).take(pa.array(np.repeat(np.arange(m), steps)))
+        return pa.table([pa.array([key[0].as_py()] * (m * steps), pa.string()), spread("chain"), spread("draw"), pa.array(np.tile(np.asarray(rows.column("t")), m), pa.int64()), pa.array(level.ravel()), pa.array((level + reg).ravel())], ["series_id", "chain", "draw", "t", "level", "mu"])
+
+    return history.groupBy("series_id").cogroup(fits.select("series_id", "chain", "draw", "sigma_h", "sigma_q", "beta").groupBy("series_id")).applyInArrow(run, "series_id string, chain int, draw int, t long, level double, mu double")
+
+
+def fit_dlt_global(df: DataFrame, lev_sm: float, slp_sm: float, theta: float, *, seasonal: list[str], trend: str = "glb", warmup: int = 100, draws: int = 100, chains: int = 4, seed: int = 0) -> DataFrame:
+    """The damped trend over what a global line and seasonal terms leave: y = a + b * trend + seasonal terms
+    + local trend + noise, with a and b normal of scale 1, seasonal coefficients of scale 0.3, and a
+    half-normal sigma of scale 0.5. df has series_id, t, y, the trend and the seasonal columns; the draws
+    are those of ``fit_dlt``, the intercept being the regressor ``one``."""
+    scheme = {"one": ("=", 0.0, 1.0), trend: ("=", 0.0, 1.0)} | {c: ("=", 0.0, 0.3) for c in seasonal}
+    return fit_dlt(df.withColumn("one", F.lit(1.0)), lev_sm, slp_sm, theta, scheme=scheme, warmup=warmup, draws=draws, chains=chains, seed=seed, sigma_scale=0.5)
 
 
 def forecast_mcmc(fits: DataFrame, future: DataFrame, norms: DataFrame | None = None, *, seed: int = 42) -> DataFrame:

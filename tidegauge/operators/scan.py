@@ -187,21 +187,27 @@ def filtered_st(df: DataFrame, a0: list[float], p0: list[list[float]], sigma_h,
 def smoothed_draws(df: DataFrame, draws: DataFrame, a0: list[float], p0: list[float], *, exponent: float | None = None, positivity: list[bool] | None = None) -> DataFrame:
     """series_id, chain, draw, t, a_smooth and ``mu``, the fitted mean, of each posterior draw.
 
-    df has series_id, t, y and z; draws has series_id, chain, draw, sigma_h and sigma_q (array). A
-    series under one draw is a series of its own to the filter. Masked states of an extended filter
-    enter the mean as exp(exponent * a)."""
-    one = F.concat_ws("\x1f", "series_id", "chain", "draw")
-    each = df.select("series_id", "t", "y", "z").join(draws.select("series_id", "chain", "draw", "sigma_h", "sigma_q"), "series_id")
-    keyed = each.select(one.alias("series_id"), "t", "y", "z", "sigma_h", "sigma_q")
-    out = filtered(keyed, a0, p0, None, None, exponent=exponent, positivity=positivity, smoother="rts")
-    back = F.split("series_id", "\x1f")
-    named = out.select(back[0].alias("series_id"), back[1].cast("int").alias("chain"), back[2].cast("int").alias("draw"), "t", "a_smooth")
-    state = F.col("a_smooth")
-    if exponent is not None:
-        mask = positivity or [True] * len(a0)
-        state = F.zip_with("a_smooth", F.array(*map(F.lit, mask)), lambda a, m: F.when(m, F.exp(F.least(F.lit(10.0), F.greatest(F.lit(-10.0), a * exponent)))).otherwise(a))
-    mean = F.aggregate(F.zip_with(state, "z", lambda a, z: a * z), F.lit(0.0), lambda a, b: a + b)
-    return named.join(df.select("series_id", "t", "z"), ["series_id", "t"]).withColumn("mu", mean).drop("z")
+    df has series_id, t, y and z; draws has series_id, chain, draw, sigma_h and sigma_q (array). History
+    and draws meet by series, each shuffled once; a series is filtered and smoothed under all of its
+    draws at once. Masked states of an extended filter enter the mean as exp(exponent * a)."""
+    n = len(a0)
+    history = _panel(df, F.col("y").cast("double").alias("y"), F.col("z").cast("array<double>").alias("z"))
+    own = draws.select(F.col("series_id").cast("string").alias("series_id"), F.col("chain").cast("int").alias("chain"), F.col("draw").cast("int").alias("draw"), F.col("sigma_h").cast("double").alias("sigma_h"), F.col("sigma_q").cast("array<double>").alias("sigma_q"))
+    mask = np.ones(n, bool) if positivity is None else np.asarray(positivity, bool)
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table, draws: pa.Table) -> pa.Table:
+        rows = rows.sort_by("t")
+        m, steps = draws.num_rows, rows.num_rows
+        z, q = vectors(rows, "z", n), vectors(draws, "sigma_q", n)
+        a = np.zeros((m, steps, n))
+        if m and steps:
+            res = kernels.kalman_filter(np.broadcast_to(numbers(rows, "y"), (m, steps)), z, a0, p0, numbers(draws, "sigma_h"), q, positivity=positivity, exponent=exponent)
+            a = kernels.rts_smoother(res, q, ekf=exponent is not None)[0]
+        state = a if exponent is None else np.where(mask, np.exp(np.clip(exponent * a, -10, 10)), a)
+        spread = lambda c: draws.column(c).take(pa.array(np.repeat(np.arange(m), steps)))
+        return pa.table([pa.array([key[0].as_py()] * (m * steps), pa.string()), spread("chain"), spread("draw"), pa.array(np.tile(np.asarray(rows.column("t")), m), pa.int64()), lists(a.reshape(m * steps, n), m * steps), pa.array((state * z).sum(2).ravel())], ["series_id", "chain", "draw", "t", "a_smooth", "mu"])
+
+    return history.groupBy("series_id").cogroup(own.groupBy("series_id")).applyInArrow(run, "series_id string, chain int, draw int, t long, a_smooth array<double>, mu double")
 
 
 def final_states(df: DataFrame, lev_sm: float, slp_sm: float, theta: float) -> DataFrame:

@@ -439,13 +439,6 @@ def e8(spark, d):
     return estimate.fit_map(_sales(spark, d), iterations=60).select("series_id", "sigma_h", "sigma_level", "sigma_season", "loss")
 
 
-@query("e9_map_forecast", "SELECT series_id, t, round(exp(1.5 + 0.1 * (t % 2) + 0.5 * (0.04 + 0.01 * (t % 2) + 0.09)) * n, 4) AS forecast FROM (VALUES ('a', 10.0::DOUBLE), ('b', 20.0)) s(series_id, n) CROSS JOIN (SELECT unnest(generate_series(0, 27)) AS t)")
-def e9(spark, d):
-    fits = spark.createDataFrame([("a", 0.3, [1.5, 0.1], [0.04, 0.01], 10.0), ("b", 0.3, [1.5, 0.1], [0.04, 0.01], 20.0)], "series_id string, sigma_h double, a_last array<double>, p_last array<double>, response_norm double")
-    future = spark.range(28).select(F.col("id").alias("t"), F.array(F.lit(1.0), (F.col("id") % 2).cast("double")).alias("z"))
-    return estimate.forecast_map(fits, future).select("series_id", "t", r(F.col("forecast"), "forecast", 4))
-
-
 @query("e12_mmm_ekf")
 def e12(spark, d):
     p = ft.mean_normalised(events(spark, d), ["series_id"], ["y"]).withColumns({"z0": F.lit(1.0), "z1": F.abs(F.sin(F.col("t")))})
@@ -466,28 +459,6 @@ def e14(spark, d):
     return scoring.sliding_windows(events(spark, d), ["series_id"], "t", "y", 7).select("series_id", "t", F.col("span")[0].alias("first_y"), F.col("span")[6].alias("last_y"))
 
 
-_SPANS = f"WITH {EV}, s AS (SELECT a.series_id, a.t, b.t - a.t AS h, (b.y - a.y) / 1000 AS e FROM ev a JOIN ev b ON a.series_id = b.series_id AND b.t BETWEEN a.t AND a.t + 4 WHERE a.t <= (SELECT max(t) - 4 FROM ev c WHERE c.series_id = a.series_id))"
-
-
-def _span_errors(spark, d) -> DataFrame:
-    """A forecast that holds the component (here the value itself) flat over the horizon."""
-    e = events(spark, d)
-    w = scoring.sliding_windows(e, ["series_id"], "t", "y", 5)
-    return w.select("series_id", "t", F.posexplode("span").alias("h", "later"), "y").select("series_id", "t", F.col("h").cast("long").alias("h"), ((F.col("later") - F.col("y")) / 1000).alias("e"))
-
-
-@query("e15_e16_span_log_likelihood", _SPANS + " SELECT series_id, t, h, round(-0.5 * (ln(2 * pi()) + 2 * ln(0.8) + (e / 0.8) * (e / 0.8)), 6) AS log_likelihood FROM s")
-def e15(spark, d):
-    ll = -0.5 * (F.log(2 * F.pi()) + 2 * F.log(F.lit(0.8)) + (F.col("e") / 0.8) * (F.col("e") / 0.8))
-    return _span_errors(spark, d).select("series_id", "t", "h", r(ll, "log_likelihood"))
-
-
-@query("e17_wbic", _SPANS + " SELECT series_id, round(-ln(count(*)) * avg(-0.5 * (ln(2 * pi()) + 2 * ln(0.8) + (e / 0.8) * (e / 0.8))), 6) AS wbic FROM s GROUP BY series_id")
-def e17(spark, d):
-    ll = -0.5 * (F.log(2 * F.pi()) + 2 * F.log(F.lit(0.8)) + (F.col("e") / 0.8) * (F.col("e") / 0.8))
-    return _span_errors(spark, d).groupBy("series_id").agg((-F.log(F.count("*")) * F.avg(ll)).alias("w")).select("series_id", r(F.col("w"), "wbic"))
-
-
 @query("e18_e19_tuned")
 def e19(spark, d):
     out = estimate.tune_dlt(_with_x(spark, d), trials=6, refine=3, regressors=_X, scheme=_scheme(), horizon=7)
@@ -511,12 +482,6 @@ def a1(spark, d):
     return scoring.grouped_sums(_geo(spark, d), ["region", "segment"], ["v"]).select("region", "segment", r(F.col("v"), "v", 2))
 
 
-@query("a2_hierarchy", f"WITH {_GEO} SELECT CASE grouping(region, nation, segment) WHEN 7 THEN 1 WHEN 3 THEN 2 WHEN 6 THEN 3 WHEN 5 THEN 4 WHEN 2 THEN 5 ELSE 6 END AS level, region, nation, segment, round(sum(v), 2) AS v FROM geo GROUP BY GROUPING SETS ((), (region), (segment), (nation), (region, segment), (nation, segment))")
-def a2(spark, d):
-    out = scoring.hierarchy_sums(_geo(spark, d).select("region", "nation", "segment", "v"), [[], ["region"], ["segment"], ["nation"], ["region", "segment"], ["nation", "segment"]], [], ["v"])
-    return out.select("level", "region", "nation", "segment", r(F.col("v"), "v", 2))
-
-
 @query("a3_a4_ribbons", "SELECT event_type, user_id, round(quantile_cont(value, 0.05), 6) AS q05, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.95), 6) AS q95 FROM events GROUP BY event_type, user_id")
 def a4(spark, d):
     q = scoring.quantiles(table(spark, d, "events"), ["event_type", "user_id"], "value")
@@ -671,13 +636,6 @@ def j4(spark, d):
     return align_by_id(s, table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.round(2 * F.col("s_acctbal"), 2).alias("b")), "id")
 
 
-@query("j9_s16_attribution", f"WITH {EV}, c AS (SELECT series_id, ds, y * (1 + t % 3) AS c FROM ev) SELECT series_id, CAST(floor(date_diff('day', (SELECT min(ds) FROM ev), ds) / 7) AS BIGINT) AS week, round(sum(c), 4) AS c FROM c GROUP BY 1, 2")
-def j9(spark, d):
-    e = events(spark, d)
-    z = e.select("series_id", "t", (1 + F.col("t") % 3).alias("z"))
-    return scoring.weekly(e.join(z, ["series_id", "t"]).withColumn("c", F.col("y") * F.col("z")), ["series_id"], "ds", "c").select("series_id", "week", r(F.col("c"), "c", 4))
-
-
 def _wr(spark, d) -> tuple[DataFrame, DataFrame]:
     """Daily sales of region and segment over all days; the last 28 are there to be forecast."""
     x = _geo(spark, d).groupBy("region", "segment", "ds").agg(F.round(F.sum("v") / 1000, 6).alias("y")).withColumn("series_id", F.struct("region", "segment"))
@@ -690,6 +648,8 @@ def _wr(spark, d) -> tuple[DataFrame, DataFrame]:
     return train, valid.join(mean, ["region", "segment"])
 
 
+#: Weighed by dollars; bias_pct is that of each group's own relative bias.
+_WR_OUT = "SELECT level, count(*) AS n_series, round(sum(w * r), 6) AS wrmsse, round(avg(r), 6) AS mean_rmsse, round(sum(w * a), 4) AS actual_mean, round(sum(w * f), 4) AS forecast_mean, round(sum(w * (f - a)), 4) AS bias_signed, round(sum(w * 100 * (f - a) / CASE WHEN a = 0 THEN 1 ELSE a END), 4) AS bias_pct FROM g GROUP BY level"
 _WR_SQL = f"""WITH {_GEO}, x0 AS (SELECT region, segment, ds, round(sum(v) / 1000, 6) AS sales FROM geo GROUP BY ALL),
 x AS (SELECT region, segment, date_diff('day', (SELECT min(ds) FROM x0), ds) AS t, sales FROM x0),
 n AS (SELECT max(t) + 1 - 28 AS n FROM x),
@@ -701,20 +661,72 @@ s AS (SELECT level, k, t, sum(sales) AS sales, sum(forecast) AS forecast FROM ta
 d AS (SELECT level, k, sales - lag(sales) OVER (PARTITION BY level, k ORDER BY t) AS d FROM s WHERE t < (SELECT n FROM n)),
 sc AS (SELECT level, k, CASE WHEN avg(d * d) > 0 THEN avg(d * d) ELSE 1 END AS scale FROM d GROUP BY ALL),
 w AS (SELECT level, k, sum(sales * price) AS dollars FROM tagged WHERE t >= (SELECT n FROM n) - 28 AND t < (SELECT n FROM n) GROUP BY ALL),
-e AS (SELECT level, k, avg((forecast - sales) * (forecast - sales)) AS mse, avg(sales) AS a, avg(forecast) AS f FROM s WHERE t >= (SELECT n FROM n) GROUP BY ALL)
-SELECT level, round(CASE WHEN sum(dollars) > 0 THEN sum(sqrt(mse) / sqrt(scale) * dollars) / sum(dollars) ELSE avg(sqrt(mse) / sqrt(scale)) END, 6) AS wrmsse, round(avg(sqrt(mse) / sqrt(scale)), 6) AS mean_rmsse, round(avg(f) - avg(a), 4) AS bias_signed FROM e JOIN sc USING (level, k) JOIN w USING (level, k) GROUP BY level"""
+e AS (SELECT level, k, avg((forecast - sales) * (forecast - sales)) AS mse, avg(sales) AS a, avg(forecast) AS f FROM s WHERE t >= (SELECT n FROM n) GROUP BY ALL),
+g AS (SELECT level, sqrt(mse) / sqrt(scale) AS r, a, f, dollars / sum(dollars) OVER (PARTITION BY level) AS w FROM e JOIN sc USING (level, k) JOIN w USING (level, k))
+{_WR_OUT}"""
+
+
+def _wr_out(out: DataFrame) -> DataFrame:
+    return out.select("level", "n_series", r(F.col("wrmsse"), "wrmsse"), r(F.col("mean_rmsse"), "mean_rmsse"), *(r(F.col(c), c, 4) for c in ("actual_mean", "forecast_mean", "bias_signed", "bias_pct")))
 
 
 @query("s9_s10_wrmsse", _WR_SQL)
 def s10(spark, d):
-    out = scoring.wrmsse(*_wr(spark, d), [[], ["region"], ["region", "segment"]], ["region", "segment"])
-    return out.select("level", r(F.col("wrmsse"), "wrmsse"), r(F.col("mean_rmsse"), "mean_rmsse"), r(F.col("bias_signed"), "bias_signed", 4))
+    return _wr_out(scoring.wrmsse(*_wr(spark, d), [[], ["region"], ["region", "segment"]], ["region", "segment"]))
+
+
+#: The twelve levels of a retail hierarchy, and what lies in what.
+LEVELS = [[], ["state"], ["store"], ["cat"], ["dept"], ["state", "cat"], ["state", "dept"], ["store", "cat"], ["store", "dept"], ["item"], ["item", "state"], ["item", "store"]]
+WITHIN = {"store": "state", "dept": "cat", "item": "dept"}
+KEYS = ["state", "store", "cat", "dept", "item"]
+_SHOP = "shop AS (SELECT r_name AS state, n_name AS store, 'c' || (o_orderkey % 6) // 4 AS cat, 'd' || (o_orderkey % 6) // 2 AS dept, 'i' || o_orderkey % 6 AS item, CAST(o_orderdate AS DATE) AS ds, o_totalprice / 1000 AS v FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+
+
+def _shop(spark, d) -> DataFrame:
+    """Orders as the sales of items (of six, in three departments and two categories) in nations."""
+    nation = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    c = table(spark, d, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    o = table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    i = F.col("o_orderkey") % 6
+    name = lambda letter, of: F.concat(F.lit(letter), F.floor(i / of).cast("string"))
+    return o.select(F.col("r_name").alias("state"), F.col("n_name").alias("store"), name("c", 4).alias("cat"), name("d", 2).alias("dept"), name("i", 1).alias("item"), F.to_date("o_orderdate").alias("ds"), (F.col("o_totalprice") / 1000).alias("v"))
+
+
+_SETS = ", ".join(f"({', '.join(lv)})" for lv in LEVELS)
+_CODE = "CASE grouping(state, store, cat, dept, item) " + " ".join(f"WHEN {sum(1 << 4 - p for p, k in enumerate(KEYS) if k not in lv)} THEN {i}" for i, lv in enumerate(LEVELS, 1)) + " END"
+
+
+@query("a2_hierarchy", f"WITH {_SHOP} SELECT {_CODE} AS level, state, store, cat, dept, item, round(sum(v), 2) AS v FROM shop GROUP BY GROUPING SETS ({_SETS})")
+def a2(spark, d):
+    out = scoring.hierarchy_sums(_shop(spark, d).drop("ds"), LEVELS, [], ["v"], WITHIN)
+    return out.select("level", *KEYS, r(F.col("v"), "v", 2))
+
+
+def _weeks(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Weekly sales of items in stores over all weeks; the last 28 are forecast by the mean of the others."""
+    x = _shop(spark, d)
+    ends = x.agg(F.min("ds").alias("lo"), F.max("ds").alias("hi"))
+    week = F.floor(F.datediff("ds", "lo") / 7).cast("long")
+    sums = x.crossJoin(F.broadcast(ends)).groupBy(*KEYS, week.alias("t")).agg(F.round(F.sum("v"), 6).alias("v"))
+    weeks = ends.select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.datediff("hi", "lo") / 7).cast("long"))).alias("t"), F.floor(F.datediff("hi", "lo") / 7).alias("last"))
+    series = sums.select(*KEYS).distinct().crossJoin(F.broadcast(weeks))
+    full = series.join(sums, [*KEYS, "t"], "left").withColumns({"sales": F.coalesce("v", F.lit(0.0)), "price": 1.0 + F.length("store") / 10})
+    full = saved(full.select(*KEYS, "t", "sales", "price", (F.col("last") - F.col("t")).alias("left")), scratch(spark, "weeks"))
+    train, valid = full.filter("left >= 28").drop("left"), full.filter("left < 28").drop("left")
+    mean = train.groupBy("item", "store").agg(F.round(F.avg("sales"), 6).alias("forecast"))
+    return train, valid.join(mean, ["item", "store"])
+
+
+_WEEKS = f"""{_SHOP}, ends AS (SELECT min(ds) AS lo, max(ds) AS hi FROM shop), sums AS (SELECT state, store, cat, dept, item, CAST(floor(date_diff('day', lo, ds) / 7) AS BIGINT) AS t, round(sum(v), 6) AS v FROM shop CROSS JOIN ends GROUP BY ALL),
+wk AS (SELECT unnest(generate_series(0, (SELECT CAST(floor(date_diff('day', lo, hi) / 7) AS BIGINT) FROM ends))) AS t), n AS (SELECT max(t) + 1 - 28 AS n FROM wk),
+full_ AS (SELECT k.*, wk.t, coalesce(s.v, 0.0) AS sales, 1.0 + CAST(length(k.store) AS DOUBLE) / 10 AS price FROM (SELECT DISTINCT state, store, cat, dept, item FROM sums) k CROSS JOIN wk LEFT JOIN sums s ON s.store = k.store AND s.item = k.item AND s.t = wk.t),
+fc AS (SELECT item, store, round(avg(sales), 6) AS forecast FROM full_ WHERE t < (SELECT n FROM n) GROUP BY ALL),
+tagged AS ({" UNION ALL ".join(f"SELECT {i} AS level, {" || '|' || ".join(lv) or "''"} AS k, t, sales, price, forecast FROM full_ JOIN fc USING (item, store)" for i, lv in enumerate(LEVELS, 1))})"""
 
 
-@query("s15_predictive_interval", f"WITH {_DRAWS} SELECT series_id, round(quantile_cont(exp(value / 500) * 3, 0.05), 6) AS q05, round(quantile_cont(exp(value / 500) * 3, 0.5), 6) AS q50, round(quantile_cont(exp(value / 500) * 3, 0.95), 6) AS q95 FROM draws GROUP BY series_id")
-def s15(spark, d):
-    x = scoring.quantiles(_draws(spark, d).withColumn("f", F.exp(F.col("value") / 500) * 3), ["series_id"], "f")
-    return x.select("series_id", *(r(F.col(c), c) for c in ("q05", "q50", "q95")))
+@query("s10_wrmsse_twelve_levels", f"WITH {_WEEKS}, " + _WR_SQL[_WR_SQL.index("s AS (SELECT level, k, t, sum") :])
+def s10w(spark, d):
+    return _wr_out(scoring.wrmsse(*_weeks(spark, d), LEVELS, KEYS, within=WITHIN))
 
 
-from . import pipelines  # noqa: E402, F401  registers the others
+from . import pipelines, posteriors  # noqa: E402, F401  register the others

@@ -99,11 +99,27 @@ def dlt_sql(panel: str, lev_sm: float, slp_sm: float, theta: float, columns: str
     return f"WITH RECURSIVE {panel}, {scan} SELECT series_id, t, {columns} FROM scan"
 
 
-def gram_sql(events: str, lev_sm: float, slp_sm: float, theta: float) -> str:
-    """Gram sums of y / 1000 and of cos(t) less their trends, and the last levels of both."""
+def basis_cte(events: str, lev_sm: float, slp_sm: float, theta: float) -> str:
+    """``scan``: the trend over y / 1000 and over x = cos(t), with levels and slopes of both."""
     c, cx = (f"(f.level{k} + {_f(theta)} * f.slope{k})" for k in ("", "_x"))
     new, new_x = (f"({_f(lev_sm)} * p.{v} + {_f(1 - lev_sm)} * {k})" for v, k in (("y", c), ("x", cx)))
     panel = f"{events}, panel AS (SELECT series_id, t, y / 1000 AS y, cos(t) AS x FROM ev)"
     step = f"SELECT p.series_id, p.t, p.y, p.x, {new}, {_f(slp_sm)} * ({new} - f.level) + {_f(1 - slp_sm)} * f.slope, {c}, {new_x}, {_f(slp_sm)} * ({new_x} - f.level_x) + {_f(1 - slp_sm)} * f.slope_x, {cx} FROM scan f JOIN panel p ON p.series_id = f.series_id AND p.t = f.t + 1"
-    scan = f"scan AS (SELECT series_id, t, y, x, y AS level, {_f(0.0)} AS slope, y AS c, x AS level_x, {_f(0.0)} AS slope_x, x AS c_x FROM panel WHERE t = 0 UNION ALL {step})"
-    return f"WITH RECURSIVE {panel}, {scan} SELECT series_id, round(sum((y - c) * (y - c)), 4) AS yy, round(sum((y - c) * (x - c_x)), 4) AS xy, round(sum((x - c_x) * (x - c_x)), 4) AS xx, round(max_by(level, t), 4) AS level, round(max_by(level_x, t), 4) AS level_x FROM scan GROUP BY series_id"
+    return f"{panel}, scan AS (SELECT series_id, t, y, x, y AS level, {_f(0.0)} AS slope, y AS c, x AS level_x, {_f(0.0)} AS slope_x, x AS c_x FROM panel WHERE t = 0 UNION ALL {step})"
+
+
+def gram_sql(*args) -> str:
+    """Gram sums of y / 1000 and of cos(t) less their trends, and the last levels of both."""
+    return f"WITH RECURSIVE {basis_cte(*args)} SELECT series_id, round(sum((y - c) * (y - c)), 4) AS yy, round(sum((y - c) * (x - c_x)), 4) AS xy, round(sum((x - c_x) * (x - c_x)), 4) AS xx, round(max_by(level, t), 4) AS level, round(max_by(level_x, t), 4) AS level_x FROM scan GROUP BY series_id"
+
+
+def ahead_cte(lev_sm: float, slp_sm: float, theta: float, end_step: int, seen: str) -> str:
+    """``ahead``: from the last states of ``scan`` under the draws ``dr`` on to ``end_step``; each step takes
+    on its own forecast or, where the condition in ``seen`` ('condition|value') holds, a value."""
+    when, value = seen.split("|")
+    c = f"(level + {_f(theta)} * slope)"
+    told = f"CASE WHEN {when} THEN {value} ELSE c END"
+    new = f"({_f(lev_sm)} * {told} + {_f(1 - lev_sm)} * c)"
+    step = f"SELECT series_id, chain, draw, t, {new}, {_f(slp_sm)} * ({new} - level) + {_f(1 - slp_sm)} * slope, c FROM (SELECT series_id, chain, draw, t + 1 AS t, level, slope, {c} AS c FROM ahead WHERE t + 1 < {end_step})"
+    start = f"SELECT series_id, chain, draw, t, level - coef * level_x AS level, slope - coef * slope_x AS slope, {_f(0.0)} AS c FROM scan JOIN (SELECT series_id, max(t) AS t FROM scan GROUP BY series_id) USING (series_id, t) CROSS JOIN dr"
+    return f"ahead AS ({start} UNION ALL {step})"

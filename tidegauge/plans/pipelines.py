@@ -38,13 +38,6 @@ def i3(spark, d):
     return spark.read.parquet(path).select("series_id", "ds", "y", "split")
 
 
-@query("i4_s12_saved_parameters")
-def i4(spark, d):
-    sales = c._sales(spark, d)
-    params = src.saved(estimate.fit_map(sales, iterations=30).select("series_id", "sigma_h", "sigma_level", "sigma_season"), scratch(spark, "params"))
-    return estimate.refilter(sales, params)
-
-
 @query("i7_b3_configured_sample", "SELECT o_custkey, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def i7(spark, d):
     config = RunConfig.from_arguments(["--n-series", "10", "--sample-mode", "top"])
@@ -55,15 +48,6 @@ def i7(spark, d):
 # ---------------------------------------------------------------- draws under the filter
 
 
-@query("k17_smoothed_draws")
-def k17(spark, d):
-    draws = spark.createDataFrame([(0, 0, 0.6, [0.2, 0.05, 0.04]), (0, 1, 0.5, [0.3, 0.05, 0.04]), (1, 0, 0.7, [0.1, 0.02, 0.04])], "chain int, draw int, sigma_h double, sigma_q array<double>")
-    p = c._panel(spark, d)
-    each = p.select("series_id").distinct().crossJoin(F.broadcast(draws))
-    out = scan.smoothed_draws(p, each, c._A0, c._P0)
-    return out.select("series_id", "chain", "draw", "t", F.round("mu", 6).alias("mu"))
-
-
 @query("k10_kalman_st_disclosed")
 def k10(spark, d):
     p = c._stacked(spark, d)
