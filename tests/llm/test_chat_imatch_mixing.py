@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
+import operator
 import random
 import re
 import warnings
@@ -178,10 +180,8 @@ def plain_print(text: str, band: set[str]) -> list[str]:
     out = []
     for j in range(imatch.LEVELS * imatch.PER_LEVEL):
         share = (2 << j // imatch.PER_LEVEL) - 1
-        drawn = sorted(h for h in map(plain_hash, own) if xx(j, 4, xx(h, 8)) & share == 0)
-        digest = 42
-        for h in drawn:
-            digest = xx(h, 8, digest)
+        drawn = [h for h in map(plain_hash, own) if xx(j, 4, xx(h, 8)) & share == 0]
+        digest = functools.reduce(operator.xor, drawn, 0)
         out.append(f"{digest % (1 << 64):016X}"[8:] if drawn else "")
     if text and not any(out):
         out[: imatch.PER_LEVEL] = [f"{plain_hash(text) % (1 << 64):016X}"[8:]] * imatch.PER_LEVEL

@@ -112,8 +112,9 @@ def fingerprints(docs: DataFrame, *, rarest: int = RAREST, commonest: int = COMM
 
     A text's terms are those in the band of inverse document frequency, or all of them where fewer
     than FEWEST of the band are among the first three quarters of its terms. A fingerprint is a digest
-    for each randomised lexicon: the hash of the sorted distinct terms that it has of the text, empty
-    without any. A text without any digest has the hash of the whole text (none if it is empty) as
+    for each randomised lexicon: a hash of the distinct terms that it has of the text, empty without
+    any. I-Match sorts the terms so that their hash does not depend on their order; here it is the
+    exclusive or of the terms' hashes, which has no order, so that one pass of sums makes all digests. A text without any digest has the hash of the whole text (none if it is empty) as
     those of the first level. Fingerprints depend on text and lexicon alone.
 
     The edited text has its last quarter (floor of n_chars / 4 code points) replaced by the start of
@@ -137,16 +138,23 @@ def fingerprints(docs: DataFrame, *, rarest: int = RAREST, commonest: int = COMM
     each = each.select("bucket", "place", "which", *once[:-1], F.when(F.col("body") != "", F.xxhash64("body")).alias("whole"), terms(F.col("body")).alias("terms"))
     each = each.withColumn("size", F.size("terms")).select("*", F.posexplode("terms").alias("at", "term")).drop("terms")
     # what is a text's own goes with one of its rows alone: all are sorted
-    each = each.select("bucket", "place", "which", term_hash(F.col("term")).alias("h"), (F.col("at") < F.col("size") - F.floor(F.col("size") / F.lit(4))).alias("early"), *(F.when(F.col("at") == 0, F.col(c)).alias(c) for c in once), (F.col("at") == 0).alias("head"))
+    each = each.select("bucket", "place", "which", term_hash(F.col("term")).alias("h"), (F.col("at") < F.col("size") - F.floor(F.col("size") / F.lit(4))).alias("early"), *(F.when(F.col("at") == 0, F.col(c)).alias(c) for c in once))
     each = each.join(known, "h", "left")
-    own = Window.partitionBy("bucket", "place", "which")
-    each = each.withColumn("poor", F.count_if(F.col("early") & F.col("band")).over(own) < FEWEST).filter("head or band or poor")
-    used = F.when(F.col("band") | F.col("poor"), F.col("h"))
-    digests = [F.sort_array(F.collect_set(F.when(in_sub_lexicon(F.col("h"), j), used))) for j in range(LEVELS * PER_LEVEL)]
-    grouped = each.groupBy("bucket", "place", "which").agg(*(d.alias(f"d{j}") for j, d in enumerate(digests)), *(F.max(c).alias(c) for c in once))
-    printed = grouped.select("bucket", "place", "which", *once, *(F.when(F.size(f"d{j}") > 0, _hex(F.xxhash64(f"d{j}"))).otherwise("").alias(f"d{j}") for j in range(LEVELS * PER_LEVEL)))
-    bare = F.col("whole").isNotNull() & (F.concat(*(F.col(f"d{j}") for j in range(LEVELS * PER_LEVEL))) == "")
-    print_of = F.array(*(F.when(bare, _hex(F.col("whole"))).otherwise(F.col(f"d{j}")) if j < PER_LEVEL else F.col(f"d{j}") for j in range(LEVELS * PER_LEVEL)))
+    bit = lambda j: F.lit(1 << j).cast("long")
+    drawn = F.lit(0).cast("long")
+    for j in range(LEVELS * PER_LEVEL):
+        drawn = drawn + F.when(in_sub_lexicon(F.col("h"), j), bit(j)).otherwise(0)
+    each = each.withColumns({"drawn": F.when(F.col("h").isNotNull(), drawn).otherwise(0), "band": F.coalesce("band", F.lit(False))})
+    has = lambda j: F.col("drawn").bitwiseAND(1 << j) != 0
+    of_band = [F.bit_xor(F.when(has(j) & F.col("band"), F.col("h"))).alias(f"b{j}") for j in range(LEVELS * PER_LEVEL)]
+    of_all = [F.bit_xor(F.when(has(j), F.col("h"))).alias(f"a{j}") for j in range(LEVELS * PER_LEVEL)]
+    early = F.count_if(F.col("early") & F.col("band")).alias("early")
+    grouped = each.groupBy("bucket", "place", "which").agg(early, *of_band, *of_all, *(F.max(c).alias(c) for c in once))
+    poor = F.col("early") < FEWEST
+    digests = [F.coalesce(_hex(F.when(poor, F.col(f"a{j}")).otherwise(F.col(f"b{j}"))), F.lit("")) for j in range(LEVELS * PER_LEVEL)]
+    printed = grouped.select("bucket", "place", "which", *once, F.array(*digests).alias("d"))
+    bare = F.col("whole").isNotNull() & (F.array_max("d") == "")
+    print_of = F.when(bare, F.concat(F.array_repeat(_hex(F.col("whole")), PER_LEVEL), F.slice("d", PER_LEVEL + 1, (LEVELS - 1) * PER_LEVEL))).otherwise(F.col("d"))
     printed = printed.select("bucket", "place", "which", *once[:-1], print_of.alias("a"))
     order = Window.partitionBy("bucket").orderBy("place", "which")  # a text, its edited text, the next text
     after = printed.withColumns({"b": F.lead("a", 1).over(order), "c": F.lead("a", 2).over(order)}).filter("which = 0 and not ghost")
