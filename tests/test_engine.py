@@ -295,6 +295,175 @@ def test_wbic_by_hand():
     assert np.isfinite(estimate.wbic(y, c, np.zeros((1, 4)), np.array([0.5]), 1))
 
 
+def test_seasonal_gradient_and_bounds(spark):
+    """Seven states of which a step sees two; bounds hold for what a fit gives."""
+    rng = np.random.default_rng(6)
+    y, z = rng.normal(0, 0.3, (3, 40)), estimate.season_design(np.arange(3, 43), 7, True)
+    theta = rng.normal(-2, 0.3, (3, 3))
+    loss, g = estimate._loss_gradient(theta, y, z)
+    sigma = np.logaddexp(0, theta)
+    q = np.column_stack([sigma[:, 1:2], np.repeat(sigma[:, 2:], 6, 1)])
+    assert np.allclose(loss, -kernels.kalman_filter(y, z, np.zeros(7), np.ones(7), sigma[:, 0], q)["log_p"])
+    for j in range(3):
+        e = np.zeros((3, 3))
+        e[:, j] = 1e-5
+        central = (estimate._loss_gradient(theta + e, y, z)[0] - estimate._loss_gradient(theta - e, y, z)[0]) / 2e-5
+        assert np.allclose(g[:, j], central, rtol=1e-5, atol=1e-6)
+    sales = spark.createDataFrame([("s", t, float(abs(rng.normal(5, 3)))) for t in range(40)], "series_id string, t long, sales double")
+    r = estimate.fit_map(sales, iterations=30, bounds=((0.35, 0.4), (0.01, 0.02), (0.05, 0.06))).first()
+    assert 0.35 <= r.sigma_h <= 0.4 + 1e-12 and 0.01 - 1e-12 <= r.sigma_level <= 0.02 and 0.05 - 1e-12 <= r.sigma_season <= 0.06 + 1e-12
+
+
+def exchanges(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_fits_shuffle_their_panel_once(spark):
+    _, df = regression(spark)
+    z = df.withColumns({"z": F.array(F.lit(1.0)), "z0": F.lit(1.0), "sales": F.col("y")})
+    draws = spark.createDataFrame([("s", 0, d, 0.3, [0.2]) for d in range(3)], "series_id string, chain int, draw int, sigma_h double, sigma_q array<double>")
+    params = spark.createDataFrame([("s", 0.3, 0.1, 0.1)], "series_id string, sigma_h double, sigma_level double, sigma_season double")
+    assert exchanges(estimate.tune_dlt(df, trials=4, refine=2, regressors=["x"])) == 1
+    assert exchanges(estimate.fit_mcmc(z, ["z0"], warmup=2, draws=2)) == 1
+    assert exchanges(estimate.refilter(z, params)) == 1
+    assert exchanges(scan.smoothed_draws(z, draws, [0.0], [1.0])) == 2  # the history's and the draws'
+
+
+def test_chains_do_not_meet(spark):
+    """A series' draws are the same whatever series come with it."""
+    rng = np.random.default_rng(8)
+    rows = [(f"s{i}", t, float(rng.normal(i)), 1.0) for i in range(3) for t in range(25)]
+    df = spark.createDataFrame(rows, SERIES + ", z0 double")
+    kw = {"warmup": 15, "draws": 5, "chains": 2}
+    both = {(r.series_id, r.chain, r.draw): (r.sigma_h[0], r.log_p) for r in estimate.fit_mcmc(df, ["z0"], **kw).collect()}
+    one = {(r.series_id, r.chain, r.draw): (r.sigma_h[0], r.log_p) for r in estimate.fit_mcmc(df.filter("series_id = 's1'"), ["z0"], **kw).collect()}
+    assert len(both) == 30 and len(one) == 10 and all(both[k] == pytest.approx(v) for k, v in one.items())
+    h, q = estimate.fit_mcmc(df, ["z0"], **kw).filter("series_id = 's2' and chain = 1 and draw = 4").select("sigma_h", "sigma_q").first()
+    direct = kernels.kalman_filter(np.array([[v for s, _, v, _ in rows if s == "s2"]]), np.ones((25, 1)), [0.0], [1.0], h[0], q)
+    assert both["s2", 1, 4][1] == pytest.approx(float(direct["log_p"][0]))
+
+
+def test_metropolis_is_the_grid_posterior():
+    rngs = [np.random.default_rng(i) for i in range(6)]
+    got = estimate.adaptive_metropolis(lambda x: -0.5 * (((x - [1.0, -2.0]) / [0.5, 2.0]) ** 2).sum(1), np.zeros((6, 2)), rngs, 500, 3000)
+    assert got.mean((0, 1)) == pytest.approx([1.0, -2.0], abs=0.15) and got.std((0, 1)) == pytest.approx([0.5, 2.0], rel=0.1)
+
+
+def test_level_with_outer_regression(spark):
+    rng = np.random.default_rng(9)
+    level, rows = np.cumsum(rng.normal(0, 0.05, 90)), []
+    for t in range(90):
+        x, w = float(rng.normal()), float(rng.normal())
+        rows.append(("s", t, float(level[t] + 0.7 * x - 1.2 * w + rng.normal(0, 0.05)), x, w))
+    df = spark.createDataFrame(rows, SERIES + ", x double, w double")
+    fits = estimate.fit_level_regression(df, ["x", "w"], warmup=60, draws=60, chains=2).cache()
+    r = fits.agg(F.avg(F.col("beta")[0]).alias("x"), F.avg(F.col("beta")[1]).alias("w"), F.count("*").alias("n")).first()
+    assert (r.x, r.w) == pytest.approx((0.7, -1.2), abs=0.05) and r.n == 120
+    # the likelihood with the coefficients integrated out, as one dense Gaussian: a level of variance
+    # 1 + q^2 t at step t, coefficients of variance 100
+    first = fits.first()
+    t = np.arange(90)
+    x = np.array([[a, b] for *_, a, b in rows])
+    cov = 1 + first.sigma_q**2 * np.minimum(t[:, None], t) + 100 * x @ x.T + first.sigma_h**2 * np.eye(90)
+    y = np.array([v for _, _, v, _, _ in rows])
+    assert first.log_p == pytest.approx(-0.5 * (90 * math.log(2 * math.pi) + np.linalg.slogdet(cov)[1] + y @ np.linalg.solve(cov, y)), abs=1e-6)
+    mean = estimate.level_regression_mean(df, fits.filter("chain = 0 and draw < 2"), ["x", "w"]).collect()
+    assert len(mean) == 180 and np.mean([abs(m.mu - y[m.t]) for m in mean]) < 0.2
+    last = {(m.chain, m.draw): m.level for m in mean if m.t == 89}
+    assert all(last[f.chain, f.draw] == pytest.approx(f.a_last) for f in fits.filter("chain = 0 and draw < 2").collect())
+
+
+def test_trend_with_a_global_line(spark):
+    rng = np.random.default_rng(10)
+    rows = [("s", t, 0.5 + 1.2 * t / 100 + 0.3 * math.cos(t) + float(rng.normal(0, 0.05)), t / 100, math.cos(t)) for t in range(100)]
+    df = spark.createDataFrame(rows, SERIES + ", glb double, c double")
+    fits = estimate.fit_dlt_global(df, 0.05, 0.05, 0.5, seasonal=["c"], warmup=80, draws=80, chains=2)
+    r = fits.agg(F.avg(F.col("coef")[0]).alias("c"), F.max("sigma").alias("s"), F.first("regressors").alias("names")).first()
+    assert r.names == ["c", "glb", "one"] and r.c == pytest.approx(0.3, abs=0.05) and r.s < 0.2
+
+
+def test_spans_are_windows_in_numpy(spark):
+    rows, df = regression(spark, gaps=(7, 60))
+    found = estimate.basis(df, 0.1, 0.05, 0.8, ["w", "x"])
+    points = spark.createDataFrame([("s", 0, 0, 0.4, [-0.8, 1.4]), ("s", 0, 1, 0.6, [-0.7, 1.6])], "series_id string, chain int, draw int, sigma double, coef array<double>")
+    fitted = estimate.in_sample(points, found).cache()
+    out = estimate.span_log_likelihood(estimate.forecast_spans(fitted, 6))
+    y = np.array([np.nan if v is None else v for _, _, v, _, _ in rows])
+    each = {d: sorted((r.t, r.component, r.reg_total) for r in fitted.filter(F.col("draw") == d).collect()) for d in (0, 1)}
+    component, reg = (np.array([[r[k] for r in each[d]] for d in (0, 1)]) for k in (1, 2))
+    assert out.count() == 2 * 115 * 6
+    assert estimate.wbic_of_spans(out).first().wbic == pytest.approx(estimate.wbic(y, component, reg, np.array([0.4, 0.6]), 6))
+    joint = {r.draw: r for r in estimate.log_joint(estimate.gram(found, 2), points, ["w", "x"], [["-", "="], [-1.0, 0.0], [1.0, 2.0]]).collect()}
+    for r in points.collect():
+        rest = np.array([v.resid for v in fitted.filter(F.col("draw") == r.draw).orderBy("t").collect() if v.resid is not None], float)
+        assert joint[r.draw].log_likelihood == pytest.approx(float((-0.5 * math.log(2 * math.pi) - math.log(r.sigma) - 0.5 * (rest / r.sigma) ** 2).sum()))
+        normal = lambda v, m, s: -0.5 * math.log(2 * math.pi) - math.log(s) - 0.5 * ((v - m) / s) ** 2
+        mass = 0.5 * math.erfc(-1.0 / math.sqrt(2))  # of N(-1, 1) under 0
+        assert joint[r.draw].log_prior == pytest.approx(normal(r.coef[0], -1, 1) - math.log(mass) + normal(r.coef[1], 0, 2) + math.log(2) + normal(r.sigma, 0, 5))
+
+
+# ---------------------------------------------------------------- hierarchies and whole tables
+
+
+def retail(seed: int = 3):
+    rng, rows = np.random.default_rng(seed), []
+    for i in range(6):
+        for st in range(4):
+            zero = i == 2
+            for t in range(20):
+                rows.append((f"st{st // 2}", f"w{st}", f"c{i // 4}", f"d{i // 2}", f"i{i}", t, 0.0 if zero or rng.random() < 0.2 else float(rng.integers(1, 9)), None if (i, st, t) == (3, 1, 13) else float(1 + i)))
+    return rows
+
+
+def test_twelve_levels_by_hand(spark):
+    """Scores and bias by dollars in NumPy, with a series that sells nothing and one without a price."""
+    from tidegauge.plans.catalog import KEYS, LEVELS, WITHIN
+
+    rows, h = retail(), 5
+    df = spark.createDataFrame(rows, "state string, store string, cat string, dept string, item string, t int, sales double, price double")
+    train, valid = df.filter("t < 15"), df.filter("t >= 15").withColumn("forecast", F.lit(3.0) + F.length("item"))
+    sales, price = {}, {}
+    for *k, t, s, p in rows:
+        sales.setdefault(tuple(k), []).append(s)
+        price.setdefault(tuple(k), []).append(p)
+    dollars = {k: 0.0 if None in price[k][10:15] else sum(s * p for s, p in zip(v[10:15], price[k][10:15], strict=True)) for k, v in sales.items()}
+    for within in (None, WITHIN):
+        got = {r.level: r for r in scoring.wrmsse(train, valid, LEVELS, KEYS, h, within).collect()}
+        for i, lv in enumerate(LEVELS, 1):
+            groups: dict = {}
+            for k in sales:
+                groups.setdefault(tuple(k[KEYS.index(c)] for c in lv), []).append(k)
+            stats = []
+            for own in groups.values():
+                y, f = sum(np.array(sales[k]) for k in own), 5.0 * len(own)
+                scale = np.mean(np.diff(y[:15]) ** 2) or 1.0
+                a = y[15:].mean()
+                stats.append((sum(dollars[k] for k in own), math.sqrt(np.mean((f - y[15:]) ** 2) / scale), a, f, f - a, 100 * (f - a) / (a or 1.0)))
+            s = np.array(stats)
+            w = s[:, 0] / s[:, 0].sum()
+            want = [len(s), (w * s[:, 1]).sum(), s[:, 1].mean(), *(w @ s[:, 2:])]
+            assert [got[i][c] for c in ("n_series", "wrmsse", "mean_rmsse", "actual_mean", "forecast_mean", "bias_signed", "bias_pct")] == pytest.approx(want), (i, within)
+    none = scoring.wrmsse(train.withColumn("price", F.lit(None).cast("double")), valid, [[], ["item"]], KEYS, h).collect()
+    assert all(r.wrmsse == pytest.approx(r.mean_rmsse) for r in none)
+
+
+def test_levels_from_a_waist_are_grouping_sets(spark):
+    from tidegauge.plans.catalog import KEYS, LEVELS, WITHIN
+
+    df = spark.createDataFrame(retail(4), "state string, store string, cat string, dept string, item string, t int, sales double, price double")
+    rows = lambda within: sorted(map(str, scoring.hierarchy_sums(df, LEVELS, ["t"], ["sales"], within).select("level", *KEYS, "t", "sales").collect()))
+    assert rows(WITHIN) == rows(None) and len(rows(None)) == 20 * (1 + 2 + 4 + 2 + 3 + 4 + 6 + 8 + 12 + 6 + 12 + 24)
+
+
+def test_whole_quantiles_are_numpy(spark):
+    rng = np.random.default_rng(1)
+    for values in ([float(v) for v in rng.normal(size=500)], [1.0] * 40 + [2.0, 3.0], [5.0], [float(v) for v in rng.integers(0, 4, 300)]):
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "v double").repartition(5)
+        qs = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
+        assert scoring.whole_quantiles(df, "v", qs) == pytest.approx(np.quantile(values, qs).tolist())
+    assert scoring.whole_quantiles(df.limit(0), "v", [0.5]) == [None]
+
+
 # ---------------------------------------------------------------- scores, sources, stream
 
 

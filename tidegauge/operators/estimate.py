@@ -634,7 +634,7 @@ class NoisePrior:
         if self.family == "beta":
             mean = lambda p: p[2] * p[0] / (p[0] + p[1])
         else:
-            mean = lambda p: min(max(p[0], 1.01 * p[2]), 0.99 * p[3])
+            mean = lambda p: min(max(p[0], 0.5 * p[1], 1.01 * p[2]), 0.99 * p[3])
         return np.array([*[mean(self.h)] * m, mean(self.level), mean(self.other)])
 
 
