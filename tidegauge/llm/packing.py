@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import heapq
 import os
 import re
@@ -22,7 +23,7 @@ TIERS = (256, 512, 1024, 2048, 4096)
 BLOCK_TOKENS = 1 << 21
 #: Text bytes that are tokenised in one step, which takes some sixteen times as much memory.
 ENCODE_BYTES = 2 << 20
-#: Words whose ids a worker remembers, half of them as long as they keep occurring: speed alone.
+#: Words whose ids a task remembers, half of them as long as they keep occurring: speed alone.
 CACHE_WORDS = 400_000
 
 _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", "!-/:-@[-`{-~"
@@ -125,15 +126,11 @@ class WordEncoder:
         return np.frombuffer(taken.buffers()[2] or b"", np.uint32, int(until[-1]) // 4), np.diff(last, prepend=0) // 4
 
 
-#: The encoder that a worker used last, with the words that it remembers.
-_encoder: dict[tuple[str, int], WordEncoder] = {}
-
-
-def encoder(path: str, end_id: int) -> WordEncoder:
-    if (path, end_id) not in _encoder:
-        _encoder.clear()
-        _encoder[path, end_id] = WordEncoder(path, end_id)
-    return _encoder[path, end_id]
+def _give_back() -> None:
+    """Returns to the system what a task has freed: idle workers wait beside those at work."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 class Packer:
@@ -251,7 +248,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, tiers: tuple[int, ..
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
-        coder, packer = encoder(tokenizer_path, end_id), Packer(tiers)
+        coder, packer = WordEncoder(tokenizer_path, end_id), Packer(tiers)
         held: dict[int, tuple] = {}
         n_docs = n_seq = n_groups = tokens = 0
 
@@ -277,7 +274,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, tiers: tuple[int, ..
             names = [f.split()[0] for f in SCHEMA.split(", ")]
             yield from pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names).to_batches(4096)
 
-        pa.default_memory_pool().release_unused()  # what an earlier stage has left in this worker
+        _give_back()  # what an earlier stage has left in this worker
         for batch in batches:
             for part in blocks(batch, limit=ENCODE_BYTES):
                 ids, counts = coder.encode(texts_of(part))
@@ -295,5 +292,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, tiers: tuple[int, ..
                         held[doc] = (doc_id, own.copy())
         packer.pack(last=True)
         yield from out()
+        del coder, packer
+        held.clear()
+        _give_back()
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, SCHEMA)
