@@ -180,7 +180,7 @@ def plain_print(text: str, band: set[str]) -> list[str]:
     out = []
     for j in range(imatch.LEVELS * imatch.PER_LEVEL):
         share = (2 << j // imatch.PER_LEVEL) - 1
-        drawn = [h for h in map(plain_hash, own) if xx(j, 4, xx(h, 8)) & share == 0]
+        drawn = [h for h in map(plain_hash, own) if xx(j % imatch.PER_LEVEL, 4, xx(h, 8)) & share == 0]
         digest = functools.reduce(operator.xor, drawn, 0)
         out.append(f"{digest % (1 << 64):016X}"[8:] if drawn else "")
     if text and not any(out):

@@ -26,7 +26,8 @@ ROWS_PER_BUCKET, SAMPLED_PER_BUCKET = 4096, 32
 
 def terms(text: Column) -> Column:
     """The distinct lower-case terms of a text by first occurrence: runs between white space and ASCII
-    punctuation, with an empty one where the text begins or ends with such."""
+    punctuation, with an empty one where the text begins or ends with such. There is always one, so they
+    are exploded by the outer generators: before the others Spark puts a filter that splits all again."""
     return F.array_distinct(F.split(F.lower(text), r"[\s\p{Punct}]+"))
 
 
@@ -37,14 +38,20 @@ def term_hash(term: Column) -> Column:
 
 def lexicon(docs: DataFrame, total: int, rarest: int = RAREST, commonest: int = COMMONEST) -> DataFrame:
     """h: the (hashes of) terms of docs (text) in the band of inverse document frequency."""
-    each = docs.select(F.explode(terms(F.col("text"))).alias("term")).select(term_hash(F.col("term")).alias("h")).filter("h is not null")
+    each = docs.select(F.explode_outer(terms(F.col("text"))).alias("term")).select(term_hash(F.col("term")).alias("h")).filter("h is not null")
     idf = -F.log(F.col("count") / F.lit(float(max(total, 1))))
     return each.groupBy("h").count().filter((idf <= math.log(rarest)) & (idf >= math.log(commonest))).select("h")
 
 
-def in_sub_lexicon(h: Column, j: int) -> Column:
-    """Whether a term is drawn for randomised lexicon j; one of level l has one in 2**(l + 1) of the terms."""
-    return F.xxhash64(h, F.lit(j)).bitwiseAND((2 << j // PER_LEVEL) - 1) == 0
+def draws_of(h: Column) -> list[Column]:
+    """PER_LEVEL random numbers of a term, from which all its randomised lexicons are told."""
+    return [F.xxhash64(h, F.lit(k)) for k in range(PER_LEVEL)]
+
+
+def in_sub_lexicon(draws: list[Column], j: int) -> Column:
+    """Whether a term is drawn for randomised lexicon j; one of level l has one in 2**(l + 1) of the terms,
+    and the k-th of each level lies within that of the level before."""
+    return draws[j % PER_LEVEL].bitwiseAND((2 << j // PER_LEVEL) - 1) == 0
 
 
 def _numbers(values: list[int]) -> Column:
@@ -132,20 +139,18 @@ def fingerprints(docs: DataFrame, *, rarest: int = RAREST, commonest: int = COMM
     cut = F.floor(n / F.lit(4)).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.coalesce("next", F.lit("")), F.lit(1), cut))
     rows = rows.select("bucket", "place", "ghost", "doc_id", n.cast("long").alias("n_chars"), "text", F.when(F.col("ghost"), F.lit("")).otherwise(edited).alias("edited"))
-    rows = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    once = ("ghost", "doc_id", "n_chars", "edited_sha256", "whole")
+    # in four numbers: Spark's hash aggregation, which is compiled, takes buffers of fixed size alone
+    rows = rows.withColumn("sha", F.sha2(F.col("edited").cast("binary"), 256))
+    rows = rows.withColumns({f"sha{k}": F.conv(F.substring("sha", 16 * k + 1, 16), 16, -10).cast("long") for k in range(4)}).drop("sha")
+    once = ("ghost", "doc_id", "n_chars", "sha0", "sha1", "sha2", "sha3", "whole")
     each = rows.select("bucket", "place", *once[:-1], F.posexplode(F.array("text", "edited")).alias("which", "body"))
     each = each.select("bucket", "place", "which", *once[:-1], F.when(F.col("body") != "", F.xxhash64("body")).alias("whole"), terms(F.col("body")).alias("terms"))
-    each = each.withColumn("size", F.size("terms")).select("*", F.posexplode("terms").alias("at", "term")).drop("terms")
+    each = each.withColumn("size", F.size("terms")).select("*", F.posexplode_outer("terms").alias("at", "term")).drop("terms")
     # what is a text's own goes with one of its rows alone: all are sorted
     each = each.select("bucket", "place", "which", term_hash(F.col("term")).alias("h"), (F.col("at") < F.col("size") - F.floor(F.col("size") / F.lit(4))).alias("early"), *(F.when(F.col("at") == 0, F.col(c)).alias(c) for c in once))
     each = each.join(known, "h", "left")
-    bit = lambda j: F.lit(1 << j).cast("long")
-    drawn = F.lit(0).cast("long")
-    for j in range(LEVELS * PER_LEVEL):
-        drawn = drawn + F.when(in_sub_lexicon(F.col("h"), j), bit(j)).otherwise(0)
-    each = each.withColumns({"drawn": F.when(F.col("h").isNotNull(), drawn).otherwise(0), "band": F.coalesce("band", F.lit(False))})
-    has = lambda j: F.col("drawn").bitwiseAND(1 << j) != 0
+    each = each.withColumns({f"g{k}": g for k, g in enumerate(draws_of(F.col("h")))}).withColumn("band", F.coalesce("band", F.lit(False)))
+    has = lambda j: in_sub_lexicon([F.col(f"g{k}") for k in range(PER_LEVEL)], j)
     of_band = [F.bit_xor(F.when(has(j) & F.col("band"), F.col("h"))).alias(f"b{j}") for j in range(LEVELS * PER_LEVEL)]
     of_all = [F.bit_xor(F.when(has(j), F.col("h"))).alias(f"a{j}") for j in range(LEVELS * PER_LEVEL)]
     early = F.count_if(F.col("early") & F.col("band")).alias("early")
@@ -158,8 +163,9 @@ def fingerprints(docs: DataFrame, *, rarest: int = RAREST, commonest: int = COMM
     printed = printed.select("bucket", "place", "which", *once[:-1], print_of.alias("a"))
     order = Window.partitionBy("bucket").orderBy("place", "which")  # a text, its edited text, the next text
     after = printed.withColumns({"b": F.lead("a", 1).over(order), "c": F.lead("a", 2).over(order)}).filter("which = 0 and not ghost")
+    sha = F.lower(F.concat(*(F.lpad(F.hex(f"sha{k}"), 16, "0") for k in range(4))))
     return after.select(
-        "doc_id", "n_chars", "edited_sha256",
+        "doc_id", "n_chars", sha.alias("edited_sha256"),
         F.array_join("a", ".").alias("fingerprint"), F.array_join("b", ".").alias("edited_fingerprint"),
         likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"),
     )
