@@ -415,7 +415,7 @@ def tune_dlt(df: DataFrame, *, trials: int = 15, refine: int = 0, regressors: li
             yield pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), *[pa.float64()] * 4), strict=True)], [f.split()[0] for f in TUNE_SCHEMA.split(", ")])
 
     chosen = df.select(F.col("series_id").cast("string").alias("series_id"), F.col("t").cast("long").alias("t"), F.col("y").cast("double").alias("y"), *(F.col(n).cast("double").alias(n) for n in names))
-    return folded(chosen, fold, TUNE_SCHEMA)
+    return folded(chosen, fold, TUNE_SCHEMA, heavy=True)
 
 
 # ------------------------------------------------------------------ maximum a posteriori
@@ -536,7 +536,7 @@ def fit_map(df: DataFrame, *, season: int = 7, intercept: bool = True, iteration
                 yield _map_rows(table.column("series_id").take(pa.array(own[:, 0])), t[own[:, -1]], sigma, loss, y, z, norm)
 
     chosen = df.select(F.col("series_id").cast("string").alias("series_id"), F.col("t").cast("long").alias("t"), F.col("sales").cast("double").alias("sales"))
-    return folded(chosen, fold, MAP_SCHEMA, rows=rows)
+    return folded(chosen, fold, MAP_SCHEMA, rows=rows, heavy=True)
 
 
 def refilter(df: DataFrame, params: DataFrame, *, season: int = 7, intercept: bool = True, horizon: int = 28, expected: int | None = 28, rows: int = FOLD_ROWS) -> DataFrame:
@@ -721,7 +721,7 @@ def fit_mcmc(df: DataFrame, z_columns: list[str], *, exponent: float | None = No
             yield _drawn(ids, chains, _posterior(ids, 1, density, prior, warmup, draws, chains, seed), 1, n)
 
     chosen = df.select(F.col("series_id").cast("string").alias("series_id"), F.col("t").cast("long").alias("t"), F.col("y").cast("double").alias("y"), *(F.col(c).cast("double").alias(c) for c in z_columns))
-    return folded(chosen, fold, MCMC_SCHEMA, rows=MCMC_ROWS)
+    return folded(chosen, fold, MCMC_SCHEMA, rows=MCMC_ROWS, heavy=True)
 
 
 def fit_mcmc_st(df: DataFrame, a0: list[float], p0: list[list[float]], *, exponent: float | None = None, positivity: list[bool] | None = None, prior: NoisePrior | None = None, warmup: int = 200, draws: int = 100, chains: int = 4, seed: int = 0) -> DataFrame:
@@ -744,7 +744,7 @@ def fit_mcmc_st(df: DataFrame, a0: list[float], p0: list[list[float]], *, expone
                 yield _drawn(ids, chains, _posterior(ids, m, density, prior, warmup, draws, chains, seed), m, n)
 
     chosen = df.select(F.col("panel_id").cast("string").alias("series_id"), F.col("t").cast("long").alias("t"), "y", "z", *extra)
-    return folded(chosen, fold, MCMC_SCHEMA, rows=1)
+    return folded(chosen, fold, MCMC_SCHEMA, rows=1, heavy=True)
 
 
 LEVEL_SCHEMA = "series_id string, chain int, draw int, sigma_h double, sigma_q double, beta array<double>, log_p double, a_last double"
@@ -790,7 +790,7 @@ def fit_level_regression(df: DataFrame, x_columns: list[str], *, beta_scale: flo
             yield pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [f.split()[0] for f in LEVEL_SCHEMA.split(", ")])
 
     chosen = df.select(F.col("series_id").cast("string").alias("series_id"), F.col("t").cast("long").alias("t"), *(F.col(c).cast("double").alias(c) for c in ["y", *x_columns]))
-    return folded(chosen, fold, LEVEL_SCHEMA, rows=MCMC_ROWS)
+    return folded(chosen, fold, LEVEL_SCHEMA, rows=MCMC_ROWS, heavy=True)
 
 
 def level_regression_mean(df: DataFrame, fits: DataFrame, x_columns: list[str]) -> DataFrame:

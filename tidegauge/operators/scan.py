@@ -84,15 +84,19 @@ def lists(x: np.ndarray | None, rows: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, rows * n + 1, n) if n else np.zeros(rows + 1, np.int64), pa.int32()), pa.array(np.ascontiguousarray(x).ravel(), pa.float64()))
 
 
-def folded(df: DataFrame, fold: Callable[[pa.Table], Iterator[pa.Table]], schema: str, key: str = "series_id", rows: int = FOLD_ROWS) -> DataFrame:
-    """``fold`` over the whole series of df (key, t and others), which comes sorted by key and t."""
+def folded(df: DataFrame, fold: Callable[[pa.Table], Iterator[pa.Table]], schema: str, key: str = "series_id", rows: int = FOLD_ROWS, heavy: bool = False) -> DataFrame:
+    """``fold`` over the whole series of df (key, t and others), which comes sorted by key and t.
+
+    ``heavy`` work for each row is dealt to as many tasks as there are shuffle partitions, even where the
+    rows are few and adaptive execution would put them into one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_series(batches, key, rows):
             for out in fold(table):
                 yield from out.to_batches(max_chunksize=10_000)
 
-    return df.repartition(key).sortWithinPartitions(key, "t").mapInArrow(run, schema)
+    parts = [int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))] if heavy else []
+    return df.repartition(*parts, key).sortWithinPartitions(key, "t").mapInArrow(run, schema)
 
 
 def _panel(df: DataFrame, *columns: str, key: str = "series_id") -> DataFrame:
