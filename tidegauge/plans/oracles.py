@@ -123,3 +123,35 @@ def ahead_cte(lev_sm: float, slp_sm: float, theta: float, end_step: int, seen: s
     step = f"SELECT series_id, chain, draw, t, {new}, {_f(slp_sm)} * ({new} - level) + {_f(1 - slp_sm)} * slope, c FROM (SELECT series_id, chain, draw, t + 1 AS t, level, slope, {c} AS c FROM ahead WHERE t + 1 < {end_step})"
     start = f"SELECT series_id, chain, draw, t, level - coef * level_x AS level, slope - coef * slope_x AS slope, {_f(0.0)} AS c FROM scan JOIN (SELECT series_id, max(t) AS t FROM scan GROUP BY series_id) USING (series_id, t) CROSS JOIN dr"
     return f"ahead AS ({start} UNION ALL {step})"
+
+
+def shared_cte(a0: list[float], p0: list[list[float]], h: float, q: list[float], *, exponent: float | None = None, mask: list[bool] | None = None) -> str:
+    """``flt``: two series y1 and y2 with designs z1 and half of z1, which share states with a full
+    covariance; ``pair`` defines the panel (t, y1, y2)."""
+    n = len(a0)
+    r, cells = range(1, n + 1), [(i, j) for i in range(1, n + 1) for j in range(i, n + 1)]
+    p = lambda i, j: f"p{min(i, j)}{max(i, j)}"
+    ekf = exponent is not None
+    on = {i: ekf and (mask is None or mask[i - 1]) for i in r}
+    step = f"SELECT o.t, o.y1, o.y2, {', '.join(f'({z}) AS z{i}' for i, z in zip(r, (x.replace('t /', 'o.t /') for x in Z3)))}, {', '.join(f'f.a{i}' for i in r)}, {', '.join(f'f.{p(i, j)}' for i, j in cells)}, f.log_p FROM flt f JOIN pair o ON o.t = f.t + 1"
+    if ekf:
+        step = f"SELECT * REPLACE ({', '.join(f'{p(i, i)} + {_f(q[i - 1] ** 2)} AS {p(i, i)}' for i in r)}) FROM ({step})"
+    e = {i: f"exp(greatest(-10.0, least(10.0, {_f(exponent or 0.0)} * a{i})))" for i in r}
+    step = "SELECT *, " + ", ".join(f"{e[i] if on[i] else f'a{i}'} AS s{i}, {f'{_f(exponent)} * z{i} * {e[i]}' if on[i] else f'z{i}'} AS g{i}" for i in r) + f" FROM ({step})"
+    step = f"SELECT *, y1 - ({' + '.join(f'z{i} * s{i}' for i in r)}) AS v1, y2 - 0.5 * ({' + '.join(f'z{i} * s{i}' for i in r)}) AS v2, {', '.join('(' + ' + '.join(f'{p(i, j)} * g{j}' for j in r) + f') AS c{i}' for i in r)} FROM ({step})"
+    step = f"SELECT *, {' + '.join(f'g{i} * c{i}' for i in r)} AS s FROM ({step})"
+    step = f"SELECT *, s + {_f(h * h)} AS f11, 0.5 * s AS f12, 0.25 * s + {_f(h * h)} AS f22 FROM ({step})"
+    step = f"SELECT *, f11 * f22 - f12 * f12 AS det FROM ({step})"
+    step = f"SELECT *, {', '.join(f'(c{i} * f22 - 0.5 * c{i} * f12) / det AS k{i}1, (0.5 * c{i} * f11 - c{i} * f12) / det AS k{i}2' for i in r)} FROM ({step})"
+    noise = lambda i, j: f" + {_f(q[i - 1] ** 2)}" if i == j and not ekf else ""
+    out = [f"a{i} + k{i}1 * v1 + k{i}2 * v2 AS a{i}" for i in r] + [f"{p(i, j)} - (k{i}1 * c{j} + k{i}2 * 0.5 * c{j}){noise(i, j)} AS {p(i, j)}" for i, j in cells]
+    out.append("log_p - 0.5 * (2 * ln(2 * pi()) + ln(det) + (f22 * v1 * v1 - 2 * f12 * v1 * v2 + f11 * v2 * v2) / det) AS log_p")
+    seed = ", ".join([*(f"{_f(x)} AS a{i}" for i, x in zip(r, a0)), *(f"{_f(p0[i - 1][j - 1])} AS {p(i, j)}" for i, j in cells)])
+    return f"flt AS (SELECT CAST(-1 AS BIGINT) AS t, {seed}, {_f(0.0)} AS log_p UNION ALL SELECT t, {', '.join(out)} FROM ({step}))"
+
+
+def shared_rts_cte(q: list[float]) -> str:
+    """``back``: the diagonal smoother over ``flt``."""
+    r = range(1, len(q) + 1)
+    j = {i: f"((f.p{i}{i} - {_f(q[i - 1] ** 2)}) / f.p{i}{i})" for i in r}
+    return f"back AS (SELECT t, {', '.join(f'a{i} AS s{i}' for i in r)} FROM flt WHERE t = (SELECT max(t) FROM pair) UNION ALL SELECT f.t, {', '.join(f'f.a{i} + {j[i]} * (b.s{i} - f.a{i})' for i in r)} FROM back b JOIN flt f ON f.t = b.t - 1 WHERE b.t > 0)"

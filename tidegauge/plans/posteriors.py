@@ -198,3 +198,66 @@ def r3(spark, d):
 @query("r6_regressors", f"SELECT regressor, row_number() OVER (ORDER BY regressor) AS place FROM {_ROWS}")
 def r6(spark, d):
     return spark.createDataFrame([(n, i + 1) for i, n in enumerate(_scheme(spark).regressors())], "regressor string, place long")
+
+
+# ---------------------------------------------------------------- shared states of two series
+
+_FULL = [[1.0, 0.1, 0.0], [0.1, 0.5, 0.0], [0.0, 0.0, 0.5]]
+_PAIR = f"{c.EV}, pair AS (SELECT a.t, a.y / 1000 AS y1, b.y / 1000 AS y2 FROM ev a JOIN ev b USING (t) WHERE a.series_id = (SELECT min(series_id) FROM ev) AND b.series_id = (SELECT max(series_id) FROM ev))"
+
+
+def _pair(spark, d) -> DataFrame:
+    """The first and the last series as one panel; the second has half the first's design."""
+    p = c._panel(spark, d)
+    ends = p.agg(F.min("series_id").alias("lo"), F.max("series_id").alias("hi")).first()
+    one = p.filter(F.col("series_id") == ends.lo).select("t", F.col("y").alias("y1"), "z")
+    two = p.filter(F.col("series_id") == ends.hi).select("t", F.col("y").alias("y2"))
+    return one.join(two, "t").select(F.lit("pair").alias("panel_id"), "t", F.array("y1", "y2").alias("y"), F.array("z", F.transform("z", lambda x: x / 2)).alias("z"))
+
+
+def _shared(name: str, **kw) -> None:
+    linear = f"WITH RECURSIVE {_PAIR}, {sql.shared_cte(c._A0, _FULL, c._H, c._Q, exponent=kw.get('exponent'), mask=kw.get('positivity'))}"
+
+    @query(name, f"{linear} SELECT t, round(a1, 6) + 0.0 AS a1, round(a2, 6) + 0.0 AS a2, round(a3, 6) + 0.0 AS a3, round(p11, 6) AS p11, round(p12, 6) + 0.0 AS p12, round(p33, 6) AS p33, round((SELECT max_by(log_p, t) FROM flt), 5) AS log_p FROM flt WHERE t >= 0")
+    def run(spark, d):
+        out = scan.filtered_st(_pair(spark, d), c._A0, _FULL, c._H, c._Q, **kw)
+        zero = lambda x, n: (F.round(x, 6) + 0.0).alias(n)
+        return out.select("t", *(zero(F.col("a")[i], f"a{i + 1}") for i in range(3)), *(zero(F.col("p")[i], n) for i, n in ((0, "p11"), (1, "p12"), (8, "p33"))), c.r(F.col("log_p"), "log_p", 5))
+
+
+_shared("k10_kalman_st_pair")
+_shared("k11_ekf_st_pair", exponent=0.5, positivity=c._POS)
+
+
+@query("k16_st_rts_overlay_pair", f"WITH RECURSIVE {_PAIR}, {sql.shared_cte(c._A0, _FULL, c._H, c._Q)}, {sql.shared_rts_cte(c._Q)} SELECT t, round(s1, 6) + 0.0 AS s1, round(s2, 6) + 0.0 AS s2, round(s3, 6) + 0.0 AS s3 FROM back")
+def k16(spark, d):
+    out = scan.filtered_st(_pair(spark, d), c._A0, _FULL, c._H, c._Q, smooth_diagonal=True)
+    return out.select("t", *((F.round(F.col("a_smooth")[i], 6) + 0.0).alias(f"s{i + 1}") for i in range(3)))
+
+
+# ---------------------------------------------------------------- priors and prices in full
+
+
+@query("j11_time_point_betas", f"WITH {c.EV}, s AS (SELECT DISTINCT t, ds FROM ev), b AS (SELECT ds AS date, variable, mid FROM (SELECT DISTINCT ds FROM ev WHERE t % 14 = 0) CROSS JOIN (VALUES ('tv', 0.4::DOUBLE), ('radio', NULL)) v(variable, mid)) SELECT t, ds, variable, mid AS a_obs, 0.01::DOUBLE AS p_obs FROM s JOIN b ON b.date = s.ds WHERE t % 14 = 0 AND mid IS NOT NULL")
+def j11(spark, d):
+    from ..functions import priors
+
+    s = c.events(spark, d).select("t", "ds").distinct()
+    known = spark.createDataFrame([("tv", 0.4), ("radio", None)], "variable string, mid double")
+    betas = s.filter("t % 14 = 0").select(F.col("ds").alias("date")).distinct().crossJoin(F.broadcast(known))
+    return priors.time_point_priors(s, betas, weeks=2)
+
+
+@query("j1_prices_of_all_days", f"""WITH {c.LI}, cal AS (SELECT unnest(generate_series((SELECT min(ds) FROM li), (SELECT max(ds) FROM li), INTERVAL 1 DAY))::DATE AS ds), wk AS (SELECT ds, CAST(floor(date_diff('day', (SELECT min(ds) FROM li), ds) / 7) AS BIGINT) AS wk FROM cal),
+each AS (SELECT series_id, CAST(floor(date_diff('day', (SELECT min(ds) FROM li), ds) / 7) AS BIGINT) AS wk, y FROM li), price AS (SELECT series_id, wk, min(y) AS p FROM each WHERE wk % 3 <> 1 GROUP BY 1, 2) SELECT s.series_id, wk.ds, p AS sell_price FROM (SELECT DISTINCT series_id FROM li) s CROSS JOIN wk LEFT JOIN price USING (series_id, wk)""")
+def j1(spark, d):
+    """Weekly prices on every day of every series, null in weeks without one, through the retail panel."""
+    x = c.lines(spark, d)
+    ends = x.agg(F.min("ds").alias("lo"), F.max("ds").alias("hi"))
+    calendar = ends.select("lo", F.explode(F.sequence("lo", "hi")).alias("date"))
+    n = F.datediff("date", "lo")
+    calendar = calendar.select("date", F.floor(n / 7).cast("long").alias("wm_yr_wk"), F.concat(F.lit("d_"), n + 1).alias("d"), F.lit(0).alias("snap_x"))
+    prices = x.crossJoin(F.broadcast(ends)).select(F.lit("x").alias("store_id"), F.col("series_id").alias("item_id"), F.floor(F.datediff("ds", "lo") / 7).cast("long").alias("wm_yr_wk"), F.col("y").alias("sell_price")).filter("wm_yr_wk % 3 <> 1")
+    ids = [F.lit(v).alias(k) for k, v in (("dept_id", "d"), ("cat_id", "c"), ("store_id", "x"), ("state_id", "x"))]
+    sales = x.select("series_id").distinct().select(F.concat("series_id", F.lit("_validation")).alias("id"), F.col("series_id").alias("item_id"), *ids, F.lit(1).alias("d_1"))
+    return src.retail_panel(calendar, prices, sales).select("series_id", "ds", "sell_price")
