@@ -54,6 +54,30 @@ def test_all_pairs(spark, seed):
     assert any(c != i for i, (_, c) in want.items())
 
 
+def test_keys_that_are_shuffled(spark, monkeypatch):
+    """Beyond the bound of a broadcast the keys meet the texts by a shuffle, with the same result."""
+    rows = documents(4, 40)
+    want = found(near_duplicates(table(spark, rows)))
+    kept = sorted(map(str, keep_one(table(spark, rows)).collect()))
+    monkeypatch.setattr("tidegauge.llm.near_dedup.BROADCAST_ROWS", 0)
+    assert found(near_duplicates(table(spark, rows))) == want
+    assert sorted(map(str, keep_one(table(spark, rows)).collect())) == kept
+
+
+def test_tiles_of_many_outsiders(spark, monkeypatch):
+    """A family whose leader is no copy of most, in blocks of a few rows: every link between outsiders is found."""
+    monkeypatch.setattr("tidegauge.llm.near_dedup.TILE", 4)
+    rng = np.random.default_rng(11)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for k in range(40):
+        text = list(base)
+        for at in rng.choice(120, 3 + k % 4, replace=False):
+            text[at] = f"v{k // 2}"
+        rows.append((k, " ".join(text)))
+    want = brute(rows)
+    assert {i: c for i, (_, c, _) in found(near_duplicates(table(spark, rows))).items()} == {i: c for i, (_, c) in want.items()}
+
+
 def test_chain_of_copies(spark):
     """Each text differs from the one before in a few words: one component by way of neighbours."""
     text, rows = [f"w{i}" for i in range(300)], []
